@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bars import newest_rows
-from .series import BUCKET_ROWS, Blocks, decay_halo, running, settle, time_bucket, with_position
+from .series import Blocks, decay_halo, earlier_ranked, pos_bucket, settle, time_bucket, with_position
 
 
 def placed(bars: DataFrame, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600,
@@ -134,8 +134,12 @@ def volatility_regime(bars: DataFrame, n: int = 20, mode: str = "global", keys:
         above = F.col("vol") > F.col("med")
         return df.join(med, list(keys), "left").withColumn("regime", F.when(above, 1).otherwise(0)).drop("med")
     # above the median of m values means at least ceil(m / 2) of them are smaller
-    known = with_position(df.where(F.col("vol").isNotNull()), keys, ["pos"], _pos_bucket(), "_m")
-    ranked = earlier_smaller(known, keys, "vol", "_less").select(*keys, "pos", "_m", "_less")
+    known = with_position(df.where(F.col("vol").isNotNull()), keys, ["pos"], pos_bucket(), "_m")
+    v = F.col("vol")
+    grade = F.when(v > 0, F.floor(F.log2(F.when(v > 0, v)) * F.lit(4096.0))).otherwise(F.lit(-10_000_000))
+    # an equal earlier value must not count as smaller: it gets the higher rank
+    ranked = earlier_ranked(known, keys, [v, F.col("pos").desc()], grade, "below", "sum", F.lit(1), "_less")
+    ranked = ranked.select(*keys, "pos", "_m", F.coalesce("_less", F.lit(0)).alias("_less"))
     above = F.col("_less") >= F.ceil((F.col("_m") + 1) / F.lit(2))
     out = df.join(ranked, [*keys, "pos"], "left").withColumn("regime", F.when(above, 1).otherwise(0))
     return out.drop("_m", "_less")
@@ -150,37 +154,6 @@ def current_regime(bars: DataFrame, rows: int = 200, n: int = 20, keys: Sequence
     return last.select(*keys, "bars_used", label.alias("label"))
 
 
-def _pos_bucket() -> Column:
-    return F.floor(F.col("pos") / F.lit(BUCKET_ROWS)).cast("long")
-
-
-def earlier_smaller(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """How many earlier rows of the key hold a strictly smaller value.
-
-    Rows are ranked by value; base-16 digits of the rank form a tree.  At each
-    level a row adds the earlier rows of its node whose digit is smaller, which
-    are sixteen running counts.  Work is rows x digits and no task holds a key.
-    """
-    v = F.col(value)
-    grade = F.when(v > 0, F.floor(F.log2(F.when(v > 0, v)) * F.lit(4096.0))).otherwise(F.lit(-10_000_000))
-    df = settle(df)
-    cur = with_position(df, keys, [v, F.col("pos").desc()], grade.cast("long"), "_rank")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.agg(F.max("n")).first()[0] or 1  # one number: it sets the depth of the tree
-    digits = max(1, math.ceil(math.log(rows, 16) + 1e-9))
-    cur = cur.withColumn(name, F.lit(0).cast("long"))
-    for level in reversed(range(digits)):
-        cur = cur.withColumn("_node", F.floor(F.col("_rank") / F.lit(16 ** (level + 1))).cast("long"))
-        cur = cur.withColumn("_digit", F.floor(F.col("_rank") / F.lit(16**level)).cast("long") % 16)
-        counts = {f"_d{j}": ("sum", F.when(F.col("_digit") == j, 1).otherwise(0)) for j in range(15)}
-        cur = running(settle(cur), [*keys, "_node"], _pos_bucket(), ["pos"], counts, inclusive=False)
-        smaller = F.lit(0)
-        for j in range(15):
-            smaller = smaller + F.when(F.col("_digit") > j, F.coalesce(F.col(f"_d{j}"), F.lit(0))).otherwise(F.lit(0))
-        cur = cur.withColumn(name, F.col(name) + smaller).drop("_node", "_digit", *counts)
-    return cur.drop("_rank")
-
-
 def correlation_factor(pair: DataFrame, n: int = 50, keys: Sequence[str] = ()) -> DataFrame:
     """|correlation| of percent changes of close_1 and close_2 over the last n bars."""
     b = Blocks(placed(pair, keys), keys, n + 1)

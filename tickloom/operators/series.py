@@ -231,3 +231,47 @@ def asof_last(
     found = running(both, keys, bucket, ["_at", "_side"], {name: ("last", F.col("_pay"))},
                     seq=F.col("_at"))
     return found.where(F.col("_side") == 1).select("_row.*", name)
+
+
+def pos_bucket() -> Column:
+    return F.floor(F.col("pos") / F.lit(BUCKET_ROWS)).cast("long")
+
+
+def earlier_ranked(
+    df: DataFrame,
+    keys: Sequence[str],
+    rank_order: Sequence[str | Column],
+    rank_bucket: Column,
+    side: str,
+    kind: str,
+    value: Column,
+    name: str,
+) -> DataFrame:
+    """Aggregate over earlier rows (by ``pos``) that rank ``below`` or ``above`` a row.
+
+    The base-8 digits of the rank form a tree.  At each level a row adds the
+    earlier rows of its node whose digit is smaller (larger): eight running
+    values inside (key, node).  Work is rows x digits; no task holds a key and
+    no pairs are built.  ``rank_bucket`` must rise with ``rank_order``.
+    """
+    keys, base = list(keys), 8
+    df = settle(df)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.agg(F.max("n")).first()[0] or 1  # one number: it sets the depth of the tree
+    digits = 1
+    while base**digits < rows:
+        digits += 1
+    cur = with_position(df, keys, rank_order, rank_bucket.cast("long"), "_rank")
+    cur = cur.withColumn("_v", value).withColumn(name, F.lit(None).cast(cur.select(value.alias("x")).schema["x"].dataType))
+    join = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if kind == "sum" else {"max": F.greatest, "min": F.least}[kind]
+    for level in reversed(range(digits)):
+        cur = cur.withColumn("_node", F.floor(F.col("_rank") / F.lit(base ** (level + 1))).cast("long"))
+        cur = cur.withColumn("_digit", F.floor(F.col("_rank") / F.lit(base**level)).cast("long") % base)
+        specs = {f"_d{j}": (kind, F.when(F.col("_digit") == j, F.col("_v"))) for j in range(base)}
+        cur = running(settle(cur), [*keys, "_node"], pos_bucket(), ["pos"], specs, inclusive=False)
+        total = F.col(name)
+        for j in range(base):
+            counts = F.col("_digit") > j if side == "below" else F.col("_digit") < j
+            total = join(total, F.when(counts, F.col(f"_d{j}")))
+        cur = cur.withColumn(name, total).drop("_node", "_digit", *specs)
+    return cur.drop("_rank", "_v")

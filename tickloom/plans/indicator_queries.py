@@ -321,14 +321,14 @@ def trend_sql(mode: str) -> str:
     return f"""{BOS}, kn AS (SELECT symbol, pos, lag(lh, 2) OVER w AS kh, lag(ll, 2) OVER w AS kl FROM lv WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
 {part(BIAS, "hb AS (SELECT")}{pins},
 tr AS (SELECT *, greatest(abs(high - low), abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM b WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
-at AS (SELECT symbol, pos, {decay("tr", A14)} AS atr FROM tr),
-j AS (SELECT b.*, bi.n + 1 AS hr, bi.bias, rv.reversal, bos.d, bos.level, at.atr, kh, kl,
+atx AS (SELECT symbol, pos, {decay("tr", A14)} AS atr FROM tr),
+j AS (SELECT b.*, bi.n + 1 AS hr, bi.bias, rv.reversal, bos.d, bos.level, atx.atr, kh, kl,
     CASE WHEN d = 'bullish' THEN coalesce(kl - atr, close - 1.5 * atr) ELSE coalesce(kh + atr, close + 1.5 * atr) END AS sl,
     coalesce(kh > kl AND CASE WHEN d = 'bullish' THEN close >= kh - 0.786 * (kh - kl) AND close <= kh - 0.618 * (kh - kl)
       ELSE close >= kl + 0.618 * (kh - kl) AND close <= kl + 0.786 * (kh - kl) END, FALSE) AS zone,
     coalesce(CASE WHEN d = 'bullish' THEN pin.bull ELSE pin.bear END, FALSE) AS pin
   FROM b JOIN bi ON bi.symbol = b.symbol AND bi.pos = b.pos JOIN rv ON rv.symbol = b.symbol AND rv.pos = b.pos
-    JOIN at ON at.symbol = b.symbol AND at.pos = b.pos JOIN kn ON kn.symbol = b.symbol AND kn.pos = b.pos
+    JOIN atx ON atx.symbol = b.symbol AND atx.pos = b.pos JOIN kn ON kn.symbol = b.symbol AND kn.pos = b.pos
     JOIN pin ON pin.symbol = b.symbol AND pin.pos = b.pos LEFT JOIN bos ON bos.symbol = b.symbol AND bos.i = b.pos),
 rs AS (SELECT *, CASE WHEN pos + 1 < 20 THEN 'insufficient_bars' WHEN hr < 8 THEN 'insufficient_htf_bars' WHEN reversal THEN 'structural_reversal_in_progress'
     WHEN bias = 'range' THEN 'htf_range_no_trade' WHEN d IS NULL THEN 'no_break_of_structure'
