@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .series import Blocks, earlier_ranked, running, settle, with_position
+from .series import Blocks, earlier_ranked, ranged, running, settle, with_position
 
 COMBO = ("symbol", "timeframe", "strategy")
 # Thresholds of the log checks.
@@ -52,9 +52,9 @@ def with_running_dsr(log: DataFrame, keys: Sequence[str] = (), order: str = "ite
 
 def ranked(trials: DataFrame, keys: Sequence[str] = (), score: str = "dsr", tie: str = "sr_id", name: str = "rank") -> DataFrame:
     """Rank by score, highest first, numbered without one global sort in a task."""
-    grade = F.floor(-F.col(score) * F.lit(256.0)).cast("long")
-    df = with_position(settle(trials), keys, [F.desc(score), F.asc(tie)], grade, "_p")
-    return df.withColumn(name, F.col("_p") + F.lit(1)).drop("_p")
+    order = [F.desc(score), F.asc(tie)]
+    df = with_position(ranged(trials, keys, order), keys, order, F.col("_rb"), "_p")
+    return df.withColumn(name, F.col("_p") + F.lit(1)).drop("_p", "_rb")
 
 
 def clusters(trials: DataFrame, by: str = "mapped_type") -> DataFrame:
@@ -215,10 +215,10 @@ def pareto_front(trials: DataFrame, up: tuple[str, str] = ("sharpe", "win_rate")
     a ``down`` as small: a ranked running minimum instead of comparing all pairs.
     """
     a, c = up
-    points = settle(trials.select(F.col(a).alias("a"), F.col(c).alias("c"), F.col(down).alias("d")).distinct())
+    points = trials.select(F.col(a).alias("a"), F.col(c).alias("c"), F.col(down).alias("d")).distinct()
     order = [F.desc("a"), F.desc("c"), F.asc("d")]
-    placed = with_position(points, [], order, F.floor(-F.col("a") * F.lit(64.0)).cast("long"))
-    best = earlier_ranked(placed, [], [F.col("c"), F.col("pos").desc()], F.floor(F.col("c") * F.lit(64.0)), "above", "min", F.col("d"), "_low")
+    placed = with_position(ranged(points, [], order), [], order, F.col("_rb")).drop("_rb")
+    best = earlier_ranked(placed, [], [F.col("c"), F.col("pos").desc()], "above", "min", F.col("d"), "_low")
     front = best.where(F.col("_low").isNull() | (F.col("_low") > F.col("d"))).select("a", "c", "d")
     same = (F.col(a) == F.col("a")) & (F.col(c) == F.col("c")) & (F.col(down) == F.col("d"))
     return trials.join(front, same, "left_semi")

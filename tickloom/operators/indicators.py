@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bars import newest_rows
-from .series import Blocks, decay_halo, earlier_ranked, pos_bucket, settle, time_bucket, with_position
+from .series import BUCKET_ROWS, Blocks, decay_halo, earlier_ranked, pos_bucket, settle, time_bucket, with_position
 
 
 def placed(bars: DataFrame, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600,
@@ -136,9 +136,8 @@ def volatility_regime(bars: DataFrame, n: int = 20, mode: str = "global", keys:
     # above the median of m values means at least ceil(m / 2) of them are smaller
     known = with_position(df.where(F.col("vol").isNotNull()), keys, ["pos"], pos_bucket(), "_m")
     v = F.col("vol")
-    grade = F.when(v > 0, F.floor(F.log2(F.when(v > 0, v)) * F.lit(4096.0))).otherwise(F.lit(-10_000_000))
     # an equal earlier value must not count as smaller: it gets the higher rank
-    ranked = earlier_ranked(known, keys, [v, F.col("pos").desc()], grade, "below", "sum", F.lit(1), "_less")
+    ranked = earlier_ranked(known, keys, [v, F.col("pos").desc()], "below", "sum", F.lit(1), "_less")
     ranked = ranked.select(*keys, "pos", "_m", F.coalesce("_less", F.lit(0)).alias("_less"))
     above = F.col("_less") >= F.ceil((F.col("_m") + 1) / F.lit(2))
     out = df.join(ranked, [*keys, "pos"], "left").withColumn("regime", F.when(above, 1).otherwise(0))
@@ -245,9 +244,9 @@ def pair_statistics(pair: DataFrame, hedge: int = 60, spread: int = 60, atr_n: i
     return b.owned(out)
 
 
-def rolling_spread(ticks: DataFrame, n: int = 20, keys: Sequence[str] = ("symbol",), bucket_seconds: int = 3600) -> DataFrame:
-    """Mean spread of the last n ticks per symbol, at every tick."""
-    bucket = F.floor(F.unix_seconds("time") / F.lit(bucket_seconds)).cast("long")
+def rolling_spread(ticks: DataFrame, n: int = 20, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Mean spread of the last n ticks per symbol in arrival order, at every tick."""
+    bucket = F.floor(F.col("seq") / F.lit(BUCKET_ROWS)).cast("long")
     b = Blocks(with_position(ticks, keys, ["seq"], bucket), keys, n)
     return b.owned(b.df.withColumn("avg_spread", F.avg("spread").over(b.rows(-(n - 1), 0))))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .indicators import placed, volatility_regime
-from .series import Blocks, settle, with_position
+from .series import Blocks, ranged, settle, with_position
 
 FEATURES = ("ret_1", "ret_5", "ret_20", "atr_norm", "rsi_norm", "ema_spread", "regime")
 # Acceptance threshold and training minimum.
@@ -29,8 +29,7 @@ def profit_probability(labelled: DataFrame, refit_every: int = REFIT_EVERY, min_
     choose ``refit_every`` in proportion to the data: it sets the number of fits.
     Outcomes without a usable model (too few, or one class only) keep null.
     """
-    bucket = F.floor(F.unix_seconds(F.col(order[0])) / F.lit(3600)).cast("long")
-    df = settle(with_position(settle(labelled), [], list(order), bucket, "seq"))
+    df = with_position(ranged(labelled, [], list(order)), [], list(order), F.col("_rb"), "seq").drop("_rb")
     df = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.withColumn("label", F.col("label").cast("double")))
     df = settle(df.withColumn("_block", F.floor(F.col("seq") / F.lit(refit_every)).cast("long")))
     blocks = (df.agg(F.max("_block")).first()[0] or 0) + 1  # one number

@@ -10,28 +10,32 @@ from .series import Blocks, settle, with_position
 WATCHED = ("sl", "tp", "volume")
 
 
-def position_events(snapshots: DataFrame) -> DataFrame:
+def position_events(snapshots: DataFrame, poll_seconds: int | None = None) -> DataFrame:
     """Opened and modified events of (ticket, poll, symbol, sl, tp, volume) snapshots.
 
     A ticket missing from the previous poll counts as opened again when it returns.
+    The previous poll is the one before in the table, or with ``poll_seconds`` any
+    poll at most that long ago (when the table does not hold all polls).
     """
     df = settle(snapshots)
-    polls = df.select("poll").distinct()
-    numbered = with_position(polls, [], ["poll"], F.floor(F.unix_seconds("poll") / F.lit(86_400)).cast("long"), "poll_no")
-    df = df.join(numbered, "poll")
-    bucket = F.floor(F.col("poll_no") / F.lit(65_536)).cast("long")
-    b = Blocks(with_position(settle(df), ["ticket"], ["poll_no"], bucket), ["ticket"], 1)
-    x = b.df.withColumn("_prev_no", F.lag("poll_no").over(b.w))
-    for c in WATCHED:
-        x = x.withColumn(f"_p_{c}", F.lag(c).over(b.w))
+    day = F.floor(F.unix_seconds("poll") / F.lit(86_400)).cast("long")
+    if poll_seconds is None:
+        numbered = with_position(df.select("poll").distinct(), [], ["poll"], day, "_no")
+        df = settle(df.join(numbered, "poll"))
+        step, reach = F.col("_no"), 1
+    else:
+        step, reach = F.unix_seconds("poll"), poll_seconds
+    b = Blocks(with_position(df, ["ticket"], ["poll"], day), ["ticket"], 1)
+    x = b.df.withColumn("_gap", step - F.lag(step).over(b.w))
+    x = x.select("*", *[F.lag(c).over(b.w).alias(f"_p_{c}") for c in WATCHED])
     x = b.owned(x)
-    known = F.coalesce(F.col("_prev_no") == F.col("poll_no") - 1, F.lit(False))
+    known = F.coalesce(F.col("_gap") <= reach, F.lit(False))
     changes = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_p_{c}")), F.lit(c)) for c in WATCHED]))
     x = x.withColumn("changes", F.when(known, changes).otherwise(F.array().cast("array<string>")))
     event = F.when(~known, F.lit("opened")).when(F.size("changes") > 0, F.lit("modified"))
-    return x.withColumn("event", event).where(F.col("event").isNotNull()).select(
-        "poll", "ticket", "symbol", "event", *WATCHED, "changes"
-    )
+    x = x.withColumn("event", event).where(F.col("event").isNotNull())
+    kept = [c for c in snapshots.columns if c not in ("ticket", "poll", "symbol", *WATCHED)]
+    return x.select("poll", "ticket", "symbol", "event", *WATCHED, "changes", *kept)
 
 
 def event_counts(events: DataFrame) -> DataFrame:

@@ -36,6 +36,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: str = "_rb") -> DataFrame:
+    """Settle a table in range partitions of (keys, order) and note the partition as ``bucket``.
+
+    For series without a grid: Spark samples the full sort key, so a crowded hour,
+    value or key is spread over as many buckets as its rows need.  The bucket is
+    stored with the rows, which keeps it the same in every later pass.
+    """
+    cut = df.repartitionByRange(*[*keys, *order])
+    return settle(cut.withColumn(bucket, F.spark_partition_id().cast("long")))
+
+
 def time_bucket(time: str, step_seconds: int, rows: int = BUCKET_ROWS) -> Column:
     """Bucket of ``rows`` grid slots; bars sit on a grid, so a bucket is bounded."""
     width = int(step_seconds) * int(rows)
@@ -241,7 +252,6 @@ def earlier_ranked(
     df: DataFrame,
     keys: Sequence[str],
     rank_order: Sequence[str | Column],
-    rank_bucket: Column,
     side: str,
     kind: str,
     value: Column,
@@ -252,16 +262,16 @@ def earlier_ranked(
     The base-8 digits of the rank form a tree.  At each level a row adds the
     earlier rows of its node whose digit is smaller (larger): eight running
     values inside (key, node).  Work is rows x digits; no task holds a key and
-    no pairs are built.  ``rank_bucket`` must rise with ``rank_order``.
+    no pairs are built.
     """
     keys, base = list(keys), 8
-    df = settle(df)
+    df = ranged(df, keys, rank_order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     rows = sizes.agg(F.max("n")).first()[0] or 1  # one number: it sets the depth of the tree
     digits = 1
     while base**digits < rows:
         digits += 1
-    cur = with_position(df, keys, rank_order, rank_bucket.cast("long"), "_rank")
+    cur = with_position(df, keys, rank_order, F.col("_rb"), "_rank").drop("_rb")
     cur = cur.withColumn("_v", value).withColumn(name, F.lit(None).cast(cur.select(value.alias("x")).schema["x"].dataType))
     join = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if kind == "sum" else {"max": F.greatest, "min": F.least}[kind]
     for level in reversed(range(digits)):

@@ -1,7 +1,8 @@
 """Trade journals: splits, equity, streaks, statistics, breakdowns, size history.
 
 Journal order is (close_time, ticket).  A whole journal is one series without a
-key, so ordered values run over hour buckets and never over one global window.
+key and any hour of it may be crowded, so ordered values run over range buckets
+of that order and never over one global window.
 """
 
 from __future__ import annotations
@@ -14,16 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, sizing
 from ..functions.clock import day_name, session_label
-from .series import running, settle, with_position
+from .series import ranged, running, settle, with_position
 
 ORDER = ("close_time", "ticket")
 START_EQUITY = 10_000.0
 
 
-def _hour(time: str = "close_time") -> Column:
-    return F.floor(F.unix_seconds(F.col(time)) / F.lit(3600)).cast("long")
-
-
 def _seq(time: str = "close_time", ticket: str = "ticket") -> Column:
     return F.struct(F.col(time).alias("t"), F.col(ticket).alias("k"))
 
@@ -67,20 +64,21 @@ def loss_alerts(trades: DataFrame, usd: float) -> DataFrame:
 
 def equity_series(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Running profit, peak and drawdown in close order; drawdown base is max(|peak|, 1)."""
-    df = settle(closed_trades(trades).select(*keys, "ticket", "close_time", F.coalesce("profit", F.lit(0.0)).alias("profit")))
-    df = settle(running(df, keys, _hour(), ORDER, {"equity": ("sum", F.col("profit"))}))
-    df = running(df, keys, _hour(), ORDER, {"peak": ("max", F.col("equity"))})
+    rows = closed_trades(trades).select(*keys, "ticket", "close_time", F.coalesce("profit", F.lit(0.0)).alias("profit"))
+    df = ranged(rows, keys, ORDER)
+    df = settle(running(df, keys, F.col("_rb"), ORDER, {"equity": ("sum", F.col("profit"))}))
+    df = running(df, keys, F.col("_rb"), ORDER, {"peak": ("max", F.col("equity"))}).drop("_rb")
     gap = (F.col("peak") - F.col("equity")) / F.greatest(F.abs("peak"), F.lit(1.0))
     return df.withColumn("drawdown", F.greatest(gap, F.lit(0.0)))
 
 
 def loss_streaks(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Losses in a row up to and including each closed trade."""
-    df = settle(closed_trades(trades).select(*keys, "ticket", "close_time", "profit"))
-    df = settle(with_position(df, keys, ORDER, _hour()))
+    df = ranged(closed_trades(trades).select(*keys, "ticket", "close_time", "profit"), keys, ORDER)
+    df = settle(with_position(df, keys, ORDER, F.col("_rb")))
     stop = F.when(F.coalesce(F.col("profit") >= 0, F.lit(True)), F.col("pos"))
-    df = running(df, keys, _hour(), ORDER, {"_stop": ("max", stop)})
-    return df.withColumn("streak", F.col("pos") - F.coalesce("_stop", F.lit(-1))).drop("_stop")
+    df = running(df, keys, F.col("_rb"), ORDER, {"_stop": ("max", stop)})
+    return df.withColumn("streak", F.col("pos") - F.coalesce("_stop", F.lit(-1))).drop("_stop", "_rb")
 
 
 def max_loss_streak(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -229,7 +227,8 @@ def kelly_at_entry(trades: DataFrame, keys: Sequence[str] = (), fraction: float
         "_n": ("sum", F.when(x.isNotNull(), one)), "_w": ("sum", F.when(x > 0, one)), "_l": ("sum", F.when(x < 0, one)),
         "_sw": ("sum", _win(x)), "_sl": ("sum", _loss(x)),
     }
-    both = running(closes.unionByName(entries), keys, _hour("_t"), ["_t", "_side", "ticket"], specs)
+    order = ["_t", "_side", "ticket"]
+    both = running(ranged(closes.unionByName(entries), keys, order), keys, F.col("_rb"), order, specs)
     z = {c: F.coalesce(F.col(c), F.lit(0)) for c in specs}
     mult = sizing.kelly_multiplier(z["_n"], z["_w"], z["_l"], z["_sw"], z["_sl"], fraction)
     return both.where(F.col("_side") == 1).select(*keys, "ticket", F.col("_t").alias("open_time"), z["_n"].cast("long").alias("history"), mult.alias("kelly"))

@@ -53,7 +53,8 @@ def stream_position_changes(spark, folder):
     snaps = T.position_snapshots(spark, folder)
     snaps.write.parquet(f"{path}/snaps")
     stream = spark.readStream.schema(snaps.schema).parquet(f"{path}/snaps")
-    return L.drain(L.position_stream(stream), spark, path)
+    L.drain_with(stream, L.position_sink(f"{path}/events", f"{path}/state"), path)
+    return spark.read.parquet(f"{path}/events").drop("batch")
 
 
 @query("stream_first_closes", """SELECT user_id AS ticket, count(*) AS closes FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1""")
@@ -106,7 +107,9 @@ def stream_account_monitor(spark, folder):
     s = event_stream(spark, folder).select(
         F.col("user_id").alias("account"), "time", (F.lit(10000.0) + F.lit(100.0) * (F.col("value") - F.lit(50.0)) / F.lit(10.0)).alias("equity"),
         (F.col("user_id") % 7).alias("streak"), (F.col("symbol") != "error").alias("fresh"))
-    out = L.drain(L.account_stream(s), spark, scratch(spark))
+    path = scratch(spark)
+    L.drain_with(s, L.account_sink(f"{path}/verdicts", f"{path}/state"), path)
+    out = spark.read.parquet(f"{path}/verdicts")
     return out.where(F.col("reason") != "skipped").select("account", "time", "reason", r("peak", 6), r("day_start", 6))
 
 

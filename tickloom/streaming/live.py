@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import sizing
 from ..functions.money import break_even_stop, target_reached
+from ..operators.accounts import STATE_SCHEMA, account_state, account_verdicts
 from ..operators.bars import cap_history, upsert_incoming_wins
 from ..operators.experiments import last_rows
 from ..operators.indicators import rolling_spread
+from ..operators.positions import position_events
 from ..operators.series import settle
 from ..sources.files import load_bars, write_if_not_smaller
 
 FLUSH_EVERY = "30 seconds"
+SNAPSHOT = ("ticket", "poll", "symbol", "sl", "tp", "volume")
+SNAPSHOT_SCHEMA = "ticket long, poll timestamp, symbol string, sl double, tp double, volume double"
+TICK_SCHEMA = "symbol string, seq long, time timestamp, spread double"
 
 
 def bar_stream(ticks: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
@@ -44,42 +46,34 @@ def late_rows(query) -> int:
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
-POSITION_OUT = "poll timestamp, ticket long, symbol string, event string, sl double, tp double, volume double, changes array<string>"
-POSITION_STATE = "poll_us long, sl double, tp double, volume double"
-WATCHED = ("sl", "tp", "volume")
+def _previous(spark: SparkSession, state: str, batch_id: int, schema: str) -> DataFrame:
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{state}/b{batch_id - 1}")
 
 
-def position_stream(snapshots: DataFrame, poll_seconds: int = 3600, keep: str = "2 days") -> DataFrame:
-    """Opened and modified events of position snapshots, with one small state per ticket.
+def position_sink(out: str, state: str, poll_seconds: int = 3600, keep_seconds: int = 172_800) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of opened and modified events of position snapshots.
 
-    A ticket that skipped a poll counts as opened again.  State of tickets silent
-    longer than ``keep`` is removed.
+    The state is the last snapshot of each ticket seen within ``keep_seconds`` of
+    the newest poll, one folder per batch.  A repeated batch reads the same
+    earlier state and overwrites its own output, so restarts do not double rows.
     """
-    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    gap_us = poll_seconds * 1_000_000
-
-    def changes_of(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("poll")
-        last, out = (state.get if state.exists else None), []
-        for row in rows.itertuples(index=False):
-            at = int(row.poll.value // 1000)
-            now = (row.sl, row.tp, row.volume)
-            known = last is not None and 0 < at - last[0] <= gap_us
-            changed = [n for n, a, b in zip(WATCHED, now, last[1:]) if a != b] if known else []
-            if changed or not known:
-                out.append((row.poll, key[0], row.symbol, "modified" if known else "opened", *now, changed))
-            last = (at, *now)
-        state.update(last)
-        state.setTimeoutTimestamp(last[0] // 1000 + keep_ms)
-        yield pd.DataFrame(out, columns=["poll", "ticket", "symbol", "event", "sl", "tp", "volume", "changes"])
-
-    marked = snapshots.withWatermark("poll", "1 hour")
-    return marked.groupBy("ticket").applyInPandasWithState(
-        changes_of, POSITION_OUT, POSITION_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = settle(batch.select(*[F.col(c) for c in SNAPSHOT]))
+        past = _previous(spark, state, batch_id, SNAPSHOT_SCHEMA)
+        both = settle(past.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True))))
+        events = position_events(both, poll_seconds).where("is_new").drop("is_new")
+        events.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        newest = both.agg(F.max("poll").alias("_newest"))
+        last = both.groupBy("ticket").agg(F.max_by(F.struct(*[c for c in SNAPSHOT if c != "ticket"]), "poll").alias("s"))
+        kept = last.select("ticket", "s.*").select(*SNAPSHOT).crossJoin(F.broadcast(newest))  # one row
+        kept = kept.where(F.unix_seconds("poll") >= F.unix_seconds("_newest") - keep_seconds).drop("_newest")
+        kept.write.mode("overwrite").parquet(f"{state}/b{batch_id}")
+
+    return write
 
 
 def close_stream(closed: DataFrame, time: str = "time", within: str = "1 day") -> DataFrame:
@@ -128,7 +122,7 @@ def spread_sink(out: str, state: str, n: int = 20) -> Callable[[DataFrame, int],
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.select(*cols)
-        past = spark.read.parquet(f"{state}/b{batch_id - 1}") if batch_id > 0 else fresh.limit(0)
+        past = _previous(spark, state, batch_id, TICK_SCHEMA)
         both = settle(past.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True))))
         done = rolling_spread(both, n).where("_new").select("symbol", "seq", "avg_spread")
         done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -151,45 +145,16 @@ def history_sink(path: str, tf: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-ACCOUNT_OUT = "account long, time timestamp, equity double, peak double, day_start double, reason string, cooling_until timestamp"
-ACCOUNT_STATE = "peak double, day_start double, day string, cooling_us long"
-
+def account_sink(out: str, state: str, cooling_hours: float = 24.0) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of breaker verdicts; the state is one row per account and batch."""
 
-def account_stream(snapshots: DataFrame, cooling_hours: float = 24.0) -> DataFrame:
-    """Breaker verdict per account snapshot (account, time, equity, streak, fresh).
+    def write(batch: DataFrame, batch_id: int) -> None:
+        past = _previous(batch.sparkSession, state, batch_id, STATE_SCHEMA)
+        v = settle(account_verdicts(batch, past, cooling_hours))
+        v.drop("cooling_from", "day", "fresh").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        account_state(v, past).write.mode("overwrite").parquet(f"{state}/b{batch_id}")
 
-    Keeps the running peak, the equity of the first snapshot of the day and the
-    end of a cooling-off period, which starts once, at a loss streak.  Snapshots
-    that are not fresh change nothing and are not judged.
-    """
-    cooling_us = int(cooling_hours * 3600 * 1_000_000)
-    halt, streak_halt, daily = sizing.HALT, sizing.LOSS_STREAK_HALT, sizing.DAILY_LOSS_LIMIT
-
-    def judge(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("time")
-        peak, start, day, cooling = state.get if state.exists else (0.0, 0.0, "", 0)
-        out = []
-        for row in rows.itertuples(index=False):
-            reason = "skipped"
-            if row.fresh:
-                peak = max(peak, row.equity) if peak else row.equity
-                today = row.time.strftime("%Y-%m-%d")
-                if start == 0.0 or day != today:
-                    start, day = row.equity, today
-                reason = "ok"
-                if peak > 0 and (peak - row.equity) / peak >= halt:
-                    reason = "trailing_dd_halt"
-                elif row.streak >= streak_halt:
-                    reason = "consecutive_losses"
-                    cooling = cooling or int(row.time.value // 1000) + cooling_us
-                elif start > 0 and (row.equity - start) / start <= -daily:
-                    reason = "daily_loss_limit"
-            until = pd.Timestamp(cooling, unit="us") if cooling else pd.NaT
-            out.append((key[0], row.time, row.equity, peak, start, reason, until))
-        state.update((peak, start, day, cooling))
-        yield pd.DataFrame(out, columns=["account", "time", "equity", "peak", "day_start", "reason", "cooling_until"])
-
-    return snapshots.groupBy("account").applyInPandasWithState(judge, ACCOUNT_OUT, ACCOUNT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return write
 
 
 def target_touches(ticks: DataFrame, positions: DataFrame) -> DataFrame:
