@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,9 +167,7 @@ def running(
     with ``order`` (used to pick the last value of a bucket).
     """
     keys = list(keys)
-    marked = df.withColumn("_bk", bucket)
-    for name, (_, col) in specs.items():
-        marked = marked.withColumn(f"_v_{name}", col)
+    marked = df.select("*", bucket.alias("_bk"), *[col.alias(f"_v_{name}") for name, (_, col) in specs.items()])
     aggs = []
     for name, (kind, _) in specs.items():
         v = F.col(f"_v_{name}")
@@ -248,6 +248,34 @@ def pos_bucket() -> Column:
     return F.floor(F.col("pos") / F.lit(BUCKET_ROWS)).cast("long")
 
 
+LEAF_ROWS = 16_384
+
+
+def _leaf_aggregate(rank: np.ndarray, value: np.ndarray, side: str, kind: str) -> np.ndarray:
+    """Aggregate of earlier elements that rank below (above) each element, by doubling blocks."""
+    n = len(rank)
+    size = 1 << max(1, int(n - 1).bit_length())
+    neutral = {"sum": 0.0, "min": np.inf, "max": -np.inf}[kind]
+    merge = {"sum": np.add, "min": np.minimum, "max": np.maximum}[kind]
+    key = np.full(size, np.iinfo(np.int64).max)
+    key[:n] = rank if side == "below" else -rank
+    val = np.full(size, neutral)
+    val[:n] = value
+    out = np.full(size, neutral)
+    half = 1
+    while half < size:
+        # rows of two neighbouring blocks: the left one is earlier than the right one
+        order = np.argsort(key.reshape(-1, 2 * half), axis=1)
+        left = order < half
+        picked = np.where(left, np.take_along_axis(val.reshape(-1, 2 * half), order, 1), neutral)
+        seen = np.where(left, neutral, merge.accumulate(picked, axis=1))
+        back = np.empty_like(seen)
+        np.put_along_axis(back, order, seen, 1)
+        out = merge(out, back.reshape(-1))
+        half *= 2
+    return out[:n]
+
+
 def earlier_ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -256,27 +284,42 @@ def earlier_ranked(
     kind: str,
     value: Column,
     name: str,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """Aggregate over earlier rows (by ``pos``) that rank ``below`` or ``above`` a row.
+    """Sum, min or max (a double) over earlier rows by ``pos`` that rank ``below`` or ``above`` a row.
 
-    The base-8 digits of the rank form a tree.  At each level a row adds the
-    earlier rows of its node whose digit is smaller (larger): eight running
-    values inside (key, node).  Work is rows x digits; no task holds a key and
-    no pairs are built.
+    Ranks are cut into leaves of ``leaf_rows``.  Inside a leaf the rows meet in one
+    bounded task.  Across leaves the base-8 digits of the leaf number form a tree:
+    at each level a row adds the earlier rows of its node whose digit is smaller
+    (larger), eight running values inside (key, node).  Null when there are none.
+    No task holds a key and no pairs are built.
     """
     keys, base = list(keys), 8
     df = ranged(df, keys, rank_order)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.agg(F.max("n")).first()[0] or 1  # one number: it sets the depth of the tree
-    digits = 1
-    while base**digits < rows:
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1  # one number: the depth of the tree
+    digits = 0
+    while leaf_rows * base**digits < rows:
         digits += 1
     cur = with_position(df, keys, rank_order, F.col("_rb"), "_rank").drop("_rb")
-    cur = cur.withColumn("_v", value).withColumn(name, F.lit(None).cast(cur.select(value.alias("x")).schema["x"].dataType))
-    join = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if kind == "sum" else {"max": F.greatest, "min": F.least}[kind]
+    cur = settle(cur.withColumns({"_v": value.cast("double"), "_leaf": F.floor(F.col("_rank") / F.lit(leaf_rows)).cast("long")}))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        got = _leaf_aggregate(pdf["_rank"].to_numpy(), pdf["_v"].to_numpy(dtype=float), side, kind)
+        return pdf[[*keys, "pos"]].assign(_in=np.where(np.isfinite(got), got, np.nan))
+
+    types = dict(cur.dtypes)
+    shape = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "pos")) + ", _in double"
+    local = cur.select(*keys, "pos", "_leaf", "_rank", "_v").groupBy(*keys, "_leaf").applyInPandas(inside, shape)
+    local = local.withColumn("_in", F.when(~F.isnan("_in"), F.col("_in")))
+
+    join = (lambda a, b: F.coalesce(a + b, a, b)) if kind == "sum" else {"max": F.greatest, "min": F.least}[kind]
+    cur = cur.withColumn(name, F.lit(None).cast("double"))
     for level in reversed(range(digits)):
-        cur = cur.withColumn("_node", F.floor(F.col("_rank") / F.lit(base ** (level + 1))).cast("long"))
-        cur = cur.withColumn("_digit", F.floor(F.col("_rank") / F.lit(base**level)).cast("long") % base)
+        cur = cur.withColumns({
+            "_node": F.floor(F.col("_leaf") / F.lit(base ** (level + 1))).cast("long"),
+            "_digit": F.floor(F.col("_leaf") / F.lit(base**level)).cast("long") % base,
+        })
         specs = {f"_d{j}": (kind, F.when(F.col("_digit") == j, F.col("_v"))) for j in range(base)}
         cur = running(settle(cur), [*keys, "_node"], pos_bucket(), ["pos"], specs, inclusive=False)
         total = F.col(name)
@@ -284,4 +327,5 @@ def earlier_ranked(
             counts = F.col("_digit") > j if side == "below" else F.col("_digit") < j
             total = join(total, F.when(counts, F.col(f"_d{j}")))
         cur = cur.withColumn(name, total).drop("_node", "_digit", *specs)
-    return cur.drop("_rank", "_v")
+    both = cur.join(local, [*keys, "pos"])
+    return both.withColumn(name, join(F.col(name), F.col("_in"))).drop("_rank", "_v", "_leaf", "_in")
