@@ -93,21 +93,6 @@ def lookup_title(rows: DataFrame, titles: DataFrame, slug: str = "book_slug") ->
     return rows.join(titles, slug, "left").withColumn("title", F.coalesce("title", F.col(slug)))
 
 
-def parameter_grid(spark, space: dict[str, Sequence[float]]) -> DataFrame:
-    """One row per combination, numbered in a fixed order."""
-    out = None
-    for name, values in space.items():
-        side = spark.createDataFrame([(float(v),) for v in values], f"{name} double")
-        out = side if out is None else out.crossJoin(side)
-    rank = F.lit(0)
-    for name, values in space.items():
-        at = F.lit(0)
-        for i, v in enumerate(values):
-            at = F.when(F.col(name) == float(v), F.lit(i)).otherwise(at)
-        rank = rank * F.lit(len(values)) + at
-    return out.withColumn("param_id", rank.cast("long"))
-
-
 def combos(symbols: DataFrame, timeframes: DataFrame, strategies: DataFrame) -> DataFrame:
     """Every symbol, timeframe and strategy together."""
     return symbols.crossJoin(F.broadcast(timeframes)).crossJoin(F.broadcast(strategies))

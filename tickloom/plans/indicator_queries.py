@@ -172,7 +172,12 @@ def pairs_signals(spark, folder):
     return df.select("time", "reason", "action", r("strength", 6), r("sl"), r("tp"))
 
 
-@query("pairs_stationary")
+@query("pairs_stationary", f"""{PAIR_STATS}, rg AS (SELECT i, regr_slope(s - ls, ls) AS b, regr_sxx(s - ls, ls) AS sxx, regr_syy(s - ls, ls) AS syy, regr_sxy(s - ls, ls) AS sxy, regr_count(s - ls, ls) AS m FROM ls GROUP BY 1),
+dt AS (SELECT i, b / sqrt((syy - sxy * sxy / sxx) / (m - 2) / sxx) AS t FROM rg),
+sg AS (SELECT q.time, z, CASE WHEN q.pos + 1 < 62 THEN 'insufficient_bars' WHEN t IS NULL OR t >= -3.37 THEN 'not_cointegrated' WHEN z IS NULL THEN 'insufficient_spread_data'
+    WHEN half IS NULL OR half > 60 THEN 'half_life_too_long' WHEN z < -2 THEN 'spread_low' WHEN z > 2 THEN 'spread_high' ELSE 'no_signal' END AS reason
+  FROM q LEFT JOIN hl ON q.pos = hl.i LEFT JOIN dt ON q.pos = dt.i)
+SELECT time, reason, CASE reason WHEN 'spread_low' THEN 'BUY' WHEN 'spread_high' THEN 'SELL' ELSE 'HOLD' END AS action, round(z, 6) AS zscore FROM sg""")
 def pairs_stationary(spark, folder):
     """Pairs signals gated by the Dickey-Fuller t of the window residuals."""
     df = G.pairs_trading(hourly(spark, folder), "click", "view", require_stationary=True)
