@@ -104,7 +104,9 @@ def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str) -> DataFrame:
-    raw = _existing(lambda: spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED").csv(path))
+    # rows with too many fields are only seen as malformed when all fields are parsed
+    raw = _existing(lambda: spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED").option(
+        "columnPruning", False).csv(path))
     return _empty(spark, schema) if raw is None else _typed(raw, schema)
 
 
@@ -147,7 +149,7 @@ def append_trials(df: DataFrame, path: str) -> str:
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """High-impact events with readable times; without time and impact columns there are none."""
     schema = "time timestamp, impact string, currency string, event string"
-    raw = _existing(lambda: spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path))
+    raw = _existing(lambda: spark.read.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path))
     if raw is None or not {"time", "impact"} <= set(raw.columns):
         return _empty(spark, schema)
     text = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
@@ -179,6 +181,6 @@ def load_summary(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Every Markdown file under a folder except ``_meta.md``: path and whole text."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return df.where(name != "_meta.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
