@@ -60,7 +60,7 @@ def ranked(trials: DataFrame, keys: Sequence[str] = (), score: str = "dsr", tie:
 def clusters(trials: DataFrame, by: str = "mapped_type") -> DataFrame:
     """Members of each type in score order with the size of their type; types without members are absent."""
     sizes = trials.groupBy(by).agg(F.count(F.lit(1)).alias("members"))
-    return ranked(trials, [by], name="rank_in_type").join(F.broadcast(sizes), by)
+    return ranked(trials, [by], name="rank_in_type").join(sizes, by)
 
 
 def best_trials(trials: DataFrame, n: int = 15, score: str = "dsr", tie: str = "sr_id") -> DataFrame:

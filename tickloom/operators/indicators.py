@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bars import newest_rows
-from .series import BUCKET_ROWS, Blocks, decay_halo, earlier_ranked, pos_bucket, settle, time_bucket, with_position
+from .series import BUCKET_ROWS, Blocks, decay_halo, earlier_ranked, exact_median, pos_bucket, settle, time_bucket, with_position
 
 
 def placed(bars: DataFrame, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600,
@@ -127,10 +127,9 @@ def volatility_regime(bars: DataFrame, n: int = 20, mode: str = "global", keys:
     df = b.df.withColumn("_lr", F.ln(F.try_divide(F.col("close"), F.lag("close").over(b.w))))
     vol = F.when(F.col("pos") >= n, F.stddev_samp("_lr").over(b.rows(-(n - 1), 0)))
     df = b.owned(df.withColumn("vol", vol)).drop("_lr")
-    if mode != "global":
-        df = settle(df)
+    df = settle(df)
     if mode == "global":
-        med = df.groupBy(*keys).agg(F.median("vol").alias("med"))
+        med = exact_median(df, keys, "vol", "med")
         above = F.col("vol") > F.col("med")
         return df.join(med, list(keys), "left").withColumn("regime", F.when(above, 1).otherwise(0)).drop("med")
     # above the median of m values means at least ceil(m / 2) of them are smaller

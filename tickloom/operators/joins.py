@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
@@ -37,24 +37,26 @@ def news_blackout(bars: DataFrame, calendar: DataFrame, minutes: int = 30, block
 def latest_quote(orders: DataFrame, quotes: DataFrame, order_id: str, ttl_seconds: int = 5) -> DataFrame:
     """Latest usable quote of the order's symbol not older than the limit; else ``stale``.
 
-    Orders look into their own and the previous slot of ``ttl`` length, so quotes
-    are matched by equality and a busy symbol is spread over its slots.
+    Time is cut into slots as long as the limit.  An order needs the quotes of its
+    own slot and the last one of the slot before, which is handed on as one row.
+    Orders and quotes of a slot are sorted together, so no pairs are built and a
+    busy symbol is spread over its slots.
     """
     width = ttl_seconds * 1_000_000
-    good = quotes.where((F.col("bid") != 0) & (F.col("ask") != 0)).select(
-        "symbol", F.unix_micros("time").alias("_qt"), "seq", "bid", "ask"
-    ).withColumn("_slot", F.floor(F.col("_qt") / F.lit(width)))
-    asked = orders.select(order_id, "symbol", F.unix_micros("time").alias("_ot"))
-    asked = asked.withColumn("_slot", F.explode(F.array(
-        F.floor(F.col("_ot") / F.lit(width)), F.floor(F.col("_ot") / F.lit(width)) - 1
-    )))
-    hits = asked.join(good, ["symbol", "_slot"]).where(
-        (F.col("_qt") <= F.col("_ot")) & (F.col("_qt") >= F.col("_ot") - F.lit(width))
-    )
-    best = hits.groupBy(order_id).agg(
-        F.max_by("bid", "seq").alias("bid"), F.max_by("ask", "seq").alias("ask"), F.max("_qt").alias("_qt")
+    slot = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    quote = F.struct(F.col("_t").alias("t"), "seq", "bid", "ask")
+    good = quotes.where((F.col("bid") != 0) & (F.col("ask") != 0)).withColumn("_t", F.unix_micros("time"))
+    good = good.select("symbol", slot("_t").alias("_slot"), "_t", "seq", quote.alias("_q"))
+    handed = good.groupBy("symbol", "_slot").agg(F.max("_q").alias("_q")).select(
+        "symbol", (F.col("_slot") + 1).alias("_slot"), F.col("_q.t").alias("_t"), F.col("_q.seq").alias("seq"), "_q"
     )
-    return orders.join(best, order_id, "left").withColumn("stale", F.col("_qt").isNull()).drop("_qt")
+    asked = orders.select(order_id, "symbol", F.unix_micros("time").alias("_t")).withColumn("_slot", slot("_t"))
+    both = good.unionByName(handed).withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("symbol", "_slot").orderBy("_t", "_side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_last", F.last("_q", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    fresh = F.col("_last.t") >= F.col("_t") - F.lit(width)
+    found = seen.select(order_id, F.when(fresh, F.col("_last.bid")).alias("bid"), F.when(fresh, F.col("_last.ask")).alias("ask"))
+    return orders.join(found, order_id, "left").withColumn("stale", F.col("bid").isNull())
 
 
 def with_finished_higher_bar(bars: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -95,7 +97,7 @@ def lookup_title(rows: DataFrame, titles: DataFrame, slug: str = "book_slug") ->
 
 def combos(symbols: DataFrame, timeframes: DataFrame, strategies: DataFrame) -> DataFrame:
     """Every symbol, timeframe and strategy together."""
-    return symbols.crossJoin(F.broadcast(timeframes)).crossJoin(F.broadcast(strategies))
+    return symbols.crossJoin(timeframes).crossJoin(strategies)
 
 
 def without_visited(candidates: DataFrame, visited: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def atr_volume(atr: Column, balance: float = 10_000.0, kelly: float = sizing.KEL
 
 
 def equity_points(trades: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",), extra: Sequence[str] = (),
-                  start: float = 10_000.0, block: int = 4096) -> DataFrame:
+                  start: float = 10_000.0, block: int = 128) -> DataFrame:
     """Marked equity at every bar on which a position is open or closes.
 
     On all other bars equity stays what it was, so they add nothing to drawdown

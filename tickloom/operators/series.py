@@ -217,6 +217,19 @@ def running(
     return out.select(*df.columns, *final)
 
 
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per key from ranks.
+
+    The built-in median holds all values of a key in one task; here values are
+    range-partitioned and only the one or two middle rows are kept.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    ranks = with_position(ranged(known, keys, [value]), keys, [value], F.col("_rb"), "_p", "_n")
+    low, high = F.floor((F.col("_n") - 1) / F.lit(2)), F.floor(F.col("_n") / F.lit(2))
+    middle = ranks.where((F.col("_p") == low) | (F.col("_p") == high))
+    return middle.groupBy(*keys).agg(F.avg(value).alias(name))
+
+
 def asof_last(
     left: DataFrame,
     right: DataFrame,

@@ -91,9 +91,8 @@ def cache_accepted(spark, folder):
 
 def stored_and_fetched(spark, folder):
     """Two overlapping pages of one history; the fetched one quotes higher closes."""
-    b = T.bars(spark, folder)
-    stored = b.where(F.col("time") < F.lit("2024-01-20").cast("timestamp"))
-    fetched = b.where(F.col("time") >= F.lit("2024-01-10").cast("timestamp")).withColumn("close", F.col("close") + F.lit(1.0))
+    stored = B.ticks_to_bars(T.ticks(spark, folder, end="2024-01-20"))
+    fetched = B.ticks_to_bars(T.ticks(spark, folder, start="2024-01-10")).withColumn("close", F.col("close") + F.lit(1.0))
     return stored, fetched
 
 

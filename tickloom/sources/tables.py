@@ -26,8 +26,13 @@ def plain_times(df: DataFrame) -> DataFrame:
     ])
 
 
-def ticks(spark: SparkSession, folder: str) -> DataFrame:
+def ticks(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Ticks from ``start`` to before ``end``; the bounds are compared before the cast, so they reach the scan."""
     ev = table(spark, folder, "events")
+    if start is not None:
+        ev = ev.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        ev = ev.where(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
     price = F.lit(1.0) + F.col("value") / F.lit(10000.0)
     return ev.select(
         F.col("event_type").alias("symbol"),

@@ -175,9 +175,8 @@ def target_sink(positions: DataFrame, out: str) -> Callable[[DataFrame, int], No
         spark = batch.sparkSession
         hits = target_touches(batch, positions)
         if batch_id > 0:
-            earlier = [f"{out}/batch={b}" for b in range(batch_id)]
-            done = spark.read.schema("ticket long").parquet(*earlier)
-            hits = hits.join(done, "ticket", "left_anti")
+            done = spark.read.schema("ticket long, batch long").parquet(out).where(F.col("batch") < batch_id)
+            hits = hits.join(done.select("ticket"), "ticket", "left_anti")
         hits.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return write
