@@ -20,21 +20,22 @@ def labelled(spark, folder):
     return settle(t.join(f, ["symbol", "pos"]).withColumn("label", F.when(F.col("profit") > 0, 1).otherwise(0)))
 
 
-def scored(spark, folder, boosted: bool):
+def scored(spark, folder, boosted: bool, parts: int):
+    """Refits in proportion to the data: one block more than there are fits."""
     data = labelled(spark, folder)
     n = data.count()
-    return M.profit_probability(data, refit_every=max(M.REFIT_EVERY, -(-n // 4)), boosted=boosted)
+    return M.profit_probability(data, refit_every=max(M.REFIT_EVERY, -(-n // parts)), boosted=boosted)
 
 
 @query("meta_filtered_signals")
 def meta_filtered_signals(spark, folder):
-    s = M.meta_filter(scored(spark, folder, False))
+    s = M.meta_filter(scored(spark, folder, False, 4))
     return s.select("symbol", "pos", "seq", "label", "action", r("prob", 4), "reason", r("strength", 4))
 
 
 @query("meta_filtered_boosted")
 def meta_filtered_boosted(spark, folder):
-    s = M.meta_filter(scored(spark, folder, True))
+    s = M.meta_filter(scored(spark, folder, True, 2))
     return s.select("symbol", "pos", "seq", "label", "action", r("prob", 4), "reason")
 
 

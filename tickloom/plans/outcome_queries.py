@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from ..operators import signals as G
 from ..operators import sweep as S
 from ..operators.series import settle
 from ..sources import tables as T
-from .indicator_queries import A14, CROSS, MR, VOL, decay
+from .indicator_queries import A14, CROSS, MR, decay, trend_sql
 from .registry import BARS, CALENDAR, POS, hourly, query, r
 
 WARMUP = 26
@@ -90,7 +91,21 @@ def bracket_trades(spark, folder):
 TREND_START = 50
 
 
-@query("trend_trades")
+def trend_trades_sql() -> str:
+    """The trend strategy's own signals, then outcomes and chain under names of their own."""
+    steps = chosen_sql(outcome_sql("WITH x", "y"))
+    tail = steps[steps.index("s AS (SELECT sg.*"):]
+    tail = re.sub(r"\b(s|tr|n)\b", r"z_\1", tail)
+    head = trend_sql("standard").replace("WITH ", "WITH RECURSIVE ", 1)
+    head = head[: head.rindex("SELECT symbol, time, CASE WHEN reason = 'go'")].rstrip()
+    risk = "1.5 * abs(close - sl)"
+    return f"""{head}, z_n AS (SELECT symbol, count(*) AS z_n FROM b GROUP BY 1),
+sg AS (SELECT symbol, pos, time, CASE WHEN d = 'bullish' THEN 'BUY' ELSE 'SELL' END AS action, sl,
+    CASE WHEN d = 'bullish' THEN close + {risk} ELSE close - {risk} END AS tp FROM rs WHERE reason = 'go' AND pos >= {TREND_START}),
+{tail} SELECT {TRADE_COLS} FROM z_tr"""
+
+
+@query("trend_trades", trend_trades_sql())
 def trend_trades(spark, folder):
     bars = placed_bars(spark, folder)
     s = G.trend_following(bars).where((F.col("pos") >= TREND_START) & (F.col("action") != "HOLD"))
@@ -178,24 +193,60 @@ SPACE = {"ema_fast": [5, 9], "ema_slow": [13, 21], "atr_multiplier": [1.5, 2.5]}
 FOLDS, EMBARGO = 5, 24
 
 
-def sweep_sql() -> str:
+def sweep_sql(reversion: bool = False) -> str:
     """Every parameter set on every fold from the definitions, in one statement."""
+    per_fold = lambda sql: sql.replace("PARTITION BY symbol", "PARTITION BY symbol, fold")
+    if reversion:
+        signals, ready, target = reversion_sql(per_fold), "greatest(bn, rn, 14) + 5", "2.0"
+    else:
+        signals, ready, target = cross_sql(per_fold), "greatest(s, 14) + 5", "3.0"
+    return sweep_tail(signals, ready, target, per_fold)
+
+
+REVERSION_SPACE = {"bb_period": [15, 20], "bb_std": [1.5, 2.0], "rsi_period": [7, 14], "rsi_os": [40.0], "rsi_ob": [60.0], "atr_multiplier": [1.5]}
+
+
+def reversion_sql(per_fold) -> str:
+    sets = S.grid(REVERSION_SPACE)
+    bands, osc = sorted({p["bb_period"] for p in sets}), sorted({p["rsi_period"] for p in sets})
+    cols = ", ".join(f"CASE WHEN pos >= {n - 1} THEN avg(close) OVER b{n} END AS m{n}, CASE WHEN pos >= {n - 1} THEN stddev_pop(close) OVER b{n} END AS d{n}" for n in bands)
+    windows = ", ".join(f"b{n} AS (PARTITION BY symbol, fold ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in bands)
+    ups = ", ".join(per_fold(f"{decay('greatest(move, 0)', f'(1.0::DOUBLE / {n}.0)')} AS u{n}, {decay('greatest(-move, 0)', f'(1.0::DOUBLE / {n}.0)')} AS w{n}") for n in osc)
+    values = ", ".join(f"({p['param_id']}, {p['bb_period']}, {p['bb_std']}::DOUBLE, {p['rsi_period']}, {p['atr_multiplier']}::DOUBLE)" for p in sets)
+    pick = lambda k, c, ns: f"CASE {k} " + " ".join(f"WHEN {n} THEN {c}{n}" for n in ns) + " END"
+    return f"""i1 AS (SELECT *, {cols} FROM i0 WINDOW {windows}),
+mv AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol, fold ORDER BY pos) AS move FROM b),
+os AS (SELECT symbol, fold, pos, {ups} FROM mv WHERE pos > 0),
+ps(param_id, bn, k, rn, m) AS (VALUES {values}),
+g0 AS (SELECT i1.*, ps.*, {pick('bn', 'm', bands)} AS mid, {pick('bn', 'd', bands)} AS dev, {pick('rn', 'u', osc)} AS up, {pick('rn', 'w', osc)} AS dn
+  FROM i1 LEFT JOIN os USING (symbol, fold, pos), ps),
+g1 AS (SELECT *, coalesce(CASE WHEN dn > 0 THEN 100.0 - 100.0 / (1.0 + up / dn) END, 50.0) AS rsi, coalesce(mid - k * dev, close) AS lo, coalesce(mid + k * dev, close) AS hi FROM g0),
+sg AS (SELECT symbol, fold, param_id, pos, n, close, atr, m, CASE WHEN close <= lo AND rsi < 40 THEN 'BUY' ELSE 'SELL' END AS action FROM g1
+  WHERE pos >= greatest(bn, rn, 14) + 5 AND pos <= n - 2 AND ((close <= lo AND rsi < 40) OR (close >= hi AND rsi > 60))),"""
+
+
+def cross_sql(per_fold) -> str:
     sets = S.grid(SPACE)
     spans = sorted({p[k] for p in sets for k in ("ema_fast", "ema_slow")})
-    emas = ", ".join(f"{decay('close', f'(2.0::DOUBLE / {n + 1}.0)')} AS e{n}" for n in spans).replace("PARTITION BY symbol", "PARTITION BY symbol, fold")
+    emas = ", ".join(per_fold(f"{decay('close', f'(2.0::DOUBLE / {n + 1}.0)')} AS e{n}") for n in spans)
     values = ", ".join(f"({p['param_id']}, {p['ema_fast']}, {p['ema_slow']}, {p['atr_multiplier']}::DOUBLE)" for p in sets)
     pick = lambda k: "CASE " + k + " " + " ".join(f"WHEN {n} THEN e{n}" for n in spans) + " END"
+    return f"""i1 AS (SELECT *, {emas} FROM i0),
+ps(param_id, f, s, m) AS (VALUES {values}),
+g0 AS (SELECT i1.*, ps.*, {pick('f')} - {pick('s')} AS gap FROM i1, ps),
+g1 AS (SELECT *, lag(gap) OVER (PARTITION BY symbol, fold, param_id ORDER BY pos) AS prev FROM g0),
+sg AS (SELECT symbol, fold, param_id, pos, n, close, atr, m, CASE WHEN prev <= 0 AND gap > 0 THEN 'BUY' ELSE 'SELL' END AS action FROM g1
+  WHERE pos >= greatest(s, 14) + 5 AND pos <= n - 2 AND ((prev <= 0 AND gap > 0) OR (prev >= 0 AND gap < 0))),"""
+
+
+def sweep_tail(signals: str, ready: str, target: str, per_fold) -> str:
     head = f"""{BARS.replace("WITH ", "WITH RECURSIVE ", 1)}, gp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS gpos, count(*) OVER (PARTITION BY symbol) AS gn FROM bars),
 gf AS (SELECT *, least(gpos // (gn // {FOLDS}), {FOLDS - 1}) AS fold FROM gp),
 b AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY time) - 1 AS pos, count(*) OVER (PARTITION BY symbol, fold) AS n FROM gf),
 t0 AS (SELECT *, greatest(abs(high - low), abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM b WINDOW w AS (PARTITION BY symbol, fold ORDER BY pos)),
-i0 AS (SELECT *, {emas}, {decay('tr', A14).replace('PARTITION BY symbol', 'PARTITION BY symbol, fold')} AS atr FROM t0),
-ps(param_id, f, s, m) AS (VALUES {values}),
-g0 AS (SELECT i0.*, ps.*, {pick('f')} - {pick('s')} AS gap FROM i0, ps),
-g1 AS (SELECT *, lag(gap) OVER (PARTITION BY symbol, fold, param_id ORDER BY pos) AS prev FROM g0),
-sg AS (SELECT symbol, fold, param_id, pos, n, close, atr, m, CASE WHEN prev <= 0 AND gap > 0 THEN 'BUY' ELSE 'SELL' END AS action FROM g1
-  WHERE pos >= greatest(s, 14) + 5 AND pos <= n - 2 AND ((prev <= 0 AND gap > 0) OR (prev >= 0 AND gap < 0))),
-s AS (SELECT *, CASE action WHEN 'BUY' THEN close - m * atr ELSE close + m * atr END AS sl, CASE action WHEN 'BUY' THEN close + 3.0 * atr ELSE close - 3.0 * atr END AS tp FROM sg),
+i0 AS (SELECT *, {per_fold(decay('tr', A14))} AS atr FROM t0),
+{signals}
+s AS (SELECT *, CASE action WHEN 'BUY' THEN close - m * atr ELSE close + m * atr END AS sl, CASE action WHEN 'BUY' THEN close + {target} * atr ELSE close - {target} * atr END AS tp FROM sg),
 tc AS (SELECT s.symbol, s.fold, s.param_id, s.pos, min(x.pos) AS t FROM s JOIN b x ON x.symbol = s.symbol AND x.fold = s.fold AND x.pos > s.pos AND x.pos <= s.n - 2
   AND ((action = 'BUY' AND (x.low <= sl OR x.high >= tp)) OR (action = 'SELL' AND (x.high >= sl OR x.low <= tp))) GROUP BY 1, 2, 3, 4),
 ex AS (SELECT s.*, t, coalesce(t, n - 1) AS exit_pos FROM s LEFT JOIN tc USING (symbol, fold, param_id, pos)),
@@ -206,7 +257,7 @@ nx AS (SELECT a.symbol, a.fold, a.param_id, a.pos, min(z.pos) AS nxt FROM o a LE
 tk AS (SELECT symbol, fold, param_id, min(pos) AS pos FROM o GROUP BY 1, 2, 3 UNION ALL SELECT nx.symbol, nx.fold, nx.param_id, nx.nxt FROM tk JOIN nx USING (symbol, fold, param_id, pos) WHERE nx.nxt IS NOT NULL),
 tr AS (SELECT o.* FROM o JOIN tk USING (symbol, fold, param_id, pos)),
 cm AS (SELECT symbol, fold, param_id, pos, exit_pos, action, entry, sum(profit) OVER w AS aft, sum(profit) OVER w - profit AS bef FROM tr WINDOW w AS (PARTITION BY symbol, fold, param_id ORDER BY pos)),
-bb AS (SELECT b.symbol, b.fold, ps.param_id, b.pos, b.time, b.close, b.n FROM b, ps WHERE b.pos >= greatest(s, 14) + 5 AND n >= greatest(s, 14) + 7),
+bb AS (SELECT b.symbol, b.fold, ps.param_id, b.pos, b.time, b.close, b.n FROM b, ps WHERE b.pos >= {ready} AND n >= {ready} + 2),
 cv AS (SELECT bb.*, cm.exit_pos, CASE WHEN cm.pos IS NULL THEN 10000.0 WHEN bb.pos < cm.exit_pos THEN 10000.0 + bef + CASE cm.action WHEN 'BUY' THEN 1 ELSE -1 END * (bb.close - cm.entry) / 0.0001 ELSE 10000.0 + aft END AS equity
   FROM bb ASOF LEFT JOIN cm ON bb.symbol = cm.symbol AND bb.fold = cm.fold AND bb.param_id = cm.param_id AND bb.pos >= cm.pos),
 curve AS (SELECT * FROM cv WHERE pos < n - 1 OR exit_pos = n - 1),
@@ -251,18 +302,21 @@ def sweep_fold_summary(spark, folder):
     return c.select("symbol", "param_id", r("sharpe", 6), r("sortino", 6), r("win_rate", 6), r("max_drawdown", 8), "trades", "n_folds")
 
 
-@query("sweep_scoreboard", f"""{CELLS}, ag AS (SELECT symbol, param_id, avg(sharpe) AS sharpe, avg(win_rate) AS win_rate, max(max_drawdown) AS dd, sum(trades) AS trades FROM cell WHERE bars >= 50 GROUP BY 1, 2),
-bd AS (SELECT param_id, avg(sharpe) AS sharpe, avg(win_rate) AS win_rate, max(dd) AS max_dd, bool_and(sharpe > 1.5 AND dd < 0.05 AND win_rate > 0.3) AS guard_pass, sum(trades)::BIGINT AS trades FROM ag GROUP BY 1),
+def board_sql(cells: str, floor: float) -> str:
+    return f"""{cells}, ag AS (SELECT symbol, param_id, avg(sharpe) AS sharpe, avg(win_rate) AS win_rate, max(max_drawdown) AS dd, sum(trades) AS trades FROM cell WHERE bars >= 50 GROUP BY 1, 2),
+bd AS (SELECT param_id, avg(sharpe) AS sharpe, avg(win_rate) AS win_rate, max(dd) AS max_dd, bool_and(sharpe > 1.5 AND dd < 0.05 AND win_rate > {floor}) AS guard_pass, sum(trades)::BIGINT AS trades FROM ag GROUP BY 1),
 pl AS (SELECT count(*)::DOUBLE AS n, avg(sharpe) AS m, stddev_samp(sharpe) AS sd FROM bd)
 SELECT param_id::BIGINT AS param_id, round(sharpe, 6) AS sharpe, round(win_rate, 6) AS win_rate, round(max_dd, 8) AS max_dd, guard_pass, trades,
-  round(sharpe - (m + sd * (sqrt(2 * ln(n)) - (ln(ln(n)) + {math.log(4 * math.pi)!r}) / (2 * sqrt(2 * ln(n))))), 6) AS dsr FROM bd, pl""")
+  round(sharpe - (m + sd * (sqrt(2 * ln(n)) - (ln(ln(n)) + {math.log(4 * math.pi)!r}) / (2 * sqrt(2 * ln(n))))), 6) AS dsr FROM bd, pl"""
+
+
+@query("sweep_scoreboard", board_sql(CELLS, 0.3))
 def sweep_scoreboard(spark, folder):
     b = S.sweep(hourly(spark, folder), "ema_crossover", S.grid(SPACE), FOLDS, EMBARGO)
     return b.select("param_id", r("sharpe", 6), r("win_rate", 6), r("max_dd", 8), "guard_pass", "trades", r("dsr", 6))
 
 
-@query("sweep_reversion")
+@query("sweep_reversion", board_sql(sweep_sql(reversion=True), 0.5))
 def sweep_reversion(spark, folder):
-    grid = S.grid({"bb_period": [15, 20], "bb_std": [1.5, 2.0], "rsi_period": [7, 14], "rsi_os": [40.0], "rsi_ob": [60.0], "atr_multiplier": [1.5]})
-    b = S.sweep(hourly(spark, folder), "mean_reversion", grid, FOLDS, EMBARGO)
+    b = S.sweep(hourly(spark, folder), "mean_reversion", S.grid(REVERSION_SPACE), FOLDS, EMBARGO)
     return b.select("param_id", r("sharpe", 6), r("win_rate", 6), r("max_dd", 8), "guard_pass", "trades", r("dsr", 6))

@@ -145,6 +145,12 @@ def history_sink(path: str, tf: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def start_history(bars: DataFrame, path: str, tf: str, checkpoint: str):
+    """Keep a bar history up to date: changed bars are flushed every 30 seconds."""
+    return bars.writeStream.outputMode("update").foreachBatch(history_sink(path, tf)).option("checkpointLocation", checkpoint).trigger(
+        processingTime=FLUSH_EVERY).start()
+
+
 def account_sink(out: str, state: str, cooling_hours: float = 24.0) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer of breaker verdicts; the state is one row per account and batch."""
 
