@@ -61,18 +61,43 @@ def page_paths(spark, folder):
     return X.section_paths(pages, "page_id")
 
 
-@query("section_paths", f"""{SEC.replace("'# \\2'", "'## \\2'")}, al AS (SELECT page_id, section, level, title, body FROM sec WHERE level IN (2, 3) UNION ALL
-  SELECT page_id, section, 0, '(preamble)', piece FROM pc WHERE NOT regexp_matches(piece, '\\A#{{1,6}}[ \\t]'))
-SELECT page_id, section, [title] AS path, md5(regexp_replace(body, '\\A\\s+|\\s+\\z', '', 'g')) AS body_md5 FROM al WHERE regexp_replace(body, '\\A\\s+|\\s+\\z', '', 'g') <> ''""")
+TRIMMED = "regexp_replace(body, '\\A\\s+|\\s+\\z', '', 'g')"
+PATHS = f"""{SEC.replace("'# \\2'", "'## \\2'")}, al AS (SELECT page_id, section, level, title, body FROM sec WHERE level IN (2, 3) UNION ALL
+  SELECT page_id, section, 0, '(preamble)', piece FROM pc WHERE NOT regexp_matches(piece, '\\A#{{1,6}}[ \\t]')),
+pt AS (SELECT page_id, section, title, {TRIMMED} AS body FROM al WHERE {TRIMMED} <> '')"""
+CHUNK = 2000
+
+
+def chunk_sql() -> str:
+    """The packing rule as a recursion over the pieces of a page."""
+    opens = f"CASE WHEN it.big THEN it.k = 0 OR rec.chars + it.len > {CHUNK} ELSE rec.big OR rec.chars + it.len > {CHUNK} END"
+    shown = "string_agg(CASE WHEN it.big THEN t ELSE '### ' || title || chr(10) || chr(10) || t END, chr(10) || chr(10) ORDER BY it.i)"
+    return f"""{PATHS.replace("WITH ", "WITH RECURSIVE ", 1)},
+pp AS (SELECT *, length(body) > {CHUNK} AS big FROM pt),
+pk AS (SELECT page_id, section, title, big, unnest(p) AS t, unnest(range(len(p))) AS k FROM (SELECT *, CASE WHEN big THEN string_split(body, chr(10) || chr(10)) ELSE [body] END AS p FROM pp)),
+it AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY section, k) AS i, length(t) AS len, CASE WHEN big THEN length(t) + 2 ELSE length(t) + length(title) + 8 END AS more FROM pk),
+rec AS (SELECT page_id, i, 1 AS no, more AS chars, big FROM it WHERE i = 1 UNION ALL
+  SELECT it.page_id, it.i, rec.no + CASE WHEN {opens} THEN 1 ELSE 0 END,
+    CASE WHEN NOT ({opens}) THEN rec.chars + it.more WHEN it.big AND it.k > 0 THEN it.len ELSE it.more END, it.big
+  FROM rec JOIN it ON it.page_id = rec.page_id AND it.i = rec.i + 1)
+SELECT page_id, no::BIGINT AS chunk, arg_min([title], it.i) AS path, md5({shown}) AS body_md5,
+  (CASE WHEN bool_or(it.big) THEN arg_max(chars, it.i) ELSE length({shown}) END // {CHUNK_TOKEN})::BIGINT AS token_estimate
+FROM rec JOIN it USING (page_id, i) GROUP BY page_id, no"""
+
+
+CHUNK_TOKEN = X.CHARS_PER_TOKEN
+
+
+@query("section_paths", f"{PATHS} SELECT page_id, section, [title] AS path, md5(body) AS body_md5 FROM pt")
 def section_paths(spark, folder):
     p = page_paths(spark, folder)
     return p.select("page_id", "section", "path", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
 
 
-@query("page_chunks")
+@query("page_chunks", chunk_sql())
 def page_chunks(spark, folder):
-    """Page sections packed into chunks of about 2000 characters (folding has no short SQL form)."""
-    c = X.pack_chunks(page_paths(spark, folder), "page_id", 2000)
+    """Page sections packed into chunks of at most 2000 characters."""
+    c = X.pack_chunks(page_paths(spark, folder), "page_id", CHUNK)
     return c.select("page_id", "chunk", "path", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), "token_estimate")
 
 
