@@ -181,26 +181,27 @@ def history_cap(spark, folder):
 
 
 @query("tail_holdout", f"""{POS}, n AS (SELECT symbol, count(*) AS k FROM b GROUP BY 1)
-SELECT {OHLCV} FROM b JOIN n USING (symbol) WHERE pos >= floor(k * 0.7)""")
+SELECT {OHLCV} FROM b JOIN n USING (symbol) WHERE pos >= floor(k * 0.7::DOUBLE)""")
 def tail_holdout(spark, folder):
     return B.tail_holdout(hourly(spark, folder), 0.7)
 
 
-@query("fold_assignment", f"""{POS}, n AS (SELECT symbol, count(*) AS n_rows FROM b GROUP BY 1)
-SELECT symbol, time, pos, n_rows, least(pos // (n_rows // 5), 4)::BIGINT AS fold,
-  (least(pos // (n_rows // 5), 4) * (n_rows // 5))::BIGINT AS test_start,
-  CASE WHEN pos // (n_rows // 5) >= 4 THEN n_rows ELSE (pos // (n_rows // 5) + 1) * (n_rows // 5) END::BIGINT AS test_end
-FROM b JOIN n USING (symbol)""")
+# below 5 * (2 * 24 + 2) rows there is one fold: the last fifth
+FOLD_N = f"""{POS}, n AS (SELECT symbol, count(*) AS n_rows, count(*) < 250 AS small, floor(count(*) * (1 - 1.0::DOUBLE / 5))::BIGINT AS cut, count(*) // 5 AS size FROM b GROUP BY 1)"""
+
+
+@query("fold_assignment", f"""{FOLD_N}, f AS (SELECT symbol, time, pos, n_rows, small, cut, size, CASE WHEN NOT small THEN least(pos // size, 4) WHEN pos >= cut THEN 0 END AS fold FROM b JOIN n USING (symbol))
+SELECT symbol, time, pos, n_rows, fold::BIGINT AS fold, (CASE WHEN small THEN cut ELSE fold * size END)::BIGINT AS test_start,
+  (CASE WHEN small OR fold = 4 THEN n_rows ELSE (fold + 1) * size END)::BIGINT AS test_end FROM f""")
 def fold_assignment(spark, folder):
     cols = ("symbol", "time", "pos", "n_rows", "fold", "test_start", "test_end")
     return B.fold_bars(hourly(spark, folder), 5, 24).select(*cols)
 
 
-@query("fold_bounds", f"""{BARS}, n AS (SELECT symbol, count(*) AS n_rows FROM bars GROUP BY 1),
-f AS (SELECT symbol, n_rows, k AS fold, k * (n_rows // 5) AS s, CASE WHEN k = 4 THEN n_rows ELSE (k + 1) * (n_rows // 5) END AS e
-  FROM n, range(5) t(k))
+@query("fold_bounds", f"""{FOLD_N}, f AS (SELECT symbol, n_rows, small, k AS fold, CASE WHEN small THEN cut ELSE k * size END AS s, CASE WHEN small OR k = 4 THEN n_rows ELSE (k + 1) * size END AS e
+  FROM n, range(5) t(k) WHERE k = 0 OR NOT small)
 SELECT symbol, fold::BIGINT AS fold, s::BIGINT AS test_start, e::BIGINT AS test_end, greatest(s - 24, 0)::BIGINT AS train_until,
-  least(n_rows, e + 24)::BIGINT AS train_from FROM f""")
+  (CASE WHEN small THEN n_rows ELSE least(n_rows, e + 24) END)::BIGINT AS train_from FROM f""")
 def fold_bounds(spark, folder):
     return B.fold_bounds(T.bars(spark, folder), 5, 24)
 

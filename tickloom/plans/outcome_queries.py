@@ -241,8 +241,8 @@ sg AS (SELECT symbol, fold, param_id, pos, n, close, atr, m, CASE WHEN prev <= 0
 
 def sweep_tail(signals: str, ready: str, target: str, per_fold) -> str:
     head = f"""{BARS.replace("WITH ", "WITH RECURSIVE ", 1)}, gp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS gpos, count(*) OVER (PARTITION BY symbol) AS gn FROM bars),
-gf AS (SELECT *, least(gpos // (gn // {FOLDS}), {FOLDS - 1}) AS fold FROM gp),
-b AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY time) - 1 AS pos, count(*) OVER (PARTITION BY symbol, fold) AS n FROM gf),
+gf AS (SELECT *, CASE WHEN gn >= {FOLDS * (2 * EMBARGO + 2)} THEN least(gpos // (gn // {FOLDS}), {FOLDS - 1}) WHEN gpos >= floor(gn * (1 - 1.0::DOUBLE / {FOLDS})) THEN 0 END AS fold FROM gp),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY time) - 1 AS pos, count(*) OVER (PARTITION BY symbol, fold) AS n FROM gf WHERE fold IS NOT NULL),
 t0 AS (SELECT *, greatest(abs(high - low), abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM b WINDOW w AS (PARTITION BY symbol, fold ORDER BY pos)),
 i0 AS (SELECT *, {per_fold(decay('tr', A14))} AS atr FROM t0),
 {signals}
@@ -271,8 +271,10 @@ ss AS (SELECT symbol, fold, param_id, CASE WHEN stddev_samp(r) > 1e-15 THEN avg(
 pk AS (SELECT *, max(equity) OVER (PARTITION BY symbol, fold, param_id ORDER BY pos) AS peak FROM curve),
 dd AS (SELECT symbol, fold, param_id, max((peak - equity) / peak) AS dd, any_value(n) AS n FROM pk GROUP BY 1, 2, 3),
 tw AS (SELECT symbol, fold, param_id, count(*) AS trades, count(*) FILTER (WHERE profit > 0) AS wins FROM tr GROUP BY 1, 2, 3),
-cell AS (SELECT symbol, fold, param_id, n AS bars, sharpe, sortino, dd AS max_drawdown, CASE WHEN sharpe > 0 AND dd > 0 THEN sharpe / dd ELSE 0 END AS calmar,
-  coalesce(wins / trades, 0) AS win_rate, coalesce(trades, 0) AS trades FROM ss JOIN dd USING (symbol, fold, param_id) LEFT JOIN tw USING (symbol, fold, param_id))"""
+sz AS (SELECT symbol, fold, count(*) AS bars FROM b GROUP BY 1, 2),
+cell AS (SELECT symbol, fold, param_id, bars, coalesce(sharpe, 0) AS sharpe, coalesce(sortino, 0) AS sortino, coalesce(dd, 0) AS max_drawdown, CASE WHEN sharpe > 0 AND dd > 0 THEN sharpe / dd ELSE 0 END AS calmar,
+  coalesce(wins / trades, 0) AS win_rate, coalesce(trades, 0) AS trades FROM (SELECT symbol, fold, param_id, bars FROM sz, ps) LEFT JOIN ss USING (symbol, fold, param_id)
+  LEFT JOIN dd USING (symbol, fold, param_id) LEFT JOIN tw USING (symbol, fold, param_id))"""
     return head
 
 
