@@ -1,41 +1,6 @@
 from tickloom.operators import texts as X
 
 
-def packed(sections, target):
-    """Direct greedy packing used as the yardstick: (path, body) pairs to (path, body, tokens)."""
-    out, parts, path, size = [], [], None, 0
-
-    def flush():
-        nonlocal parts, size
-        if parts:
-            body = "\n\n".join(parts)
-            out.append((path, body, len(body) // 4))
-        parts, size = [], 0
-
-    for p, body in sections:
-        if len(body) > target:
-            flush()
-            buf, n = [], 0
-            for para in body.split("\n\n"):
-                if buf and n + len(para) > target:
-                    out.append((p, "\n\n".join(buf), n // 4))
-                    buf, n = [para], len(para)
-                else:
-                    buf.append(para)
-                    n += len(para) + 2
-            out.append((p, "\n\n".join(buf), n // 4))
-            continue
-        if parts and size + len(body) > target:
-            flush()
-        if not parts:
-            path = p
-        pre = " > ".join(p)
-        parts.append(f"### {pre}\n\n{body}")
-        size += len(body) + len(pre) + 8
-    flush()
-    return out
-
-
 TEXT = "intro line\n\n## One\n" + "a" * 30 + "\n\n### Deep\n" + "b" * 25 + "\n## Empty\n\n### Under\nshort\n## Long\n" + "\n\n".join(c * 40 for c in "wxyz") + "\n\n## Tail\nend"
 
 
@@ -45,9 +10,16 @@ def test_paths_and_chunks(spark):
     got = [(list(r.path), r.body) for r in paths if r.id == 1]
     assert [p for p, _ in got] == [["(preamble)"], ["One"], ["One", "Deep"], ["Empty", "Under"], ["Long"], ["Tail"]]
     assert [(list(r.path), r.body) for r in paths if r.id == 2] == [(["(root)"], "no headings\n\nat all")]
-    for target in (50, 90, 1000):
-        chunks = X.pack_chunks(X.section_paths(docs, "id"), "id", target).orderBy("chunk").collect()
-        assert [(list(c.path), c.body, c.token_estimate) for c in chunks if c.id == 1] == packed(got, target)
+    # (last heading, characters, tokens, sections in the chunk), worked out by hand from the lengths
+    want = {
+        50: [("(preamble)", 26, 6, 1), ("One", 39, 9, 1), ("Deep", 67, 16, 2)] + [("Long", 40, 10, 0)] * 4 + [("Tail", 13, 3, 1)],
+        90: [("(preamble)", 67, 16, 2), ("Deep", 67, 16, 2), ("Long", 82, 21, 0), ("Long", 82, 20, 0), ("Tail", 13, 3, 1)],
+        1000: [("(preamble)", 329, 82, 6)],
+    }
+    for target, shape in want.items():
+        chunks = X.pack_chunks(X.section_paths(docs.where("id = 1"), "id"), "id", target).orderBy("chunk").collect()
+        assert [(c.path[-1], len(c.body), c.token_estimate, c.body.count("### ")) for c in chunks] == shape
+        assert "\n\n".join(c.body for c in chunks).count("w" * 40 + "\n\n" + "x" * 40) == 1
 
 
 def test_sections_and_search(spark):

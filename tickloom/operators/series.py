@@ -8,6 +8,8 @@ symbol alone.  Three shapes cover every ordered operator of the library:
   also sees a halo of the rows before and after it;
 * ``running`` - unbounded frames: running values inside a bucket plus the carry
   of the earlier buckets, taken from a table with one row per bucket.
+
+Keys and buckets must not be null.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,15 +203,29 @@ def connected(beats: DataFrame, as_of, limit_seconds: int = 15) -> DataFrame:
     return last.withColumn("connected", age <= F.lit(limit_seconds * 1_000_000))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """State stores are not merged at run time, so size them by the cores there are."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Run an append stream over what is there and read back what it wrote."""
-    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option(
-        "path", f"{folder}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_partitions(spark):
+        q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option(
+            "path", f"{folder}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def drain_with(stream: DataFrame, writer: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
     """Run a stream through a foreachBatch writer over what is there."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_partitions(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
