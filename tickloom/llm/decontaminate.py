@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .words import LETTERS, Words
+from .words import LETTERS, Words, slices
 
 SEED_WORDS = 5
 SHARE = 0.6
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -168,12 +169,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     for block in blocks(benchmark, share):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            kind = None
-            for batch in batches:
+            for batch in slices(batches, 1, SLICE_BYTES):
                 rows = [(d, *m) for d, ms in _matches(block.value, batch.column(1), share).items() for m in ms]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array([block.value.ids[i] for i in cols[1]], kind or _item_type(block.value.ids)), *[pa.array(c, pa.int64()) for c in cols[2:]]],
+                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array([block.value.ids[i] for i in cols[1]], _item_type(block.value.ids)), *[pa.array(c, pa.int64()) for c in cols[2:]]],
                     ["doc_id", "item_id", "item_words", "covered_words", "tiles"])
 
         part = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, item_words long, covered_words long, tiles long")
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], block=block, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, at, SLICE_BYTES):
                 clean = np.ones(batch.num_rows, bool)
                 clean[list(_matches(block.value, batch.column(at), share))] = False
                 yield batch.filter(pa.array(clean))

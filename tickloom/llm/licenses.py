@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settled
-from .words import LETTERS, Words
+from .words import LETTERS, Words, slices
 
 # Phrases and labels of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -64,7 +64,7 @@ HIT = pa.struct([("k", pa.int32()), ("pos", pa.int64()), ("gram", pa.int64()), (
 
 def _hits(known: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2, 8 << 20):
             words = Words(batch.column(2), LETTERS, keep_spans=True)
             found: list[list] = [[] for _ in range(words.n)]
             for k, table in known.items():

@@ -60,6 +60,18 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterato
         i = j
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts take about ``limit`` bytes; one row at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, n = np.concatenate([[0], np.cumsum(size)]), batch.num_rows
+        i = 0
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every word; words end at document borders."""
     n = len(data)
