@@ -22,8 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import crc_of_id, text_of
+from .common import crc_of_id
 from .words import pieces, utf8
 
 TRAIN_DOCS = 600      # bound of the sample, per language
@@ -148,6 +149,16 @@ class Model:
                 chance[rows] *= c
         return out.tolist(), chance
 
+    def label(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Predicted language and score of each text."""
+        pred, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+        if self.langs:
+            for i, j, x, letter in features(column):
+                names, chance = self.predict(x)
+                pred[i:j] = np.where(letter, np.array(names, object), UNKNOWN)
+                score[i:j] = np.where(letter, chance, 0.0)
+        return pred, score
+
 
 def train(docs: DataFrame, learn=None, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on rows of ``docs`` (text, lang) for which the condition ``learn`` holds."""
@@ -182,16 +193,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            if shared.value.langs:
-                for i, j, x, letter in features(batch.column(at)):
-                    names, chance = shared.value.predict(x)
-                    pred[i:j] = np.where(letter, np.array(names, object), UNKNOWN)
-                    score[i:j] = np.where(letter, chance, 0.0)
+            pred, score = shared.value.label(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     shape = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(run, shape)
 
@@ -209,5 +213,11 @@ def language_digest(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, learnt from all labelled ones; their columns as they are."""
     model = train(docs.select("doc_id", "text", "lang"))
-    both = identify(docs.select(F.struct(*docs.columns).alias("_row"), text_of().alias("text")), model)
-    return both.where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, _ = shared.value.label(batch.column(at))
+            yield batch.filter(pa.array(pred != UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blobscan, decontaminate, exact, jaccard, langid, licenses, lm, mixing, sharding
+from . import blobscan, chat, decontaminate, exact, jaccard, langid, licenses, lm, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.tool_digest(table(spark, sf_dir, "conversations"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,5 +51,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_decontamination, op4_sharding, op5_licenses, op6_exact_dedup, op7_language_id, op8_secrets, op9_ngram_join, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tool_calls, op3_decontamination, op4_sharding, op5_licenses, op6_exact_dedup, op7_language_id, op8_secrets, op9_ngram_join, op10_language_model)}
 ORACLES = {"op1_mixing": mixing.TAKEN_SQL, "op5_licenses": licenses.license_sql(), "op6_exact_dedup": exact.GROUPS_SQL}
