@@ -41,8 +41,8 @@ from .words import Words, mix, sets, slices
 
 SHINGLE = 5
 PERCENT = 80
-BUCKET_BYTES = 16 << 20     # of text, for one bucket of shingles
-SLICE_BYTES = 16 << 20      # of text, worked on at a time
+BUCKET_BYTES = 8 << 20     # of text, for one bucket of shingles
+SLICE_BYTES = 4 << 20      # of text, worked on at a time
 FREQUENT = 1 << 20          # longest broadcast list of frequent shingles
 FIRST_HUBS, MORE_HUBS = 2, 8
 NOBODY = np.uint32(0xFFFFFFFF)
