@@ -64,7 +64,7 @@ HIT = pa.struct([("k", pa.int32()), ("pos", pa.int64()), ("gram", pa.int64()), (
 
 def _hits(known: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 8 << 20):
+        for batch in slices(batches, 2, 4 << 20):
             words = Words(batch.column(2), LETTERS, keep_spans=True)
             found: list[list] = [[] for _ in range(words.n)]
             for k, table in known.items():

@@ -36,8 +36,8 @@ VOCABULARY = 1022
 KNOWN_WORDS = 1 << 20       # longest broadcast table of counts
 TRAIN_SHARE = 1 / 12        # of the training documents, for the recurrent weights
 WARM_DOCS = 1500            # for the first weights, in one task
-BUCKET_BYTES = 16 << 20     # of text, for one bucket of words
-SLICE_BYTES = 8 << 20       # of text, worked on at a time
+BUCKET_BYTES = 8 << 20     # of text, for one bucket of words
+SLICE_BYTES = 4 << 20       # of text, worked on at a time
 END, OTHER = 0, 1
 
 
