@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,14 @@ def lookup(left: DataFrame, table: DataFrame, keys: Sequence[str], values: Seque
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def numbers(df: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
+    """Long columns of a table of bounded length as arrays on the driver, moved as packed bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().astype(np.int64).tobytes()], pa.binary()) for i in range(len(columns))], list(columns))
+
+    rows = df.select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).collect()
+    return [np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r[i], np.int64) for r in rows]]) for i in range(len(columns))]

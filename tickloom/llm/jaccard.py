@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup, settled, text_of
+from .common import BROADCAST_ROWS, lookup, numbers, settled, text_of
 from .graph import components
 from .words import Words, mix, sets, slices
 
@@ -183,8 +183,9 @@ def frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         left -= row["count"]
         least = row["level"]
-    got = counts.where(F.floor(F.log2("c")) >= least).toPandas().sort_values("h")
-    return got["h"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
+    h, c = numbers(counts.where(F.floor(F.log2("c")) >= least), ["h", "c"])
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
 def _prefixes(shared):

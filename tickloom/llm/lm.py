@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, settled, text_of
+from .common import crc_of_id, numbers, settled, text_of
 from .gru import Gru
 from .words import Words, slices
 
@@ -95,15 +95,16 @@ def count_words(docs: DataFrame, learn) -> Counts:
 
 def known_counts(counts: Counts) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes, counts and least count of the broadcast table: all words with that count or more."""
-    levels = counts.table.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 100 000 rows
+    level = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.pow(F.lit(2), F.floor(F.log2("c"))).cast("long"))
+    levels = counts.table.groupBy(level.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 1 100 rows
     least, left = 1 << 62, KNOWN_WORDS
     for row in sorted(levels, key=lambda r: -r["c"]):
         if row["n"] > left:
             break
         left -= row["n"]
         least = row["c"]
-    got = counts.table.where(F.col("c") >= least).select("h", "c").toPandas()
-    h, c = got["h"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
+    h, c = numbers(counts.table.where(F.col("c") >= least), ["h", "c"])
+    h = h.view(np.uint64)
     order = np.argsort(h)
     return h[order], c[order], least
 
