@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,13 +24,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the cluster; a temporary one only where none is set."""
+    """The checkpoint folder named by the cluster; a temporary one only in local mode where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         base = named
     else:
-        got = spark.sparkContext.getCheckpointDir()
-        base = got if got else tempfile.mkdtemp(prefix="tickloom-")
+        base = spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tickloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
