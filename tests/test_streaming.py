@@ -77,8 +77,11 @@ def test_history_sink_ends_with_all_bars(spark, tmp_path, ticks):
 
 
 def test_targets_fire_once_per_ticket(spark, tmp_path, ticks):
-    t = ticks.select("symbol", "seq", (F.col("price")).alias("bid"), (F.col("price") + 0.0001).alias("ask"))
-    pos = spark.createDataFrame([(1, "EURUSD", "BUY", 1.09, 1.0), (2, "EURUSD", "BUY", 1.09, 9.0), (3, "EURUSD", "SELL", 1.2, 0.0)], "ticket long, symbol string, side string, open_price double, tp double")
+    t = ticks.select("symbol", "seq", "time", (F.col("price")).alias("bid"), (F.col("price") + 0.0001).alias("ask"))
+    rows = [(1, "EURUSD", "BUY", 1.09, 1.0), (2, "EURUSD", "BUY", 1.09, 9.0), (3, "EURUSD", "SELL", 1.2, 0.0)]
+    late = [(4, "EURUSD", "BUY", 1.09, 1.0)]  # opened when the last tick has passed
+    pos = spark.createDataFrame(rows + late, "ticket long, symbol string, side string, open_price double, tp double")
+    pos = pos.withColumn("open_time", F.when(F.col("ticket") == 4, F.lit("2030-01-01")).otherwise("2020-01-01").cast("timestamp"))
     out = str(tmp_path / "acts")
-    L.drain_with(as_stream(spark, tmp_path, halves(t)), L.target_sink(pos, out), str(tmp_path / "run"))
+    L.drain_with(as_stream(spark, tmp_path, halves(t)), L.target_sink(pos, out, str(tmp_path / "fired")), str(tmp_path / "run"))
     assert [(r.ticket, r.new_sl) for r in spark.read.parquet(out).collect()] == [(1, 1.0901)]

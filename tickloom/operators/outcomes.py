@@ -88,15 +88,16 @@ def first_touch(points: DataFrame, bars: DataFrame, keys: Sequence[str], start:
 
 
 def one_at_a_time(spans: DataFrame, keys: Sequence[str], start: str = "pos", end: str = "exit_pos",
-                  island_rows: int = ISLAND_ROWS) -> DataFrame:
+                  island_rows: int = ISLAND_ROWS, width: int = 65_536) -> DataFrame:
     """Greedy choice of spans per key: a span is taken when the last taken one has ended.
 
     Spans are cut into islands where all earlier spans have ended, which makes
     islands independent.  Small islands are folded in place; in larger ones the
     successor chain is followed by pointer doubling, so no task holds a key.
+    ``width`` is the part of the start's axis that one bucket takes.
     """
     keys = list(keys)
-    bucket = F.floor(F.col(start) / F.lit(65_536)).cast("long")
+    bucket = F.floor(F.col(start) / F.lit(width)).cast("long")
     df = settle(running(spans, keys, bucket, [start], {"_busy": ("max", F.col(end))}, inclusive=False))
     fresh = F.when(F.coalesce(F.col(start) >= F.col("_busy"), F.lit(True)), F.col(start))
     df = settle(running(df.withColumn("_fresh", fresh).drop("_busy"), keys, bucket, [start], {"_island": ("max", F.col("_fresh"))}).drop("_fresh"))
@@ -116,11 +117,11 @@ def one_at_a_time(spans: DataFrame, keys: Sequence[str], start: str = "pos", end
     )
     picks = folded.select(*keys, F.explode(chosen).alias(start))
     if largest > island_rows:
-        picks = picks.unionByName(_follow_chains(df.join(big.select(*group), group), keys, start, end, largest))
+        picks = picks.unionByName(_follow_chains(df.join(big.select(*group), group), keys, start, end, largest, width))
     return df.drop("_island").join(picks, [*keys, start], "left_semi")
 
 
-def _follow_chains(df: DataFrame, keys: list[str], start: str, end: str, longest: int) -> DataFrame:
+def _follow_chains(df: DataFrame, keys: list[str], start: str, end: str, longest: int, width: int) -> DataFrame:
     """Starts of the spans on each island's chain, by doubling the successor pointer."""
     group = [*keys, "_island"]
     starts = settle(df.select(*group, F.col(start).alias("_s"), F.col(end).alias("_e")))
@@ -128,7 +129,7 @@ def _follow_chains(df: DataFrame, keys: list[str], start: str, end: str, longest
     flip = lambda c: -F.col(c)
     ends = starts.select(*group, "_s", flip("_e").alias("_key"))
     ahead = starts.select(*group, F.col("_s").alias("_next"), flip("_s").alias("_key"))
-    jump = asof_last(ends, ahead, group, "_key", ["_next"]).select(*group, "_s", F.col("hit._next").alias("_to"))
+    jump = asof_last(ends, ahead, group, "_key", ["_next"], width).select(*group, "_s", F.col("hit._next").alias("_to"))
     jump = settle(jump.where(F.col("_to").isNotNull()))
     reached = starts.select(*group, F.col("_island").alias("_s")).distinct()
     steps = 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import Blocks, settle, with_position
@@ -38,6 +38,25 @@ def position_events(snapshots: DataFrame, poll_seconds: int | None = None) -> Da
     return x.select("poll", "ticket", "symbol", "event", *WATCHED, "changes", *kept)
 
 
+CLOSE_FIELDS = ("close_price", "profit", "reason")
+
+
+def with_closes(events: DataFrame, closed: DataFrame) -> DataFrame:
+    """The events and a ``closed`` event for the first closed record of each ticket.
+
+    ``closed`` has ticket, poll, symbol and what is known of sl, tp, volume, close_price,
+    profit and reason.  Opened and modified events carry no close fields.
+    """
+    first = first_closes(closed).withColumn("event", F.lit("closed")).withColumn("changes", F.array().cast("array<string>"))
+    types = {**dict.fromkeys(WATCHED, "double"), "close_price": "double", "profit": "double", "reason": "string"}
+    for c, kind in types.items():
+        if c not in first.columns:
+            first = first.withColumn(c, F.lit(None).cast(kind))
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast(kind))
+    return events.unionByName(first.select(*events.columns))
+
+
 def event_counts(events: DataFrame) -> DataFrame:
     """Events per poll and kind."""
     return events.groupBy("poll").agg(*[
@@ -45,7 +64,7 @@ def event_counts(events: DataFrame) -> DataFrame:
     ])
 
 
-def first_closes(closed: DataFrame, order: str = "poll") -> DataFrame:
+def first_closes(closed: DataFrame, order: str | Column = "poll") -> DataFrame:
     """The first closed record of each ticket."""
     rest = [c for c in closed.columns if c != "ticket"]
     best = closed.groupBy("ticket").agg(F.min_by(F.struct(*rest), order).alias("_row"))

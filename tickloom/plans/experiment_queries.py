@@ -261,9 +261,19 @@ def position_changes(spark, folder):
     return P.position_events(T.position_snapshots(spark, folder))
 
 
-@query("position_event_counts", f"{POS_EV} SELECT poll, count(*) FILTER (WHERE event = 'opened') AS opened, count(*) FILTER (WHERE event = 'modified') AS modified, 0::BIGINT AS closed FROM ev GROUP BY 1")
+CLOSED = """cl AS (SELECT user_id AS ticket, date_trunc('hour', min(ts)) AS poll, arg_min(event_type, (ts, event_id)) AS symbol, arg_min(1.0 + value / 10000.0, (ts, event_id)) AS close_price,
+  arg_min(50.0 - value, (ts, event_id)) AS profit, arg_min(CASE WHEN value < 50 THEN 'tp' ELSE 'sl' END, (ts, event_id)) AS reason FROM events WHERE event_type = 'purchase' GROUP BY 1)"""
+
+
+def all_position_events(spark, folder):
+    """Opened and modified events of the polls, and the first close of each ticket."""
+    return P.with_closes(P.position_events(T.position_snapshots(spark, folder)), T.closed_records(spark, folder))
+
+
+@query("position_event_counts", f"""{POS_EV}, {CLOSED} SELECT poll, count(*) FILTER (WHERE event = 'opened') AS opened, count(*) FILTER (WHERE event = 'modified') AS modified,
+  count(*) FILTER (WHERE event = 'closed') AS closed FROM (SELECT poll, event FROM ev UNION ALL SELECT poll, 'closed' FROM cl) GROUP BY 1""")
 def position_event_counts(spark, folder):
-    return P.event_counts(P.position_events(T.position_snapshots(spark, folder)))
+    return P.event_counts(all_position_events(spark, folder))
 
 
 @query("first_closes", "SELECT user_id AS ticket, arg_min(ts, ts) AS poll, arg_min(value, ts) AS profit FROM events WHERE event_type = 'purchase' GROUP BY 1")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import experiments as X
-from ..operators import positions as P
 from ..operators import trades as R
 from ..sources import files
 from ..sources import tables as T
-from .experiment_queries import DSR, POS_EV
+from .experiment_queries import CLOSED, DSR, POS_EV, all_position_events
 from .registry import BARS, TICKS, TRADES, TRIALS, bars_sql, query, r
 from .stream_queries import scratch
 
@@ -73,13 +72,14 @@ def news_calendar(spark, folder):
     return files.read_calendar(spark, path).select("time", "currency")
 
 
-@query("position_event_log", f"{POS_EV} SELECT ticket, symbol, event, sl, tp, volume, changes FROM ev")
+@query("position_event_log", f"""{POS_EV}, {CLOSED} SELECT ticket, symbol, event, sl, tp, volume, changes, NULL::DOUBLE AS close_price, NULL::DOUBLE AS profit, NULL::VARCHAR AS reason FROM ev
+UNION ALL SELECT ticket, symbol, 'closed', NULL, NULL, NULL, []::VARCHAR[], round(close_price, 8), round(profit, 8), reason FROM cl""")
 def position_event_log(spark, folder):
     path = scratch(spark)
-    e = P.position_events(T.position_snapshots(spark, folder)).withColumn("ts", F.col("poll"))
+    e = all_position_events(spark, folder).withColumn("ts", F.col("poll"))
     files.write_position_events(e, path)
-    schema = "ts string, event string, ticket long, symbol string, side string, volume double, sl double, tp double, changes array<string>"
-    return spark.read.schema(schema).json(path).select("ticket", "symbol", "event", "sl", "tp", "volume", "changes")
+    schema = "ts string, event string, ticket long, symbol string, side string, volume double, sl double, tp double, close_price double, profit double, reason string, changes array<string>"
+    return spark.read.schema(schema).json(path).select("ticket", "symbol", "event", "sl", "tp", "volume", "changes", r("close_price"), r("profit"), "reason")
 
 
 @query("summary_file", f"WITH {TRIALS} SELECT count(*) AS total, count(*) FILTER (WHERE guard = 'PASS') AS validated FROM trials")

@@ -13,9 +13,19 @@ from ..streaming import live as L
 from .registry import SNAPSHOTS, TICKS, bars_sql, query, r
 
 
+BATCHES = 4
+
+
 def event_stream(spark, folder):
-    schema = T.table(spark, folder, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    """The events in order of time, one of ``BATCHES`` equal spans of time per micro-batch."""
+    ev = T.table(spark, folder, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = ev.agg(F.min(at), F.max(at)).first()  # two numbers
+    width = (high - low) // BATCHES + 1
+    path = f"{scratch(spark)}/events"
+    for k in range(BATCHES):
+        ev.where((at >= low + k * width) & (at < low + (k + 1) * width)).coalesce(1).write.parquet(f"{path}/b{k}")
+    raw = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
     price = F.lit(1.0) + F.col("value") / F.lit(10000.0)
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("time"),
@@ -57,11 +67,12 @@ def stream_position_changes(spark, folder):
     return spark.read.parquet(f"{path}/events").drop("batch")
 
 
-@query("stream_first_closes", """SELECT user_id AS ticket, count(*) AS closes FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1""")
+@query("stream_first_closes", """SELECT user_id AS ticket, min(ts) AS time, arg_min(event_id, (ts, event_id)) AS seq, arg_min(50.0 - value, (ts, event_id)) AS profit FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 def stream_first_closes(spark, folder):
-    closed = event_stream(spark, folder).where(F.col("symbol") == "purchase").select(F.col("user_id").alias("ticket"), "time", (F.lit(50.0) - F.col("value")).alias("profit"))
-    first = L.drain(L.close_stream(closed, within="40 days"), spark, scratch(spark))
-    return first.groupBy("ticket").agg(F.count(F.lit(1)).alias("closes"))
+    path = scratch(spark)
+    closed = event_stream(spark, folder).where(F.col("symbol") == "purchase").select(F.col("user_id").alias("ticket"), "time", "seq", (F.lit(50.0) - F.col("value")).alias("profit"))
+    L.drain_with(closed, L.close_sink(f"{path}/closes", F.struct("time", "seq")), path)
+    return spark.read.parquet(f"{path}/closes").drop("batch")
 
 
 @query("stream_loss_alerts", "SELECT event_id AS seq, user_id AS ticket, 50.0 - value AS profit FROM events WHERE event_type = 'purchase' AND 50.0 - value < -100")
@@ -98,11 +109,14 @@ def stream_average_spread(spark, folder):
     return spark.read.parquet(f"{path}/spread").select("seq", "symbol", r("avg_spread", 6))
 
 
-@query("stream_account_monitor", """WITH s AS (SELECT user_id AS account, ts AS time, event_id AS seq, 10000.0 + 100.0 * (value - 50.0) / 10.0 AS equity, user_id % 7 AS streak, event_type <> 'error' AS fresh FROM events),
+@query("stream_account_monitor", """WITH RECURSIVE s AS (SELECT user_id AS account, ts AS time, event_id AS seq, 10000.0 + 100.0 * (value - 50.0) / 10.0 AS equity, user_id % 7 AS streak, event_type <> 'error' AS fresh FROM events),
 f AS (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY time) AS peak, first_value(equity) OVER (PARTITION BY account, time::DATE ORDER BY time) AS day_start FROM s WHERE fresh),
 v AS (SELECT account, time, CASE WHEN (peak - equity) / peak >= 0.2 THEN 'trailing_dd_halt' WHEN streak >= 5 THEN 'consecutive_losses' WHEN (equity - day_start) / day_start <= -0.02 THEN 'daily_loss_limit' ELSE 'ok' END AS reason,
-  round(peak, 6) AS peak, round(day_start, 6) AS day_start FROM f)
-SELECT account, time, reason, peak, day_start FROM v""")
+  round(peak, 6) AS peak, round(day_start, 6) AS day_start FROM f),
+hl AS (SELECT account, time FROM v WHERE reason = 'consecutive_losses'),
+nx AS (SELECT a.account, a.time, min(z.time) AS nxt FROM hl a LEFT JOIN hl z ON z.account = a.account AND z.time >= a.time + INTERVAL 24 HOUR GROUP BY 1, 2),
+ch AS (SELECT account, min(time) AS time FROM hl GROUP BY 1 UNION ALL SELECT nx.account, nx.nxt FROM ch JOIN nx ON nx.account = ch.account AND nx.time = ch.time WHERE nx.nxt IS NOT NULL)
+SELECT v.account, v.time, reason, peak, day_start, ch.time + INTERVAL 24 HOUR AS cooling_until FROM v LEFT JOIN ch ON ch.account = v.account AND v.time >= ch.time AND v.time < ch.time + INTERVAL 24 HOUR""")
 def stream_account_monitor(spark, folder):
     s = event_stream(spark, folder).select(
         F.col("user_id").alias("account"), "time", (F.lit(10000.0) + F.lit(100.0) * (F.col("value") - F.lit(50.0)) / F.lit(10.0)).alias("equity"),
@@ -110,20 +124,20 @@ def stream_account_monitor(spark, folder):
     path = scratch(spark)
     L.drain_with(s, L.account_sink(f"{path}/verdicts", f"{path}/state"), path)
     out = spark.read.parquet(f"{path}/verdicts")
-    return out.where(F.col("reason") != "skipped").select("account", "time", "reason", r("peak", 6), r("day_start", 6))
+    return out.where(F.col("reason") != "skipped").select("account", "time", "reason", r("peak", 6), r("day_start", 6), "cooling_until")
 
 
-@query("stream_target_actions", f"""WITH {TICKS}, p AS (SELECT event_id AS ticket, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 1.0 + (event_id % 100) / 10000.0 AS e FROM events),
-b AS (SELECT symbol, max(bid) AS bid, min(ask) AS ask FROM ticks GROUP BY 1)
-SELECT ticket, symbol, 0.5::DOUBLE AS close_fraction, round(CASE side WHEN 'BUY' THEN e + 0.0001 ELSE e - 0.0001 END, 5) AS new_sl FROM p JOIN b USING (symbol)
+@query("stream_target_actions", f"""WITH {TICKS}, p AS (SELECT event_id AS ticket, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 1.0 + (event_id % 100) / 10000.0 AS e, ts FROM events),
+b AS (SELECT seq AS ticket, max(bid) OVER w AS bid, min(ask) OVER w AS ask FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY time RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT ticket, symbol, 0.5::DOUBLE AS close_fraction, round(CASE side WHEN 'BUY' THEN e + 0.0001 ELSE e - 0.0001 END, 5) AS new_sl FROM p JOIN b USING (ticket)
 WHERE (side = 'BUY' AND bid >= e + 0.0295) OR (side = 'SELL' AND ask <= e - 0.0035)""")
 def stream_target_actions(spark, folder):
     path = scratch(spark)
     e = F.lit(1.0) + F.col("seq") % 100 / F.lit(10000.0)
     side = F.when(F.col("seq") % 2 == 0, F.lit("BUY")).otherwise(F.lit("SELL"))
     tp = F.when(side == "BUY", e + F.lit(0.0295)).otherwise(e - F.lit(0.0035))
-    positions = T.ticks(spark, folder).select(F.col("seq").alias("ticket"), "symbol", side.alias("side"), e.alias("open_price"), tp.alias("tp"))
-    L.drain_with(event_stream(spark, folder), L.target_sink(positions, f"{path}/actions"), path)
+    positions = T.ticks(spark, folder).select(F.col("seq").alias("ticket"), "symbol", side.alias("side"), e.alias("open_price"), tp.alias("tp"), F.col("time").alias("open_time"))
+    L.drain_with(event_stream(spark, folder), L.target_sink(positions, f"{path}/actions", f"{path}/fired"), path)
     return spark.read.parquet(f"{path}/actions").select("ticket", "symbol", "close_fraction", "new_sl")
 
 

@@ -112,6 +112,19 @@ def position_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def closed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every purchase read as a closed record of its ticket, reported at the poll of its hour."""
+    ev = table(spark, folder, "events").where(F.col("event_type") == "purchase")
+    at = F.struct("ts", "event_id")
+    value = F.col("value")
+    rows = ev.select(
+        F.col("user_id").alias("ticket"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("poll"), F.col("event_type").alias("symbol"), (F.lit(1.0) + value / F.lit(10000.0)).alias("close_price"),
+        (F.lit(50.0) - value).alias("profit"), F.when(value < 50, F.lit("tp")).otherwise(F.lit("sl")).alias("reason"), at.alias("_at"))
+    # of the records of one poll the first reported one is kept
+    first = rows.groupBy("ticket", "poll").agg(F.min_by(F.struct("symbol", "close_price", "profit", "reason"), "_at").alias("_r"))
+    return first.select("ticket", "poll", "_r.*")
+
+
 def _score(step: float) -> Column:
     return F.floor((F.col("o_totalprice") - F.lit(250000.0)) / F.lit(1000.0 * step)) * F.lit(step) / F.lit(100.0)
 

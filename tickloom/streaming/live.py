@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import break_even_stop, target_reached
@@ -13,8 +13,8 @@ from ..operators.accounts import STATE_SCHEMA, account_state, account_verdicts
 from ..operators.bars import cap_history, upsert_incoming_wins
 from ..operators.experiments import last_rows
 from ..operators.indicators import rolling_spread
-from ..operators.positions import position_events
-from ..operators.series import settle
+from ..operators.positions import first_closes, position_events
+from ..operators.series import running, settle
 from ..sources.files import load_bars, write_if_not_smaller
 
 FLUSH_EVERY = "30 seconds"
@@ -77,9 +77,21 @@ def position_sink(out: str, state: str, poll_seconds: int = 3600, keep_seconds:
     return write
 
 
-def close_stream(closed: DataFrame, time: str = "time", within: str = "1 day") -> DataFrame:
-    """The first closed record of each ticket, remembered for ``within``."""
-    return closed.withWatermark(time, within).dropDuplicatesWithinWatermark(["ticket"])
+def close_sink(out: str, order: str | Column = "time") -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of the first closed record of each ticket, by ``order`` in its batch.
+
+    A ticket written by an earlier batch is never written again; a repeated batch
+    overwrites its own output.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = first_closes(batch, order)
+        if batch_id > 0:
+            seen = batch.sparkSession.read.schema(f"ticket {dict(batch.dtypes)['ticket']}, batch long").parquet(out).where(F.col("batch") < batch_id)
+            first = first.join(seen.select("ticket"), "ticket", "left_anti").select(*batch.columns)
+        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
 
 
 def loss_alert_stream(closed: DataFrame, usd: float) -> DataFrame:
@@ -106,7 +118,7 @@ def quote_stream(orders: DataFrame, quotes: DataFrame, ttl_seconds: int = 5, lat
     )
     joined = asked.join(good, near, "leftOuter")
     best = joined.groupBy("order_id", "symbol", F.window("order_time", "1 second")).agg(
-        F.max_by("bid", "q_seq").alias("bid"), F.max_by("ask", "q_seq").alias("ask")
+        F.max_by("bid", F.struct("q_time", "q_seq")).alias("bid"), F.max_by("ask", F.struct("q_time", "q_seq")).alias("ask")
     )
     return best.select("order_id", "symbol", "bid", "ask", F.col("bid").isNull().alias("stale"))
 
@@ -164,27 +176,43 @@ def account_sink(out: str, state: str, cooling_hours: float = 24.0) -> Callable[
     return write
 
 
-def target_touches(ticks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Positions whose first target some tick of the batch touched, with their action.
+def target_touches(ticks: DataFrame, positions: DataFrame, slot_seconds: int = 60) -> DataFrame:
+    """Positions whose first target some tick of the batch touched at or after ``open_time``, with their action.
 
-    Ticks shrink to the best bid and ask per symbol before they meet positions.
+    Time is cut into slots.  A position needs the best quotes of its own slot from its
+    opening on, and those of all later slots, which shrink to one row per symbol and
+    slot first.  Both are running values backwards in time, so no pairs are built.
     """
-    best = ticks.groupBy("symbol").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
-    j = positions.join(best, "symbol")
-    hit = j.where(target_reached(F.col("side"), F.col("tp"), F.col("bid"), F.col("ask")))
+    slot = lambda c: F.floor(F.unix_seconds(c) / F.lit(slot_seconds)).cast("long")
+    t = ticks.select("symbol", F.unix_micros("time").alias("_t"), slot("time").alias("_slot"), "bid", "ask")
+    later = t.groupBy("symbol", "_slot").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
+    p = positions.withColumns({"_t": F.unix_micros("open_time"), "_slot": slot("open_time")})
+    asked = p.select("ticket", "symbol", "_t", "_slot")
+    back = Window.partitionBy("symbol", "_slot").orderBy(F.desc("_t"), F.col("ticket").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = t.unionByName(asked, allowMissingColumns=True).withColumns({"_b": F.max("bid").over(back), "_a": F.min("ask").over(back)}).where("ticket is not null").select("ticket", "_b", "_a")
+    # slots after the own one: running values over the slots of the batch, newest first
+    marks = later.withColumn("_is", F.lit(0)).unionByName(asked.select("ticket", "symbol", "_slot", F.lit(1).alias("_is")), allowMissingColumns=True)
+    flip = marks.withColumn("_back", -F.col("_slot"))
+    run = running(settle(flip), ["symbol"], F.floor(F.col("_back") / F.lit(1440)).cast("long"), ["_back", F.desc("_is")], {"_lb": ("max", F.col("bid")), "_la": ("min", F.col("ask"))})
+    after = run.where("_is = 1").select("ticket", "_lb", "_la")
+    j = p.join(own, "ticket").join(after, "ticket")
+    hit = j.where(F.coalesce(target_reached(F.col("side"), F.col("tp"), F.greatest("_b", "_lb"), F.least("_a", "_la")), F.lit(False)))
     return hit.select("ticket", "symbol", F.lit(0.5).alias("close_fraction"), break_even_stop(F.col("side"), F.col("open_price")).alias("new_sl"))
 
 
-def target_sink(positions: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer of partial-close and break-even actions, once per ticket."""
+def target_sink(positions: DataFrame, out: str, state: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of partial-close and break-even actions, once per ticket.
+
+    The state is the fired tickets among ``positions``, one folder per batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        hits = target_touches(batch, positions)
-        if batch_id > 0:
-            done = spark.read.schema("ticket long, batch long").parquet(out).where(F.col("batch") < batch_id)
-            hits = hits.join(done.select("ticket"), "ticket", "left_anti")
+        fired = _previous(batch.sparkSession, state, batch_id, "ticket long")
+        waiting = positions.join(fired, "ticket", "left_anti")
+        hits = settle(target_touches(batch, waiting))
         hits.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        kept = fired.join(positions.select("ticket"), "ticket", "left_semi").unionByName(hits.select("ticket"))
+        kept.write.mode("overwrite").parquet(f"{state}/b{batch_id}")
 
     return write
 
