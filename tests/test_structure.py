@@ -37,7 +37,7 @@ def prefix_break(pdf, i, left, right):
 
 
 def test_swing_high_fixture(spark):
-    highs = [1, 1.05, 1.10, 1.05, 1.20, 1.05, 1.10, 1.05, 1.0]
+    highs = [2.1, 2.4, 2.3, 2.6, 2.9, 2.7, 2.2, 2.5, 2.35]
     pdf = pd.DataFrame({"symbol": "A", "time": pd.date_range("2024-01-01", periods=9, freq="15min"), "open": highs, "high": highs, "low": [h - 0.01 for h in highs], "close": highs, "volume": 100})
     got = S.swings(spark.createDataFrame(pdf), step_seconds=900).orderBy("time").toPandas()
     assert got.swing_high[4] and not got.swing_high[0] and not got.swing_high[8]

@@ -66,18 +66,32 @@ def classify_strategy(text: Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_FAMILY))
 
 
+# What an engine report says, by field.
+REPORT_PATTERNS = {
+    "sharpe": r"(?m)^SHARPE\s+(-?[0-9.]+)",
+    "guard": r"(?m)^GUARD\s+(PASS|FAIL)",
+    "win_rate": r"win_rate=([0-9.]+)%",
+    "drawdown": r"drawdown=([0-9.]+)%",
+    "bars": r"bars=([0-9]+)",
+    "trades": r"trades=([0-9]+)",
+}
+
+
 def engine_line(text: Column) -> Column:
     """Struct of the numbers in an engine report."""
-    def cast(pattern: str, kind: str) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast(kind)
+    def found(name: str) -> Column:
+        return F.regexp_extract(text, REPORT_PATTERNS[name], 1)
+
+    def number(name: str, kind: str) -> Column:
+        return F.nullif(found(name), F.lit("")).try_cast(kind)
 
     return F.struct(
-        cast(r"(?m)^SHARPE\s+(-?[0-9.]+)", "double").alias("sharpe"),
-        (F.regexp_extract(text, r"(?m)^GUARD\s+(PASS|FAIL)", 1) == "PASS").alias("guard_pass"),
-        F.coalesce(cast(r"win_rate=([0-9.]+)%", "double"), F.lit(0.0)).alias("win_rate"),
-        F.coalesce(cast(r"drawdown=([0-9.]+)%", "double"), F.lit(0.0)).alias("max_dd"),
-        F.coalesce(cast(r"bars=([0-9]+)", "long"), F.lit(0)).cast("long").alias("bars"),
-        F.coalesce(cast(r"trades=([0-9]+)", "long"), F.lit(0)).cast("long").alias("trades"),
+        number("sharpe", "double").alias("sharpe"),
+        (found("guard") == "PASS").alias("guard_pass"),
+        F.coalesce(number("win_rate", "double"), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(number("drawdown", "double"), F.lit(0.0)).alias("max_dd"),
+        F.coalesce(number("bars", "long"), F.lit(0)).cast("long").alias("bars"),
+        F.coalesce(number("trades", "long"), F.lit(0)).cast("long").alias("trades"),
     )
 
 

@@ -248,8 +248,16 @@ def breakers(trades: DataFrame, start: float = START_EQUITY, keys: Sequence[str]
     return df.select(*keys, "ticket", "close_time", "equity", "peak", "day_start", "streak", reason.alias("reason"))
 
 
+def journal_metrics(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The statistics of the closed trades and ``dsr``, the probability that their true Sharpe is above 0."""
+    return statistics(trades, keys).withColumn("dsr", scores.probabilistic_sharpe(F.col("sharpe"), F.col("trade_count")))
+
+
 def log_delta(trades: DataFrame, last_count: int, checks: dict[str, Column]) -> DataFrame:
-    """Row count now against the last count, and the names of the failing checks."""
-    n = trades.agg(F.count(F.lit(1)).alias("trade_count"))
-    alerts = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
+    """Row count now against the last count, and the names of the failing checks.
+
+    A check is a condition on aggregates of the log; one without a value has failed.
+    """
+    n = trades.agg(F.count(F.lit(1)).alias("trade_count"), *[F.coalesce(ok, F.lit(False)).alias(name) for name, ok in checks.items()])
+    alerts = F.array_compact(F.array(*[F.when(~F.col(name), F.lit(name)) for name in checks]))
     return n.select("trade_count", (F.col("trade_count") - F.lit(last_count)).alias("delta"), alerts.alias("alerts"))

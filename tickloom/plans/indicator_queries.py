@@ -8,7 +8,7 @@ from ..operators import indicators as I
 from ..operators import signals as G
 from ..operators import structure as S
 from ..sources import tables as T
-from .registry import BARS, POS, TICKS, bars_sql, hourly, query, r
+from .registry import ORACLES, BARS, POS, TICKS, bars_sql, hourly, query, r
 
 
 def decay(x: str, alpha: str, order: str = "pos") -> str:
@@ -366,3 +366,19 @@ FROM m WINDOW w AS (PARTITION BY symbol ORDER BY pos)""")
 def model_features(spark, folder):
     f = I.features(hourly(spark, folder))
     return f.select("symbol", "time", *[r(c) for c in ("ret_1", "ret_5", "ret_20", "atr_norm", "rsi_norm", "ema_spread")], "regime")
+
+
+def actions_sql(name: str, query_name: str) -> str:
+    return f"SELECT '{name}' AS strategy, symbol, action, count(*) AS bars FROM ({ORACLES[query_name]}) GROUP BY ALL"
+
+
+@query("strategy_registry", " UNION ALL ".join([
+    actions_sql("ema_crossover", "ema_cross_signals"), actions_sql("mean_reversion", "reversion_signals"),
+    actions_sql("trend_following", "trend_signals"), actions_sql("no_such_name", "ema_cross_signals")]))
+def strategy_registry(spark, folder):
+    """Actions of each registered strategy by name on one bar table; an unknown name is the average cross."""
+    bars = hourly(spark, folder)
+    params = {"mean_reversion": {"low": 40.0, "high": 60.0}}
+    parts = [G.run_strategy(n, bars, **params.get(n, {})).select(F.lit(n).alias("strategy"), "symbol", "action") for n in ("ema_crossover", "mean_reversion", "trend_following", "no_such_name")]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return both.groupBy("strategy", "symbol", "action").agg(F.count(F.lit(1)).alias("bars"))

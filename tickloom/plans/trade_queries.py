@@ -155,10 +155,14 @@ def circuit_breakers(spark, folder):
     return b.select("ticket", "close_time", r("equity", 2), r("peak", 2), r("day_start", 2), "streak", "reason")
 
 
-@query("log_delta", "SELECT count(*) AS trade_count, count(*) - 100 AS delta, ['bridge_unreachable', 'bot_not_running'] AS alerts FROM orders")
+@query("log_delta", f"""WITH {TRADES}, a AS (SELECT count(*) AS n, count(close_time) AS c, sum(profit) AS p, max(open_time) AS last FROM trades)
+SELECT n AS trade_count, n - 100 AS delta, list_filter([CASE WHEN NOT p >= 0 THEN 'losing' END, CASE WHEN NOT c < n THEN 'nothing_open' END, CASE WHEN NOT last >= TIMESTAMP '1998-01-01' THEN 'bot_not_running' END,
+  CASE WHEN NOT c * 2 >= n THEN 'mostly_open' END], lambda x: x IS NOT NULL) AS alerts FROM a""")
 def log_delta(spark, folder):
-    checks = {"bridge_unreachable": F.lit(False), "ea_disconnected": F.lit(True), "bot_not_running": F.lit(False)}
-    return R.log_delta(T.trades(spark, folder), 100, checks)
+    t = T.trades(spark, folder)
+    checks = {"losing": F.sum("profit") >= 0, "nothing_open": F.count("close_time") < F.count(F.lit(1)), "bot_not_running": F.max("open_time") >= F.lit("1998-01-01").cast("timestamp"),
+              "mostly_open": F.count("close_time") * 2 >= F.count(F.lit(1))}
+    return R.log_delta(t, 100, checks)
 
 
 JPY = "CASE WHEN symbol IN ('1-URGENT', '5-LOW') THEN 'USDJPY' ELSE symbol END"
@@ -258,3 +262,12 @@ SELECT sr_id, round(CASE WHEN trades < 2 THEN 0.0 ELSE 0.5 * (1.0 + CASE WHEN z
 def probabilistic_sharpe(spark, folder):
     t = T.trials(spark, folder)
     return t.select("sr_id", r(scores.probabilistic_sharpe(F.col("sharpe"), F.col("trades")), 6, "psr"))
+
+
+@query("journal_metrics", f"""SELECT trade_count, no_losses, {", ".join(STATS)}, round(CASE WHEN trade_count < 2 THEN 0.0 ELSE 0.5 * (1.0 + CASE WHEN z < 0 THEN -1 ELSE 1 END * {ERF}) END, 5) AS dsr
+FROM (SELECT *, abs(z) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS t
+  FROM (SELECT *, sharpe * sqrt(greatest(trade_count - 1, 0)) / sqrt(1.0 + 0.5 * sharpe * sharpe) AS z FROM ({stats_sql("")})))""")
+def journal_metrics(spark, folder):
+    """The closed trades of one journal with the probability of their Sharpe."""
+    m = R.journal_metrics(T.trades(spark, folder))
+    return m.select("trade_count", "no_losses", *[r(c, 6) for c in STATS], r("dsr", 5))
