@@ -11,10 +11,15 @@ import json
 import os
 import time
 
+from tickloom.operators import indicators as I
+from tickloom.operators import signals as G
+from tickloom.operators import structure as X
 from tickloom.operators import sweep as S
+from tickloom.operators.series import settle
 from tickloom.plans import QUERIES
 from tickloom.plans.registry import hourly
 from tickloom.session import local_session
+from tickloom.sources import tables as T
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -28,6 +33,13 @@ HEADLINE = (
 SEARCH = {"ema_fast": [5, 8, 9, 12], "ema_slow": [13, 18, 21, 26], "atr_multiplier": [1.5, 2.0, 2.5]}
 
 
+MINUTES = 60  # bars whose number grows with the ticks, unlike hour bars of a fixed month
+
+
+def minute_bars(spark):
+    return settle(T.bars(spark, FOLDER, MINUTES))
+
+
 def timed(fn) -> float:
     start = time.perf_counter()
     fn().write.format("noop").mode("overwrite").save()
@@ -39,6 +51,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["bars_from_ticks"](spark, FOLDER).write.format("noop").mode("overwrite").save()  # start-up is not measured
     times = {name: timed(lambda n=name: QUERIES[n](spark, FOLDER)) for name in HEADLINE}
+    bars = minute_bars(spark)
+    times["minute_bands"] = timed(lambda: I.bollinger(bars, step_seconds=MINUTES))
+    times["minute_cross_signals"] = timed(lambda: G.ema_cross(bars, step_seconds=MINUTES))
+    times["minute_swings"] = timed(lambda: X.swings(bars, step_seconds=MINUTES))
     sets = S.grid(SEARCH)
     times["sweep_48_sets"] = timed(lambda: S.sweep(hourly(spark, FOLDER), "ema_crossover", sets, 5, 24))
     print(json.dumps({

@@ -1,3 +1,5 @@
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -36,10 +38,17 @@ def test_sealed_bars_equal_batch_bars(spark, tmp_path, ticks):
 def test_late_ticks_are_dropped_and_counted(spark, tmp_path, ticks):
     late = ticks.where("seq = 0")
     stream = as_stream(spark, tmp_path, [ticks.where("seq < 300"), ticks.where("seq >= 300"), late])
+    heard = L.LateRows()
+    spark.streams.addListener(heard)
     q = L.bar_stream(stream).writeStream.format("memory").queryName("late").outputMode("append").option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert L.late_rows(q) >= 1
+    for _ in range(100):
+        if L.late_rows(q, heard):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(heard)
+    assert L.late_rows(q) >= 1 and L.late_rows(q, heard) == L.late_rows(q)
     first = spark.table("late").orderBy("time").first()
     assert first.volume == ticks_to_bars(ticks).orderBy("time").first().volume
 

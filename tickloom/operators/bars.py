@@ -141,14 +141,25 @@ def union_pages(*pages: DataFrame) -> DataFrame:
 
 def newest_rows(bars: DataFrame, keep: Column | int, keys: Sequence[str], step_seconds: int,
                 skip: int = 0, total: str | None = None) -> DataFrame:
-    """The last ``keep`` rows per key, after skipping the last ``skip``."""
-    placed = with_position(bars, keys, ["time"], time_bucket("time", step_seconds), "_p", "_total")
+    """The last ``keep`` rows per key, after skipping the last ``skip``.
+
+    Rows per bucket are counted first; buckets that cannot reach the page are
+    dropped before any row is sorted.
+    """
+    keys = list(keys)
     keep = F.lit(keep) if isinstance(keep, int) else keep
-    end = F.greatest(F.col("_total") - F.lit(skip), F.lit(0))
-    kept = placed.where((F.col("_p") < end) & (F.col("_p") >= end - keep))
+    marked = bars.withColumn("_bk", time_bucket("time", step_seconds))
+    counts = marked.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    per_key = Window.partitionBy(*(keys or [F.lit(0)]))
+    later = per_key.orderBy(F.desc("_bk")).rowsBetween(Window.unboundedPreceding, -1)
+    bounds = counts.select(*keys, "_bk", "_n", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_after"), F.sum("_n").over(per_key).alias("_total"))
+    bounds = bounds.where((F.col("_after") < keep + F.lit(skip)) & (F.col("_after") + F.col("_n") > F.lit(skip)))
+    inside = Window.partitionBy(*keys, "_bk").orderBy(F.desc("time"))
+    near = marked.join(bounds, [*keys, "_bk"]).withColumn("_p", F.col("_after") + F.row_number().over(inside) - F.lit(1))
+    kept = near.where((F.col("_p") >= F.lit(skip)) & (F.col("_p") < keep + F.lit(skip)))
     if total:
         kept = kept.withColumn(total, F.col("_total"))
-    return kept.drop("_p", "_total")
+    return kept.drop("_p", "_bk", "_n", "_after", "_total")
 
 
 def cap_history(bars: DataFrame, keys: Sequence[str] = ("symbol", "tf"), step_seconds: int = 60) -> DataFrame:
@@ -283,6 +294,3 @@ def allowed_shrink(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] =
         *keys, "n_new", F.coalesce("n_stored", F.lit(0)).alias("n_stored"),
         (F.col("n_new") >= F.coalesce("n_stored", F.lit(0))).alias("accepted"),
     )
-
-
-TIMEFRAMES = TIMEFRAME_SECONDS

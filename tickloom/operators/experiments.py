@@ -207,6 +207,17 @@ def grid_index(lo: Column, hi: Column, step: Column, value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(last, F.bround((value - lo) / step).cast("long")))
 
 
+def _local_front(batches):
+    """Points of each batch that no other point of their part of it beats."""
+    for pdf in batches:
+        for at in range(0, len(pdf), 1000):
+            part = pdf.iloc[at : at + 1000]
+            a, c, d = (part[n].to_numpy() for n in "acd")
+            as_good = (a[:, None] >= a) & (c[:, None] >= c) & (d[:, None] <= d)
+            better = as_good & ((a[:, None] > a) | (c[:, None] > c) | (d[:, None] < d))
+            yield part[~better.any(axis=0)]
+
+
 def pareto_front(trials: DataFrame, up: tuple[str, str] = ("sharpe", "win_rate"), down: str = "max_dd") -> DataFrame:
     """Trials no other trial beats: first ``up`` high, ``down`` low, second ``up`` high.
 
@@ -215,7 +226,9 @@ def pareto_front(trials: DataFrame, up: tuple[str, str] = ("sharpe", "win_rate")
     a ``down`` as small: a ranked running minimum instead of comparing all pairs.
     """
     a, c = up
-    points = trials.select(F.col(a).alias("a"), F.col(c).alias("c"), F.col(down).alias("d")).distinct()
+    points = trials.select(*[F.col(x).cast("double").alias(n) for x, n in ((a, "a"), (c, "c"), (down, "d"))]).distinct()
+    # most points lose against one of their own partition already
+    points = settle(points.mapInPandas(_local_front, "a double, c double, d double"))
     order = [F.desc("a"), F.desc("c"), F.asc("d")]
     placed = with_position(ranged(points, [], order), [], order, F.col("_rb")).drop("_rb")
     best = earlier_ranked(placed, [], [F.col("c"), F.col("pos").desc()], "above", "min", F.col("d"), "_low")

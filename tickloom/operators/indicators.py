@@ -89,20 +89,20 @@ def indicator_frame(
     return b.owned(df).drop(*helpers)
 
 
-def ema(bars: DataFrame, n: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    return indicator_frame(bars, keys, emas=[n])
+def ema(bars: DataFrame, n: int, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
+    return indicator_frame(bars, keys, emas=[n], step_seconds=step_seconds)
 
 
-def atr(bars: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    return indicator_frame(bars, keys, atrs=[n])
+def atr(bars: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
+    return indicator_frame(bars, keys, atrs=[n], step_seconds=step_seconds)
 
 
-def rsi(bars: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    return indicator_frame(bars, keys, rsis=[n])
+def rsi(bars: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
+    return indicator_frame(bars, keys, rsis=[n], step_seconds=step_seconds)
 
 
-def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    df = indicator_frame(bars, keys, bands=[(n, k)])
+def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
+    df = indicator_frame(bars, keys, bands=[(n, k)], step_seconds=step_seconds)
     mid, dev = F.col(f"bb_mid_{n}"), F.col(f"bb_std_{n}")
     return df.select(*bars.columns, "pos", mid.alias("bb_mid"), (mid + F.lit(k) * dev).alias("bb_upper"),
                      (mid - F.lit(k) * dev).alias("bb_lower"))
@@ -143,18 +143,18 @@ def volatility_regime(bars: DataFrame, n: int = 20, mode: str = "global", keys:
     return out.drop("_m", "_less")
 
 
-def current_regime(bars: DataFrame, rows: int = 200, n: int = 20, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def current_regime(bars: DataFrame, rows: int = 200, n: int = 20, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
     """Label of the newest bar per key from its last ``rows`` bars; unknown below 30 bars."""
-    df = settle(newest_rows(bars, rows, keys, 3600))
-    df = volatility_regime(df, n, "global", keys)
+    df = settle(newest_rows(bars, rows, keys, step_seconds))
+    df = volatility_regime(df, n, "global", keys, step_seconds)
     last = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars_used"), F.max_by("regime", "pos").alias("_last"))
     label = F.when(F.col("bars_used") < 30, F.lit("unknown")).when(F.col("_last") == 1, F.lit("range")).otherwise(F.lit("trend"))
     return last.select(*keys, "bars_used", label.alias("label"))
 
 
-def correlation_factor(pair: DataFrame, n: int = 50, keys: Sequence[str] = ()) -> DataFrame:
+def correlation_factor(pair: DataFrame, n: int = 50, keys: Sequence[str] = (), step_seconds: int = 3600) -> DataFrame:
     """|correlation| of percent changes of close_1 and close_2 over the last n bars."""
-    b = Blocks(placed(pair, keys), keys, n + 1)
+    b = Blocks(placed(pair, keys, step_seconds), keys, n + 1)
     df = b.df
     for leg in ("close_1", "close_2"):
         prev = F.lag(leg).over(b.w)
@@ -178,14 +178,14 @@ def join_legs(bars: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def pair_statistics(pair: DataFrame, hedge: int = 60, spread: int = 60, atr_n: int = 14,
-                    keys: Sequence[str] = ()) -> DataFrame:
+                    keys: Sequence[str] = (), step_seconds: int = 3600) -> DataFrame:
     """Hedge ratio, spread z-score, half-life, Dickey-Fuller t and short ATR per row.
 
     The whole window uses the row's own hedge ratio, so each statistic is written
     from rolling moments of the two legs instead of a second pass per row.
     """
     atr_rows = max(atr_n * 2, 20)
-    b = Blocks(placed(pair, keys), keys, max(hedge, spread, atr_rows) + 2)
+    b = Blocks(placed(pair, keys, step_seconds), keys, max(hedge, spread, atr_rows) + 2)
     df = b.df
     for leg in ("1", "2"):
         df = df.withColumn(f"_l{leg}", F.lag(f"close_{leg}").over(b.w))

@@ -163,13 +163,13 @@ def trend_following(bars: DataFrame, seconds: int = 14400, left: int = 2, right:
 
 def pairs_signal(pair: DataFrame, entry_z: float = 2.0, spread: int = 60, hedge: int = 60, stop: float = 1.5,
                  atr_n: int = 14, require_stationary: bool = False, critical_t: float = -3.37,
-                 keys: Sequence[str] = ()) -> DataFrame:
+                 keys: Sequence[str] = (), step_seconds: int = 3600) -> DataFrame:
     """Signals of the first leg from the spread of two joined legs.
 
     ``require_stationary`` keeps only rows whose Dickey-Fuller t on the window
     residuals lies below the tabulated 5 % value.
     """
-    df = pair_statistics(pair, hedge, spread, atr_n, keys)
+    df = pair_statistics(pair, hedge, spread, atr_n, keys, step_seconds)
     z, half = F.col("zscore"), F.col("half_life")
     close, atr = F.col("close_1"), F.col("atr")
     reason = F.when(F.col("pos") + 1 < max(spread, hedge) + 2, F.lit("insufficient_bars"))

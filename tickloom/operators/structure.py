@@ -66,9 +66,9 @@ def trend_of(h1: Column, h2: Column, l1: Column, l2: Column) -> Column:
     )
 
 
-def trend(bars: DataFrame, left: int = 2, right: int = 2, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def trend(bars: DataFrame, left: int = 2, right: int = 2, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
     """Trend of each bar from the last two swings flagged at or before it."""
-    df = last_two_swings(swings(bars, left, right, keys), keys)
+    df = last_two_swings(swings(bars, left, right, keys, step_seconds), keys)
     return df.withColumn("trend", trend_of(*[F.col(c) for c in ("h1", "h2", "l1", "l2")]))
 
 

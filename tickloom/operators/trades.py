@@ -236,14 +236,17 @@ def kelly_at_entry(trades: DataFrame, keys: Sequence[str] = (), fraction: float
 
 def breakers(trades: DataFrame, start: float = START_EQUITY, keys: Sequence[str] = ()) -> DataFrame:
     """Circuit breaker after each closed trade, with the equity it was judged on."""
-    eq = equity_series(trades, keys).select(*keys, "ticket", "close_time", "profit", (F.col("equity") + F.lit(start)).alias("equity"),
-                                            F.greatest(F.col("peak") + F.lit(start), F.lit(start)).alias("peak"))
-    eq = settle(eq.withColumn("_day", F.to_date("close_time")))
+    rows = closed_trades(trades).select(*keys, "ticket", "close_time", "profit", F.coalesce("profit", F.lit(0.0)).alias("_p"))
+    df = with_position(ranged(rows, keys, ORDER), keys, ORDER, F.col("_rb"))  # one range sort carries equity, peak and streak
+    stop = F.when(F.coalesce(F.col("profit") >= 0, F.lit(True)), F.col("pos"))
+    df = settle(running(df, keys, F.col("_rb"), ORDER, {"equity": ("sum", F.col("_p")), "_stop": ("max", stop)}))
+    df = running(df, keys, F.col("_rb"), ORDER, {"peak": ("max", F.col("equity"))})
+    eq = settle(df.select(*keys, "ticket", "close_time", F.col("_p").alias("profit"), (F.col("equity") + F.lit(start)).alias("equity"), F.greatest(F.col("peak") + F.lit(start), F.lit(start)).alias("peak"),
+                          (F.col("pos") - F.coalesce("_stop", F.lit(-1))).alias("streak"), F.to_date("close_time").alias("_day")))
     days = eq.groupBy(*keys, "_day").agg(F.sum("profit").alias("_d"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*keys, "_day", (F.coalesce(F.sum("_d").over(before), F.lit(0.0)) + F.lit(start)).alias("day_start"))  # one row per day
-    streak = loss_streaks(trades, keys).select(*keys, "ticket", "close_time", "streak")
-    df = eq.join(days, [*keys, "_day"]).join(streak, [*keys, "ticket", "close_time"])
+    df = eq.join(days, [*keys, "_day"])
     reason = sizing.breaker(F.col("equity"), F.col("peak"), F.col("day_start"), F.col("streak"))
     return df.select(*keys, "ticket", "close_time", "equity", "peak", "day_start", "streak", reason.alias("reason"))
 

@@ -82,7 +82,9 @@ def write_if_not_smaller(df: DataFrame, path: str) -> DataFrame:
     """Replace only partitions that do not lose rows; returns what was decided per partition."""
     spark = df.sparkSession
     df = settle(df)
-    verdict = settle(allowed_shrink(load_bars(spark, path), df))
+    touched = df.select("symbol", "tf").distinct()
+    stored = load_bars(spark, path).join(touched, ["symbol", "tf"], "left_semi")  # only the partitions that would be replaced
+    verdict = settle(allowed_shrink(stored, df))
     keep = verdict.where("accepted").select("symbol", "tf")
     _write_partitions(df.join(keep, ["symbol", "tf"], "left_semi"), path)
     return verdict

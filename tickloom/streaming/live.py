@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.money import break_even_stop, target_reached
 from ..operators.accounts import STATE_SCHEMA, account_state, account_verdicts
@@ -42,8 +43,34 @@ def bar_stream(ticks: DataFrame, seconds: int = 3600, lateness: str = "10 minute
     )
 
 
-def late_rows(query) -> int:
-    """Rows a running query has dropped as late, from its progress reports."""
+class LateRows(StreamingQueryListener):
+    """Counts the rows each query has dropped as late, over all its progress reports.
+
+    Register it with ``spark.streams.addListener`` before the query starts; a query
+    itself keeps only its newest reports.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.id)] = self.dropped.get(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[str(p.id)] = self.dropped.get(str(p.id), 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def late_rows(query, listener: LateRows | None = None) -> int:
+    """Rows a query has dropped as late: of all its run with a listener, else of its newest reports."""
+    if listener is not None:
+        return listener.dropped.get(str(query.id), 0)
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
