@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import shared_dir
 
@@ -32,6 +33,19 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def named(columns: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, dots and quotes included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def map_rows(df: DataFrame, run: Callable, added: Sequence[tuple[str, DataType]] = ()) -> DataFrame:
+    """``df.mapInArrow(run)`` where ``run`` keeps the columns and may append ``added``; names may hold anything."""
+    kinds = [*[f.dataType for f in df.schema.fields], *[kind for _, kind in added]]
+    shape = StructType([StructField(f"_c{i}", kind) for i, kind in enumerate(kinds)])
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, shape).toDF(*df.columns, *[name for name, _ in added])
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

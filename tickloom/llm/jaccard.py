@@ -11,8 +11,9 @@ documents link when the sets' Jaccard similarity is at least 0.8.
 2. *Classes.* Documents with equal sets are one class; copies are never paired.
 3. *Grouped prefixes.* The remaining sets are ordered by frequency, rare first, and
    cut to the prefix that any partner must touch.  Classes with equal prefix and
-   size are one group.  Groups meet on prefix shingles, pairs are filtered by size
-   and position, then expanded and verified on whole sets.
+   size are one group.  Members of a group are verified first.  Groups meet on prefix
+   shingles, pairs are filtered by size and position, then tried with one member of
+   each and, where that leaves two components, expanded and verified in full.
 4. *Hubs.* A list of groups that share a shingle is not paired in full: its first
    few groups meet all others.  Pairs already connected are left out; lists that
    still hold two components go on with eight times the hubs, until every pair is
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup, numbers, settled, text_of
+from .common import BROADCAST_ROWS, lookup, named, numbers, settled, text_of
 from .graph import components
 from .words import Words, mix, sets, slices
 
@@ -175,7 +176,7 @@ def frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     Any order of shingles gives the same links; this one keeps lists short.
     """
-    counts = settled(classes.select(F.explode("members").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 4"), "counts")
+    counts = settled(classes.select(F.explode("members").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2"), "counts")
     levels = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("level")).count().collect()  # at most 64 rows
     least, left = 64, FREQUENT
     for row in sorted(levels, key=lambda r: -r["level"]):
@@ -209,74 +210,107 @@ def _prefixes(shared):
     return run
 
 
-def needed(a, b):
+def needed(a: str, b: str):
     """Least common shingles of sets of these sizes."""
-    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT))
+    return F.ceil((F.col(a) + F.col(b)) * PERCENT / F.lit(100.0 + PERCENT))
 
 
-def _hub_pairs(members: DataFrame, key: str, low: int, high: int) -> DataFrame:
+def _state(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """Smallest and largest root in each group."""
+    return settled(grouped.join(roots, "id").groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")), "state")
+
+
+def _apart(x: str = "x_", y: str = "y_"):
+    """Whether two groups hold more than one component together."""
+    return F.least(f"{x}low", f"{y}low") != F.greatest(f"{x}high", f"{y}high")
+
+
+def _hub_pairs(members: DataFrame, key: str, low: int, high: int, condition=None) -> DataFrame:
     """Each list's members of rank low < r <= high (by ``order``) with the members after them, as columns x_ and y_."""
     ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("order", "who")))
-    hubs = settled(ranked.where(F.col("rank") <= high).where(F.col("rank") > low), "hubs")  # Spark keeps only the first rows of a list on the map side
-    x = hubs.select(F.col(key).alias("_k"), *[F.col(c).alias(f"x_{c}") for c in ("order", "who", "n", "pos")])
-    y = members.select(F.col(key), *[F.col(c).alias(f"y_{c}") for c in ("order", "who", "n", "pos")])
+    hubs = settled(ranked.where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank"), "hubs")  # Spark keeps only the first rows of a list on the map side
+    fields = [c for c in members.columns if c != key]
+    x = hubs.select(F.col(key).alias("_k"), *[F.col(c).alias(f"x_{c}") for c in fields])
+    y = members.select(F.col(key), *[F.col(c).alias(f"y_{c}") for c in fields])
     after = (F.col("y_order") > F.col("x_order")) | ((F.col("y_order") == F.col("x_order")) & (F.col("y_who") > F.col("x_who")))
-    return x.join(y, (F.col("_k") == F.col(key)) & after)
+    on = (F.col("_k") == F.col(key)) & after
+    return x.join(y, on if condition is None else on & condition)
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """New roots after linking the pairs of classes (x, y) whose sets are similar enough."""
+    named = pairs.join(roots.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x").join(roots.select(F.col("id").alias("y"), F.col("root").alias("ry")), "y")
+    named = settled(named.where("rx != ry").select("x", "y", "rx", "ry"), "pairs")
+    a = classes.select(F.col("id").alias("x"), F.col("members").alias("ma"), F.col("n").alias("na"))
+    b = classes.select(F.col("id").alias("y"), F.col("members").alias("mb"), F.col("n").alias("nb"))
+    same = F.size(F.array_intersect("ma", "mb"))
+    true = named.join(a, "x").join(b, "y").where(same * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select(F.col("rx").alias("a"), F.col("ry").alias("b"))
+    merged = components(true).withColumnsRenamed({"node": "_n", "root": "_r"})
+    return settled(roots.join(merged, F.col("root") == F.col("_n"), "left").select("id", F.coalesce("_r", "root").alias("root")), "roots")
+
+
+def _link_inside(grouped: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots after comparing the members of each group."""
+    sizes = settled(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "group-sizes")
+    lists = settled(grouped.join(sizes, "g").select("g", F.xxhash64("id").alias("order"), F.col("id").alias("who"), "size"), "inner")
+    low, high = 0, FIRST_HUBS
+    while not lists.isEmpty():
+        pairs = _hub_pairs(lists, "g", low, high).select(F.col("x_who").alias("x"), F.col("y_who").alias("y"))
+        roots = _verify(pairs, classes, roots)
+        rest = lists.where(F.col("size") > high + 1)
+        if rest.isEmpty():
+            break
+        open_ = settled(rest.join(roots.withColumnRenamed("id", "who"), "who").groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("g"), "open")
+        lists = settled(rest.join(open_, "g", "left_semi"), "inner")
+        low, high = high, high * MORE_HUBS
+    return roots
+
+
+def _link_between(sizes: DataFrame, grouped: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots after comparing groups that share a prefix shingle."""
+    lists = sizes.select("g", "n", F.posexplode("prefix").alias("pos", "h")).select("h", F.xxhash64("g").alias("order"), F.col("g").alias("who"), "n", "pos")
+    lists = settled(lists, "lists")
+    counts = settled(lists.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "list-sizes")
+    lists = settled(lists.join(counts, "h"), "lists")
+    state = _state(grouped, roots)
+    low, high = 0, FIRST_HUBS
+    # the first common shingle of a linked pair stands no later than this in either set
+    fits = (F.col("x_pos") <= F.col("x_n") - needed("x_n", "y_n")) & (F.col("y_pos") <= F.col("y_n") - needed("x_n", "y_n"))
+    while not lists.isEmpty():
+        known = settled(lists.join(state.withColumnRenamed("g", "who"), "who"), "lists")
+        met = settled(_hub_pairs(known, "h", low, high, fits & _apart()).select(F.col("x_who").alias("gx"), F.col("y_who").alias("gy")).distinct(), "group-pairs")
+        for whole in (False, True):  # one member of each group first; then all of those still apart
+            people = grouped.join(roots, "id").select("g", "id", "root") if whole else grouped.groupBy("g").agg(F.min("id").alias("id")).join(roots, "id")
+            people = settled(people, "people")
+            px = people.select(F.col("g").alias("gx"), F.col("id").alias("x"), F.col("root").alias("rx"))
+            py = people.select(F.col("g").alias("gy"), F.col("id").alias("y"), F.col("root").alias("ry"))
+            both = met.join(px, "gx").join(py, "gy").where("rx != ry")
+            roots = _verify(both.select("x", "y"), classes, roots)
+            state = _state(grouped, roots)
+            x = state.select(F.col("g").alias("gx"), F.col("low").alias("x_low"), F.col("high").alias("x_high"))
+            y = state.select(F.col("g").alias("gy"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+            met = settled(met.join(x, "gx").join(y, "gy").where(_apart()).select("gx", "gy"), "group-pairs")
+            if met.isEmpty():
+                break
+        rest = lists.where(F.col("size") > high + 1)
+        if rest.isEmpty():
+            break
+        open_ = settled(rest.join(state.withColumnRenamed("g", "who"), "who").groupBy("h").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a != b").select("h"), "open")
+        lists = settled(rest.join(open_, "h", "left_semi"), "lists")
+        low, high = high, high * MORE_HUBS
+    return roots
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """``id``, ``root`` of the classes connected by links (classes without a link left out)."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(classes))
+    """``id`` and ``root`` of every class: the smallest id it is connected with by links."""
+    shared = classes.sparkSession.sparkContext.broadcast(frequent(classes))
     cut = settled(classes.select("id", "n", "members").mapInArrow(_prefixes(shared), "id long, n long, gid binary, prefix array<long>"), "prefixes")
     sizes = cut.groupBy("gid").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     sizes = settled(sizes.select("gid", F.monotonically_increasing_id().alias("g"), "n", "prefix"), "groups")
-    # one list per prefix shingle (of groups) and one per group (of classes)
-    lists = settled(sizes.select("g", "n", F.posexplode("prefix").alias("pos", "h")).select("h", F.xxhash64("g").alias("order"), F.col("g").alias("who"), "n", "pos"), "lists")
-    counts = lists.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = settled(cut.join(sizes.select("gid", "g"), "gid").select("id", "g", "n"), "members")
-    big = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = settled(cut.join(sizes.select("gid", "g"), "gid").select("id", "g"), "members")
     roots = settled(grouped.select("id", F.col("id").alias("root")), "roots")
-    lists = settled(lists.join(settled(counts, "list-sizes"), "h"), "lists")
-    inner = settled(grouped.join(settled(big, "group-sizes"), "g").select("g", F.xxhash64("id").alias("order"), F.col("id").alias("who"), "n", F.lit(0).alias("pos"), "size"), "inner")
-    low, high, state = 0, FIRST_HUBS, None
-    while True:
-        pairs = _round(lists, inner, grouped, roots, state, low, high)
-        pairs = settled(pairs, "pairs")
-        a = classes.select(F.col("id").alias("x"), F.col("members").alias("ma"), F.col("n").alias("na"))
-        b = classes.select(F.col("id").alias("y"), F.col("members").alias("mb"), F.col("n").alias("nb"))
-        same = F.size(F.array_intersect("ma", "mb"))
-        true = pairs.join(a, "x").join(b, "y").where(same * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select("rx", "ry")
-        merged = components(true.select(F.col("rx").alias("a"), F.col("ry").alias("b")))
-        roots = settled(roots.join(merged.withColumnsRenamed({"node": "_n", "root": "_r"}), F.col("root") == F.col("_n"), "left").select("id", F.coalesce("_r", "root").alias("root")), "roots")
-        # lists with members beyond the hubs and more than one component go on
-        state = settled(grouped.join(roots, "id").groupBy("g").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")), "state")
-        open_lists = lists.where(F.col("size") > high + 1).join(state, lists["who"] == state["g"]).groupBy("h").agg(F.min("low_root").alias("a"), F.max("high_root").alias("b")).where("a != b").select("h")
-        open_inner = inner.where(F.col("size") > high + 1).join(state, "g").where("low_root != high_root").select("g").distinct()
-        lists = settled(lists.join(settled(open_lists, "open"), "h", "left_semi"), "lists")
-        inner = settled(inner.join(settled(open_inner, "open"), "g", "left_semi"), "inner")
-        if lists.isEmpty() and inner.isEmpty():
-            return roots
-        low, high = high, high * MORE_HUBS
-
-
-def _round(lists: DataFrame, inner: DataFrame, grouped: DataFrame, roots: DataFrame, state: DataFrame | None, low: int, high: int) -> DataFrame:
-    """Pairs of classes (x, y) to verify, with their present roots (rx, ry), which differ."""
-    fits = (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT)
-    rest = F.lit(1) + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1) + F.least("x_pos", "y_pos")
-    met = _hub_pairs(lists, "h", low, high).where(fits & (rest >= needed(F.col("x_n"), F.col("y_n")))).select(F.col("x_who").alias("gx"), F.col("y_who").alias("gy")).distinct()
-    if state is not None:  # groups that are already one component together need no look
-        sx = state.select(F.col("g").alias("gx"), F.col("low_root").alias("lx"), F.col("high_root").alias("hx"))
-        sy = state.select(F.col("g").alias("gy"), F.col("low_root").alias("ly"), F.col("high_root").alias("hy"))
-        met = met.join(sx, "gx").join(sy, "gy").where(F.least("lx", "ly") != F.greatest("hx", "hy")).select("gx", "gy")
-    met = settled(met, "group-pairs")
-    people = settled(grouped.join(roots, "id").select("g", "id", "root"), "people")
-    px = people.select(F.col("g").alias("gx"), F.col("id").alias("x"), F.col("root").alias("rx"))
-    py = people.select(F.col("g").alias("gy"), F.col("id").alias("y"), F.col("root").alias("ry"))
-    outer = met.join(px, "gx").join(py, "gy").where("rx != ry").select("x", "y", "rx", "ry")
-    own = _hub_pairs(inner, "g", low, high).select(F.col("x_who").alias("x"), F.col("y_who").alias("y"))
-    own = own.join(people.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x").join(people.select(F.col("id").alias("y"), F.col("root").alias("ry")), "y").where("rx != ry")
-    return outer.unionByName(own.select("x", "y", "rx", "ry"))
+    roots = _link_inside(grouped, classes, roots)
+    return _link_between(sizes, grouped, classes, roots)
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -306,7 +340,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     seen = got.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     told = seen.join(first, seen["doc_id"].eqNullSafe(first["_i"]) & (seen["key"] == first["_k"]), "left")
     act = settled(told.select("doc_id", "key", F.when(F.col("_stays").isNull(), 1).when(F.col("times") > 1, 2).alias("act")).where("act is not null"), "acts")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.when(text_of().rlike(r"[^\x20\x09-\x0D]"), key_of()).alias("key"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("_row"), F.col("doc_id"), F.when(text_of().rlike(r"[^\x20\x09-\x0D]"), key_of()).alias("key"))
     marked = lookup(rows, act, ["doc_id", "key"], ["act"], F.xxhash64("key", "doc_id"))
     repeated = marked.where("act = 2").groupBy("doc_id", "key").agg(F.first("_row").alias("_row"))
     return marked.where("act is null").select("_row.*").unionByName(repeated.select("_row.*"))
