@@ -13,6 +13,7 @@ import pytest
 
 from tickloom.llm import blobscan, chat, langid, lm, mixing, sharding
 from tickloom.llm.gru import Gru
+from tickloom.session import shared_dir
 
 DOCS = "doc_id long, text string, source string"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +63,14 @@ def test_mix_targets_and_copies(spark):
     assert mixing.taken(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_other_columns_pass_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "w w w", "s", 1, "x", 2.0)], "doc_id long, text string, source string, `a.b` int, `_row` string, `size` double")
+    assert mixing.mix(df).columns == df.columns
+    assert sharding.shard(df).columns == [*df.columns, "shard", "slot"]
+    assert langid.known_language(df.withColumn("lang", df["source"])).count() == 1
+    assert blobscan.findings(df, f"{shared_dir(spark)}/ledger-names").columns == ["doc_id", "source", "a.b", "_row", "size", "blob", "found"]
+
+
 def test_lookup_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.createDataFrame([(i, "w " * (i % 9), None if i % 4 == 0 else f"s{i % 7}") for i in range(300)], DOCS)
     small = sorted(map(tuple, mixing.taken(df).collect()))

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, exact, graph, jaccard, licenses
 from tickloom.llm.words import LETTERS, NOT_SPACE, Words
@@ -75,7 +76,7 @@ def test_ngram_join_matches_all_pairs(spark, seed, edits):
 
 def test_one_of_each_keeps_the_rest(spark):
     rows = [(3, "one two three four five six", "x"), (1, "one two three four five six", "y"), (1, "one two three four five six", "z"), (4, None, "n"), (5, "", "e"), (5, "", "e"), (None, "alone in here with five words", "q")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, `key.x` string").withColumn("key", F.lit(1))
     got = jaccard.one_of_each(df)
     assert got.columns == df.columns
     kept = got.collect()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import settled, text_of
+from .common import named, settled, text_of
 
 
 @dataclass(frozen=True)
@@ -126,11 +126,11 @@ def findings(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) ->
     hits = book.where(F.size(valid) > 0).select("blob", F.transform(valid, kind).alias("_found"))
     hits = settled(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("found")), "findings")
     kept = [c for c in versions.columns if c.lower() not in ("text", "found", "blob")]
-    paths = settled(versions.select(*kept, address().alias("blob")), "paths")
+    paths = settled(versions.select(*named(kept), address().alias("blob")), "paths")
     names = F.array(*[F.lit(r.kind) for r in rules])
-    named = F.transform(F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,stop:bigint>>")),
+    listed = F.transform(F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,stop:bigint>>")),
                         lambda s: F.struct(F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return paths.join(hits, "blob", "left").select(*kept, "blob", named.alias("found"))
+    return paths.join(hits, "blob", "left").select(*named(kept), "blob", listed.alias("found"))
 
 
 def secret_digest(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_rows, text_of
 from .words import LETTERS, Words, slices
 
 SEED_WORDS = 5
@@ -197,5 +197,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
                 clean[list(_matches(block.value, batch.column(at), share))] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs

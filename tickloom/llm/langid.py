@@ -22,9 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import crc_of_id
+from .common import crc_of_id, map_rows, named
 from .words import pieces, utf8
 
 TRAIN_DOCS = 600      # bound of the sample, per language
@@ -188,16 +188,16 @@ def train(docs: DataFrame, learn=None, train_docs: int = TRAIN_DOCS) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    docs = docs.select(*kept)
+    docs = docs.select(*named(kept))
     shared, at = docs.sparkSession.sparkContext.broadcast(model), kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score = shared.value.label(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+            columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, [f"_c{i}" for i in range(len(columns))])
 
-    shape = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, shape)
+    return map_rows(docs, run, [("lang_pred", StringType()), ("score", DoubleType())])
 
 
 def held_out(remainder: int = 2, parts: int = 4):
@@ -220,4 +220,4 @@ def known_language(docs: DataFrame) -> DataFrame:
             pred, _ = shared.value.label(batch.column(at))
             yield batch.filter(pa.array(pred != UNKNOWN))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

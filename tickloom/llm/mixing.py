@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.series import ranged, running, with_position
-from .common import lookup, settled, text_of
+from .common import lookup, named, settled, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -68,7 +68,7 @@ def copies(docs: DataFrame, keep: Sequence[str], weights: Sequence[int] = WEIGHT
     counting is cheaper than carrying texts through a shuffle.
     """
     plan = targets(docs.select(F.col(source).alias("_source"), word_count(text).alias("_size")), weights, cap)
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(source).alias("_source"), word_count(text).alias("size"), draw(doc_id, text, seed).alias("_u"))
+    rows = docs.select(F.struct(*named(keep)).alias("_row"), F.col(source).alias("_source"), word_count(text).alias("size"), draw(doc_id, text, seed).alias("_u"))
     got = lookup(rows, plan, ["_source"], ["source_size", "target"], F.xxhash64("_u"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)

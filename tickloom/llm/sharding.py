@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, text_of
+from .common import named, settled, text_of
 
 SHARDS = 24
 BLOCK_ROWS = 16_384
@@ -98,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: i
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    placed = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    placed = docs.select(F.struct(*named(kept)).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
     base = settled(placed, "shard-rows")
     part, place = F.shiftright("_rid", 33), F.col("_rid").bitwiseAND(F.lit((1 << 33) - 1))
     counted = base.select(part.alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p")
