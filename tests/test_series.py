@@ -82,3 +82,12 @@ def test_expanding_regime_equals_the_prefix_median(spark, bars, bars_pd):
         vol = np.log(pdf.close / pdf.close.shift(1)).rolling(20).std()
         want = (vol > vol.expanding().median()).astype(int).tolist()
         assert got[got.symbol == sym].sort_values("time")["regime"].tolist() == want
+
+
+def test_range_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "RANGE_ROWS", 100)
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS k", "id % 7 AS v", "id")
+    got = Q.ranged(df, ["k"], ["v", "id"]).groupBy("_rb").count().toPandas()
+    assert len(got) > 30 and got["count"].max() < 300 and got["count"].sum() == 3000
+    placed = Q.with_position(Q.ranged(df, ["k"], ["v", "id"]), ["k"], ["v", "id"], F.col("_rb")).orderBy("k", "pos").toPandas()
+    assert placed["pos"].tolist() == [*range(2700), *range(300)]

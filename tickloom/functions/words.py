@@ -45,8 +45,10 @@ FAMILY_DEFAULTS = {
                       "atr_sl_multiplier": 1.5, "atr_tp_multiplier": 3.0},
     "mean_reversion": {"bb_period": 20.0, "bb_std": 2.0, "rsi_period": 14.0, "rsi_oversold": 30.0,
                        "rsi_overbought": 70.0, "atr_sl_multiplier": 1.5, "atr_tp_multiplier": 2.0},
-    "trend_following": {"atr_period": 14.0, "atr_sl_multiplier": 1.5, "tp_r_multiple": 1.5},
-    "pairs_trading": {"entry_zscore": 2.0, "spread_window": 60.0, "atr_sl_multiplier": 1.5},
+    "trend_following": {"htf_resample_rule": "4h", "swing_left": 2.0, "swing_right": 2.0, "tp_r_multiple": 1.5, "atr_period": 14.0,
+                        "atr_sl_multiplier": 1.5, "sl_atr_buffer": 1.0, "reversal_lookback": 10.0, "mode": "standard"},
+    "pairs_trading": {"symbol1": "EURUSD", "symbol2": "GBPUSD", "entry_zscore": 2.0, "spread_window": 60.0, "hedge_window": 60.0,
+                      "atr_sl_multiplier": 1.5},
 }
 
 
@@ -111,12 +113,20 @@ def numeric_text(value: Column) -> Column:
 
 
 def strategy_params(family: str, params: Column) -> Column:
-    """Struct of the family's parameters: aliases applied over defaults, then reset rules."""
+    """Struct of the family's parameters: aliases applied over defaults, then reset rules.
+
+    A parameter without aliases keeps its default.  A value that is no number also
+    leaves the default; ``rejected`` names such parameters.
+    """
     known = normal_keys(params)
-    cols = {}
+    cols, refused = {}, []
     for name, default in FAMILY_DEFAULTS[family].items():
+        if name not in PARAM_ALIASES:
+            cols[name] = F.lit(default)
+            continue
         found = F.coalesce(*[known[a] for a in PARAM_ALIASES[name]])
         cols[name] = F.coalesce(numeric_text(found), F.lit(default))
+        refused.append(F.when(found.isNotNull() & numeric_text(found).isNull(), F.lit(name)))
     if family == "ema_crossover":
         crossed = cols["ema_fast"] >= cols["ema_slow"]
         fast, slow = FAMILY_DEFAULTS[family]["ema_fast"], FAMILY_DEFAULTS[family]["ema_slow"]
@@ -128,7 +138,8 @@ def strategy_params(family: str, params: Column) -> Column:
         low, high = cols["rsi_oversold"], cols["rsi_overbought"]
         cols["rsi_oversold"] = F.when((low > 0) & (low < 50), low).otherwise(F.lit(30.0))
         cols["rsi_overbought"] = F.when((high > 50) & (high < 100), high).otherwise(F.lit(70.0))
-    return F.struct(*[c.alias(n) for n, c in cols.items()])
+    rejected = F.array_compact(F.array(*refused))
+    return F.struct(*[c.alias(n) for n, c in cols.items()], rejected.alias("rejected"))
 
 
 def strip_fence(text: Column) -> Column:

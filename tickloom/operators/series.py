@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 BUCKET_ROWS = 65_536
+RANGE_ROWS = 2_000_000  # most rows of a range partition
 HALO_DECAY = 42.0    # exp(-42) is below double precision
 MAX_EXPONENT = 600.0  # keeps r ** -block inside the double range
 
@@ -45,10 +46,17 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bu
 
     For series without a grid: Spark samples the full sort key, so a crowded hour,
     value or key is spread over as many buckets as its rows need.  The bucket is
-    stored with the rows, which keeps it the same in every later pass.
+    stored with the rows, which keeps it the same in every later pass.  Should a
+    partition hold more than ``RANGE_ROWS`` rows, the settled rows are cut again into
+    as many partitions as they need.
     """
-    cut = df.repartitionByRange(*[*keys, *order])
-    return settle(cut.withColumn(bucket, F.spark_partition_id().cast("long")))
+    by = [*keys, *order]
+    cut = settle(df.repartitionByRange(*by).withColumn(bucket, F.spark_partition_id().cast("long")))
+    rows, largest = cut.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()  # two numbers
+    if (largest or 0) <= RANGE_ROWS:
+        return cut
+    parts = 2 * -(-rows // RANGE_ROWS) + 1
+    return settle(cut.drop(bucket).repartitionByRange(parts, *by).withColumn(bucket, F.spark_partition_id().cast("long")))
 
 
 def time_bucket(time: str, step_seconds: int, rows: int = BUCKET_ROWS) -> Column:

@@ -121,14 +121,17 @@ def strategy_family(spark, folder):
 
 
 @query("parameter_aliases", """SELECT p_partkey, CASE WHEN p_size >= 30 THEN 9.0 ELSE p_size END::DOUBLE AS ema_fast, CASE WHEN p_size >= 30 THEN 21.0 ELSE 30.0 END::DOUBLE AS ema_slow,
-  1.5::DOUBLE AS atr_sl_multiplier, CASE WHEN p_size < 50 AND p_size > 0 THEN p_size ELSE 30.0 END::DOUBLE AS rsi_oversold, 70.0::DOUBLE AS rsi_overbought FROM part""")
+  1.5::DOUBLE AS atr_sl_multiplier, CASE WHEN p_size < 50 AND p_size > 0 THEN p_size ELSE 30.0 END::DOUBLE AS rsi_oversold, 70.0::DOUBLE AS rsi_overbought,
+  2.5::DOUBLE AS tp_r_multiple, 10.0::DOUBLE AS reversal_lookback, 'standard' AS mode, p_size / 10.0::DOUBLE AS entry_zscore, 60.0::DOUBLE AS hedge_window, 'GBPUSD' AS symbol2, ['atr_sl_multiplier'] AS rejected FROM part""")
 def parameter_aliases(spark, folder):
     p = T.table(spark, folder, "part")
     size = F.col("p_size").cast("string")
     named = F.create_map(F.lit("Fast-Period"), size, F.lit("slow ma"), F.lit("30"), F.lit("stop atr"), F.lit("abc"), F.lit("Oversold"), F.concat(size, F.lit("%")),
-                         F.lit("overbought"), F.lit("120"))
-    x = p.select("p_partkey", words.strategy_params("ema_crossover", named).alias("e"), words.strategy_params("mean_reversion", named).alias("m"))
-    return x.select("p_partkey", "e.ema_fast", "e.ema_slow", "e.atr_sl_multiplier", "m.rsi_oversold", "m.rsi_overbought")
+                         F.lit("overbought"), F.lit("120"), F.lit("RR"), F.lit(" 2.5 "), F.lit("z-score"), (F.col("p_size") / 10.0).cast("string"))
+    kinds = {"e": "ema_crossover", "m": "mean_reversion", "t": "trend_following", "q": "pairs_trading"}
+    x = p.select("p_partkey", *[words.strategy_params(kind, named).alias(n) for n, kind in kinds.items()])
+    return x.select("p_partkey", "e.ema_fast", "e.ema_slow", "e.atr_sl_multiplier", "m.rsi_oversold", "m.rsi_overbought", "t.tp_r_multiple", "t.reversal_lookback", "t.mode",
+                    "q.entry_zscore", "q.hedge_window", "q.symbol2", "e.rejected")
 
 
 @query("metric_lines", f"""WITH {TRIALS} SELECT sr_id, round(sharpe, 4) AS sharpe, guard = 'PASS' AS guard_pass, CASE WHEN sr_id % 5 = 0 THEN 0.0 ELSE round(win_rate, 1) END::DOUBLE AS win_rate,
