@@ -112,13 +112,14 @@ def numeric_text(value: Column) -> Column:
     return F.rtrim(F.trim(value), F.lit("%")).try_cast("double")
 
 
-def strategy_params(family: str, params: Column) -> Column:
+def strategy_params(family: str, params: Column, normal: bool = False) -> Column:
     """Struct of the family's parameters: aliases applied over defaults, then reset rules.
 
     A parameter without aliases keeps its default.  A value that is no number also
-    leaves the default; ``rejected`` names such parameters.
+    leaves the default; ``rejected`` names such parameters.  Keys already in their
+    normal form (``normal``) are looked up as they are.
     """
-    known = normal_keys(params)
+    known = params if normal else normal_keys(params)
     cols, refused = {}, []
     for name, default in FAMILY_DEFAULTS[family].items():
         if name not in PARAM_ALIASES:

@@ -129,7 +129,8 @@ def parameter_aliases(spark, folder):
     named = F.create_map(F.lit("Fast-Period"), size, F.lit("slow ma"), F.lit("30"), F.lit("stop atr"), F.lit("abc"), F.lit("Oversold"), F.concat(size, F.lit("%")),
                          F.lit("overbought"), F.lit("120"), F.lit("RR"), F.lit(" 2.5 "), F.lit("z-score"), (F.col("p_size") / 10.0).cast("string"))
     kinds = {"e": "ema_crossover", "m": "mean_reversion", "t": "trend_following", "q": "pairs_trading"}
-    x = p.select("p_partkey", *[words.strategy_params(kind, named).alias(n) for n, kind in kinds.items()])
+    known = p.select("p_partkey", words.normal_keys(named).alias("known"))
+    x = known.select("p_partkey", *[words.strategy_params(kind, F.col("known"), True).alias(n) for n, kind in kinds.items()])
     return x.select("p_partkey", "e.ema_fast", "e.ema_slow", "e.atr_sl_multiplier", "m.rsi_oversold", "m.rsi_overbought", "t.tp_r_multiple", "t.reversal_lookback", "t.mode",
                     "q.entry_zscore", "q.hedge_window", "q.symbol2", "e.rejected")
 
