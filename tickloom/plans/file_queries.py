@@ -58,11 +58,11 @@ def trial_log(spark, folder):
     return back.select("sr_id", "book_slug", "strategy_name", "mapped_type", r("sharpe", 6), "max_dd", "win_rate", "guard", "trades")
 
 
-@query("news_calendar", """SELECT date_trunc('second', ts) AS time, CASE user_id % 3 WHEN 0 THEN '' ELSE upper(event_type) END AS currency FROM events WHERE value > 100 AND user_id % 5 <> 0 AND event_id % 4 <> 0""")
+@query("news_calendar", """SELECT date_trunc('second', ts) AS time, CASE user_id % 3 WHEN 0 THEN '' ELSE upper(event_type) END AS currency FROM events WHERE user_id % 5 <> 0 AND event_id % 4 <> 0""")
 def news_calendar(spark, folder):
     """A calendar file with low-impact and unreadable rows, which are dropped."""
     path = scratch(spark)
-    ev = T.table(spark, folder, "events").where(F.col("value") > 100)
+    ev = T.table(spark, folder, "events")
     text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ev.select(
         F.when(F.col("event_id") % 4 == 0, F.lit("not a time")).otherwise(text).alias("time"),
