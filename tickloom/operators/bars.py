@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import TIMEFRAME_SECONDS, floor_time, timeframe_keep, timeframe_seconds
+from ..functions.clock import floor_time, timeframe_keep, timeframe_seconds
 from .series import time_bucket, with_position
 
 BAR_COLUMNS = ("time", "open", "high", "low", "close", "volume")

@@ -8,7 +8,7 @@ from ..operators import indicators as I
 from ..operators import signals as G
 from ..operators import structure as S
 from ..sources import tables as T
-from .registry import ORACLES, BARS, POS, TICKS, bars_sql, hourly, query, r
+from .registry import ORACLES, BARS, POS, TICKS, hourly, query, r
 
 
 def decay(x: str, alpha: str, order: str = "pos") -> str:
