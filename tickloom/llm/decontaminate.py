@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import text_of
 from .words import LETTERS, Words, slices
 
 SEED_WORDS = 5
@@ -159,9 +159,6 @@ def blocks(benchmark: DataFrame, share: float) -> Iterator:
         yield benchmark.sparkSession.sparkContext.broadcast(Block.of(part.column(0).to_pylist(), part.column(1).combine_chunks() if part.num_rows else pa.array([], pa.string()), share))
 
 
-FOUND = pa.list_(pa.struct([("item", pa.int64()), ("words", pa.int64()), ("covered", pa.int64()), ("tiles", pa.int64())]))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, item_words, covered_words, tiles, coverage."""
     id_type, item_type = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -189,13 +186,18 @@ def _item_type(ids: list) -> pa.DataType:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that no benchmark item contaminates, with their columns as they are."""
     for block in blocks(benchmark, share):
-        at = docs.columns.index("text")
+        docs = docs.where(F.arrow_udf(_cleaner(block, share), "boolean")("text"))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, at, SLICE_BYTES):
-                clean = np.ones(batch.num_rows, bool)
-                clean[list(_matches(block.value, batch.column(at), share))] = False
-                yield batch.filter(pa.array(clean))
 
-        docs = map_rows(docs, run)
-    return docs
+def _cleaner(block, share: float):
+    """Which texts no item of the block contaminates."""
+
+    def clean(text: pa.Array) -> pa.Array:
+        out, first = np.ones(len(text), bool), 0
+        for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], 0, SLICE_BYTES):
+            out[[first + d for d in _matches(block.value, part.column(0), share)]] = False
+            first += part.num_rows
+        return pa.array(out)
+
+    return clean

@@ -22,9 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
-from .common import crc_of_id, map_rows, named
+from .common import crc_of_id, named
 from .words import pieces, utf8
 
 TRAIN_DOCS = 600      # bound of the sample, per language
@@ -186,18 +185,16 @@ def train(docs: DataFrame, learn=None, train_docs: int = TRAIN_DOCS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced.  Only texts go to Python."""
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    docs = docs.select(*named(kept))
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), kept.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score = shared.value.label(batch.column(at))
-            columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, [f"_c{i}" for i in range(len(columns))])
+    def label(text: pa.Array) -> pa.Array:
+        pred, score = shared.value.label(text)
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    return map_rows(docs, run, [("lang_pred", StringType()), ("score", DoubleType())])
+    told = F.arrow_udf(label, "lang_pred string, score double")("text")
+    return docs.select(*named(kept), told.alias("_llm_label")).select(*named(kept), "_llm_label.lang_pred", "_llm_label.score")
 
 
 def held_out(remainder: int = 2, parts: int = 4):
@@ -213,11 +210,9 @@ def language_digest(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, learnt from all labelled ones; their columns as they are."""
     model = train(docs.select("doc_id", "text", "lang"))
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, _ = shared.value.label(batch.column(at))
-            yield batch.filter(pa.array(pred != UNKNOWN))
+    def known(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.label(text)[0] != UNKNOWN)
 
-    return map_rows(docs, run)
+    return docs.where(F.arrow_udf(known, "boolean")("text"))

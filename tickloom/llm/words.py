@@ -40,13 +40,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
-    column = column.cast(pa.large_string())
+    if not len(column) or pa.types.is_null(column.type):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     if column.null_count:
         column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 
@@ -70,6 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
             j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
             yield batch.slice(i, j - i)
             i = j
+        pa.default_memory_pool().release_unused()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
