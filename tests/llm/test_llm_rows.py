@@ -256,5 +256,20 @@ def test_language_model_counts(spark, monkeypatch, table):
     assert sum(r.score for r in seen) / sum(r.n_tokens for r in seen) > -3.5
 
 
+def test_every_training_document_reaches_the_recurrent_weights(spark, monkeypatch):
+    asked = []
+
+    def weights(docs, vocabulary, start):
+        asked.append(sorted(r.doc_id for r in docs.collect()))
+        return np.zeros(1, np.float32)
+
+    monkeypatch.setattr(lm, "WARM_DOCS", 40)
+    monkeypatch.setattr(lm, "_train", weights)
+    docs = spark.createDataFrame([(i, f"w{i} some words") for i in range(600)], "doc_id long, text string").repartition(4)
+    lm.score_digest(docs)
+    training = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert 0 < len(asked[0]) < len(training) // 4 and asked[1:] == [training]
+
+
 def test_language_model_without_training_rows(spark):
     assert lm.score_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -152,13 +152,17 @@ class Gru:
         grad["ww"], grad["bw"] = np.zeros_like(self.p["ww"]), np.zeros_like(self.p["bw"])
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                d = _softmax(s[rows] @ self.p["ww"][c] + self.p["bw"][c])
-                d[np.arange(len(rows)), inner[rows]] -= 1
-                grad["ww"][c], grad["bw"][c] = s[rows].T @ d, d.sum(0)
-                ds[rows] += d @ self.p["ww"][c].T
+        s, inner, inside = s[order], inner[order], np.empty_like(ds)
+        for c in np.flatnonzero(np.diff(ends)):
+            rows = slice(ends[c], ends[c + 1])
+            here = s[rows]
+            d = here @ self.p["ww"][c]
+            d += self.p["bw"][c]
+            d = _softmax(d)
+            d[np.arange(len(here)), inner[rows]] -= 1
+            grad["ww"][c], grad["bw"][c] = here.T @ d, np.ones(len(d), d.dtype) @ d
+            inside[rows] = d @ self.p["ww"][c].T
+        ds[order] += inside
         return ds
 
     def learn(self, ids: np.ndarray, offsets: np.ndarray) -> None:
@@ -185,32 +189,45 @@ class Gru:
             words.append(now)
             lives.append(live)
             h = after
-        grad: dict = {"u": np.zeros_like(p["u"])}
-        ds = self._output_gradient(np.concatenate([x[0] for x in kept]), np.concatenate(words), grad)
+        grad: dict = {}
+        before = np.concatenate([x[0] for x in kept])
+        z, r, n, hn = (np.concatenate([x[1][i] for x in kept]) for i in range(4))
+        ds = self._output_gradient(before, np.concatenate(words), grad)
         at = np.concatenate([[0], np.cumsum(lives)])
         dg = np.empty((at[-1], 3 * k), np.float32)
+        du = np.empty_like(dg)
+        to_n = (1 - z) * (1 - n * n)
+        # the state's gradient times these is that of the gates z, r and n
+        to_g = np.concatenate([(before - n) * z * (1 - z), to_n * hn * r * (1 - r), to_n], 1)
+        to_u = to_g.copy()
+        to_u[:, 2 * k :] *= r
+        back = np.ascontiguousarray(p["u"].T)
         dh = np.zeros((lives[-1], k), np.float32)  # cut at the window's end
         for s in range(len(words) - 1, -1, -1):
-            before, (z, r, n, hn) = kept[s]
+            here = slice(at[s], at[s + 1])
             if len(dh) < lives[s]:
                 dh = np.concatenate([dh, np.zeros((lives[s] - len(dh), k), np.float32)])
-            dz = dh * (before - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * hn * r * (1 - r)
-            here = dg[at[s] : at[s + 1]]
-            here[:, :k], here[:, k : 2 * k], here[:, 2 * k :] = dz, dr, dn
-            du = here.copy()
-            du[:, 2 * k :] *= r
-            grad["u"] += before.T @ du
-            dh = dh * z + du @ p["u"].T + ds[at[s] : at[s + 1]]
-        grad["b"] = dg.sum(0)
+            wide = np.tile(dh, 3)
+            np.multiply(wide, to_g[here], out=dg[here])
+            np.multiply(wide, to_u[here], out=du[here])
+            dh = dh * z[here]
+            dh += du[here] @ back
+            dh += ds[here]
+        grad["u"], grad["b"] = before.T @ du, dg.sum(0)
         grad["win"] = np.zeros_like(p["win"])
-        np.add.at(grad["win"], np.concatenate(words), dg)
+        now = np.concatenate(words)
+        order = np.argsort(now, kind="stable")
+        first = np.flatnonzero(np.diff(now[order], prepend=-1))
+        grad["win"][now[order[first]]] = np.add.reduceat(dg[order], first)
         scale = 1.0 / STREAMS
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))
         for name, g in grad.items():
-            g = g * np.float32(scale)
-            self.cache[name] += g * g
-            p[name] -= np.float32(RATE) * g / np.sqrt(self.cache[name])
+            g *= np.float32(scale)
+            square = g * g
+            self.cache[name] += square
+            np.sqrt(self.cache[name], out=square)
+            g *= np.float32(RATE)
+            g /= square
+            p[name] -= g
         return h

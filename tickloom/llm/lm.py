@@ -2,10 +2,9 @@
 
 Word counts cover all training documents: tasks sum their words, hash buckets sum
 the tasks.  The vocabulary of the recurrent model is the most frequent words; the
-model first learns on a bounded share of the documents in one task, then every task
-goes on from there with its own training documents and the weights are averaged,
-weighed by tokens.  ``TRAIN_SHARE`` of the training documents, by hash, takes part,
-so the training grows with the corpus.
+model first learns on about ``WARM_DOCS`` documents in one task, then every task goes
+on from there with all its own training documents and the weights are averaged,
+weighed by tokens.
 
 Scoring is one pass: a document's state runs through all its words.  A word outside
 the vocabulary has the model's probability of such a word times the word's share of
@@ -34,7 +33,6 @@ from .words import Words, slices
 
 VOCABULARY = 1022
 KNOWN_WORDS = 1 << 20       # longest broadcast table of counts
-TRAIN_SHARE = 1 / 12        # of the training documents, for the recurrent weights
 WARM_DOCS = 1500            # for the first weights, in one task
 BUCKET_BYTES = 8 << 20     # of text, for one bucket of words
 SLICE_BYTES = 4 << 20       # of text, worked on at a time
@@ -168,16 +166,15 @@ def _train(docs: DataFrame, vocabulary, start: np.ndarray | None) -> np.ndarray
     return (sum(np.frombuffer(r["flat"]) for r in got) / sum(r["seen"] for r in got)).astype(np.float32)
 
 
-def train(docs: DataFrame, learn, vocabulary, share: float = TRAIN_SHARE) -> np.ndarray:
-    """Weights of the recurrent model, from a first task on few documents and then all tasks."""
+def train(docs: DataFrame, learn, vocabulary) -> np.ndarray:
+    """Weights of the recurrent model, from a first task on few documents and then all tasks on all of them."""
     spot = F.pmod(F.xxhash64("doc_id", text_of(), F.lit("train")), F.lit(1_000_000)) / F.lit(1e6)
     known = vocabulary.value
     chosen = docs.where(learn)
     first = _train(chosen.where(spot < min(1.0, WARM_DOCS / max(1, known.docs))).coalesce(1), vocabulary, None)
     if first is None:
         return Gru(known.counts).flat()
-    later = _train(chosen.where(spot >= 1 - share), vocabulary, first)
-    return first if later is None else later
+    return _train(chosen, vocabulary, first)
 
 
 _COLUMNS = ["bucket", "base", "h", "place", "doc_id", "held_out", "n", "known", "logs", "model", "others", "rest"]
@@ -269,10 +266,10 @@ def score(docs: DataFrame, counts: Counts, vocabulary, weights: np.ndarray, held
     return told.groupBy("base").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_digest(docs: DataFrame, remainder: int = 1, parts: int = 5, share: float = TRAIN_SHARE) -> DataFrame:
+def score_digest(docs: DataFrame, remainder: int = 1, parts: int = 5) -> DataFrame:
     """Scores of all documents, learnt from those whose id's crc32 leaves another remainder."""
     docs = docs.select("doc_id", "text")
     held = crc_of_id() % parts == remainder
     counts = count_words(docs, ~held)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(counts))
-    return score(docs, counts, vocabulary, train(docs, ~held, vocabulary, share), held)
+    return score(docs, counts, vocabulary, train(docs, ~held, vocabulary), held)
