@@ -83,6 +83,17 @@ def test_one_of_each_keeps_the_rest(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == [(False, 1, rows[0][1]), (False, 4, ""), (False, 5, ""), (False, 5, ""), (True, 0, rows[-1][1])]
 
 
+def test_one_of_each_tells_components_apart_whatever_their_ids(spark):
+    base = [f"w{i}" for i in range(50)]
+    near = " ".join([*base, "tail"])
+    rows = [(None, "first text of no known id"), (None, "second text without any id"), (None, "second text without any id"), (7, "one thing said under seven"), (7, "another thing said under seven too"),
+            (None, " ".join(base)), (None, near), (8, " ".join(["x", *base])), (8, near)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    apart = sorted((r.doc_id or 0, r.text) for r in kept if "w1 " not in r.text)
+    assert apart == sorted((d or 0, t) for d, t in {r for r in rows if "w1 " not in r[1]})
+    assert [r.doc_id for r in kept if "w1 " in r.text] == [8]
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert jaccard.component_digest(spark.createDataFrame([], DOCS)).collect() == []
 

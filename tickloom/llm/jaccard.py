@@ -314,15 +314,15 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles and component_id for every row of ``docs``."""
+    """doc_id, key, n_shingles, component_id and component (a key that no id decides) for every row of ``docs``."""
     rows = profiles(docs.select("doc_id", "text"))
     classes = class_sets(docs, rows)
     roots = links(classes)
     smallest = settled(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "smallest")
     tied = smallest.join(classes.select("sig", "id"), "sig").join(roots, "id").select("sig", "root", "first")
-    best = settled(tied.groupBy("root").agg(F.min("first").alias("least")), "least")
-    named = settled(smallest.join(tied.join(best, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "first").alias("component_id")), "named")
-    return settled(rows.join(named, "sig", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "linked")
+    best = settled(tied.groupBy("root").agg(F.min("first").alias("least"), F.min("sig").alias("component")), "least")
+    named = settled(smallest.join(tied.join(best, "root").select("sig", "least", "component"), "sig", "left").select("sig", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "sig").alias("component")), "named")
+    return settled(rows.join(named, "sig", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"), "linked")
 
 
 def component_digest(docs: DataFrame) -> DataFrame:
@@ -332,10 +332,11 @@ def component_digest(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; its columns as they are.
 
+    Ids need not be distinct or known: components are told apart by their sets.
     Documents without words all stay.  Of equal rows (id and text) one stays.
     """
     got = linked(docs).where("n_shingles > 0")
-    first = got.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("_s"))
+    first = got.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("_s"))
     first = settled(first.select(F.col("_s.i").alias("_i"), F.col("_s.k").alias("_k"), F.lit(True).alias("_stays")), "stays")
     seen = got.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     told = seen.join(first, seen["doc_id"].eqNullSafe(first["_i"]) & (seen["key"] == first["_k"]), "left")
