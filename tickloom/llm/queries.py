@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blobscan, chat, decontaminate, exact, jaccard, langid, licenses, lm, mixing, sharding
+from . import blobscan, chat, decontaminate, exact, jaccard, langid, licenses, lm, mixing, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_tool_calls, op3_decontamination, op4_sharding, op5_licenses, op6_exact_dedup, op7_language_id, op8_secrets, op9_ngram_join, op10_language_model)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_tool_calls, op3_decontamination, op4_sharding, op5_licenses, op6_exact_dedup, op7_language_id, op8_secrets, op9_ngram_join,
+    op10_language_model, op12_packing)}
 ORACLES = {"op1_mixing": mixing.TAKEN_SQL, "op5_licenses": licenses.license_sql(), "op6_exact_dedup": exact.GROUPS_SQL}
