@@ -46,7 +46,7 @@ PIECE_SCHEMA = "piece int, start long, length long, ids binary"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: words that the vocabulary's normalisation leaves as they are and does not cut
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_STOP = re.compile(rb"([0-9A-Za-z])([.,;:!?]+)(?=[\x20\x09-\x0D0-9A-Za-z]|\Z)")
+_STOP = re.compile(rb"[.,;:!?](?<=[0-9A-Za-z].)[.,;:!?]*(?=[\x20\x09-\x0D0-9A-Za-z]|\Z)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -139,7 +139,7 @@ class WordTokenizer:
             self.known, self.older = {}, self.known
         # small ASCII letters, and a gap before stops where a token ends in any case, make fewer words;
         # special tokens are written in small letters, so texts that may hold one keep their case
-        cut = [_STOP.sub(rb"\1 \2", t if b"<|" in t else t.lower()).split() for t in texts]  # at ASCII white space
+        cut = [_STOP.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in texts]  # at ASCII white space
         got = [list(map(self.known.get, words)) for words in cut]
         gaps = [(i, [k for k, ids in enumerate(row) if ids is None]) for i, row in enumerate(got) if None in row]
         wanted = {cut[i][k] for i, at in gaps for k in at}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blobscan, chat, decontaminate, exact, jaccard, langid, licenses, lm, mixing, packing, sharding
+from . import blobscan, chat, codes, decontaminate, exact, jaccard, langid, licenses, lm, mixing, packing, phrases, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,20 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_tool_calls, op3_decontamination, op4_sharding, op5_licenses, op6_exact_dedup, op7_language_id, op8_secrets, op9_ngram_join,
-    op10_language_model, op12_packing)}
-ORACLES = {"op1_mixing": mixing.TAKEN_SQL, "op5_licenses": licenses.license_sql(), "op6_exact_dedup": exact.GROUPS_SQL}
+    op10_language_model, op11_phrases, op12_packing, op13_vector_codes)}
+ORACLES = {"op1_mixing": mixing.TAKEN_SQL, "op5_licenses": licenses.license_sql(), "op6_exact_dedup": exact.GROUPS_SQL, "op11_phrases": phrases.PHRASES_SQL,
+           "op13_vector_codes": codes.CODES_SQL}
