@@ -341,8 +341,8 @@ def code_digest(vectors: DataFrame) -> DataFrame:
 
 def _codes_sql() -> str:
     """The same by comparing every part with every entry, one pair of tables a round."""
-    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)) AS e, row_number() OVER (ORDER BY vec_id) AS n
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e, row_number() OVER (ORDER BY vec_id) AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS MATERIALIZED (SELECT vec_id, n, part, e[part * (len(e) // {PARTS}) + 1 : (part + 1) * (len(e) // {PARTS})] AS x FROM v, range({PARTS}) r(part)),
 c0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x FROM p WHERE n <= {ENTRIES})"""]
     for k in range(ROUNDS + 1):

@@ -327,14 +327,17 @@ PHRASES_SQL = rf"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
 totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
-f AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS a
-  FROM (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w), generate_series(1, {LONGEST}) g(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
-cuts AS (SELECT c.lang, c.phrase, c.k, c.a, t.cut, l.a AS l, r.a AS r, (({MILLION}::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
-  FROM f c JOIN generate_series(1, {LONGEST - 1}) t(cut) ON t.cut < c.k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1 : t.cut], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[t.cut + 1 : c.k], ' ')),
+o AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w),
+g AS (SELECT lang, 1 AS k, ws[i] AS phrase FROM o UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM o WHERE i < len(ws)
+  UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM o WHERE i + 1 < len(ws)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+halves AS MATERIALIZED (SELECT *, array_to_string(ws[1 : cut], ' ') AS p, array_to_string(ws[cut + 1 : k], ' ') AS q FROM c),
+cuts AS (SELECT h.lang, h.phrase, h.k, h.a, h.cut, x.a AS l, y.a AS r, (({MILLION}::HUGEINT * h.a * h.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM halves h JOIN f x ON x.lang = h.lang AND x.phrase = h.p JOIN f y ON y.lang = h.lang AND y.phrase = h.q),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-cover AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS phrase, max(a) AS most FROM f, generate_series(1, 2) g(i) WHERE k = 3 GROUP BY 1, 2),
+inner_ AS (SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM halves WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM halves WHERE k = 3),
+cover AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY 1, 2),
 kept AS (SELECT best.* FROM best LEFT JOIN cover USING (lang, phrase) WHERE k = 3 OR most IS NULL OR 100 * most < {KEEP_PERCENT} * a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {FIRST}
