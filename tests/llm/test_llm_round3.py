@@ -48,7 +48,7 @@ def brute_phrases(rows, support=10, first=2000):
 
 def phrase_rows():
     rng = random.Random(5)
-    words = ["the", "The", "of", "new", "york", "city", "é", "ß", "x" * 70, "a"]
+    words = ["the", "The", "of", "new", "york", "city", "é", "ß", "x" * 70, "en", "de"]  # two are names of languages
     rows = []
     for i in range(400):
         text = []

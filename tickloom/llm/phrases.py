@@ -57,9 +57,9 @@ _ADD = np.uint64(0xD1B54A32D192ED03)
 
 
 def language_key(langs: list[str]) -> np.ndarray:
-    """A 64-bit number of each language, folded into the hashes of its words."""
+    """A 64-bit number of each language, folded into the hashes of its words; unlike the hash of a word of that name."""
     data, offsets = utf8(pa.array(langs, pa.string()))
-    return hashed(data, offsets[:-1], offsets[1:])
+    return mix(hashed(data, offsets[:-1], offsets[1:]) * _ADD + _MUL)
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
