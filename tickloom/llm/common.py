@@ -16,14 +16,14 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a derived table as Parquet to the shared folder and read it back.
+def settled(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write a derived table as Parquet to the shared folder and read it back, in row groups of about ``row_group`` bytes.
 
     Later steps read it from there, with column pruning, whichever executors are
     lost meanwhile; values such as row ids stay what they were when written.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -41,9 +41,10 @@ LONGEST = 3
 SHARDS = 4
 FIRST = 2000          # phrases of a language that are returned
 KEEP_PERCENT = 50     # a phrase goes if a longer one has this share of its places
-SLICE = 4 << 20       # bytes of text counted at a time
-CHUNK = 1 << 20       # bytes of text cut into words at a time
+SLICE = 2 << 20       # bytes of text counted at a time
+CHUNK = 1 << 18       # bytes of text cut into words at a time
 FILTER_BITS = 1 << 28
+ROW_GROUP = 8 << 20   # a reader holds a group's lines at once
 MILLION = 1_000_000
 
 #: words are runs of anything but space, tab and the separators of pieces
@@ -65,7 +66,7 @@ def language_key(langs: list[str]) -> np.ndarray:
 def cut_words(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and whether a word continues the piece of the one before.
 
-    Works through chunks of about a megabyte that end between words.
+    Works through chunks of ``CHUNK`` bytes that end between words.
     """
     n = len(data)
     hashes, first, last = [], [], []
@@ -202,6 +203,7 @@ def _local(level: int, known: list) -> Callable:
                 if len(value):
                     same = lambda x: pa.array(np.full(len(value), x, np.int64))
                     yield pa.RecordBatch.from_arrays([same(shard), value, same(need), count], ["shard", "h", "need", "c"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -249,7 +251,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     """Every phrase of one to three words with at least ``support`` places (lang, phrase, k, a), and each language's words (lang, n)."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
-    lines = settled(texts.mapInArrow(_tokens, "lang string, shard long, n long, line binary"), "lines")
+    lines = settled(texts.mapInArrow(_tokens, "lang string, shard long, n long, line binary"), "lines", ROW_GROUP)
     per_shard = lines.groupBy("lang", "shard").agg(F.sum("n").alias("n"))
     totals = settled(per_shard.groupBy("lang").agg(F.sum("n").alias("n")), "words")
     share = settled(per_shard.join(totals.withColumnRenamed("n", "_all"), "lang").select(
