@@ -1,5 +1,3 @@
-import time
-
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +5,8 @@ from pyspark.sql import functions as F
 from conftest import walk
 from tickloom.operators.bars import ticks_to_bars
 from tickloom.operators.indicators import rolling_spread
-from tickloom.operators.positions import position_events
+from tickloom.operators.positions import event_counts, position_events, with_closes
+from tickloom.streaming import keyed as K
 from tickloom.streaming import live as L
 
 
@@ -35,22 +34,27 @@ def test_sealed_bars_equal_batch_bars(spark, tmp_path, ticks):
     pd.testing.assert_frame_equal(got, want.iloc[: len(got)][got.columns.tolist()])
 
 
-def test_late_ticks_are_dropped_and_counted(spark, tmp_path, ticks):
-    late = ticks.where("seq = 0")
-    stream = as_stream(spark, tmp_path, [ticks.where("seq < 300"), ticks.where("seq >= 300"), late])
-    heard = L.LateRows()
-    spark.streams.addListener(heard)
-    q = L.bar_stream(stream).writeStream.format("memory").queryName("late").outputMode("append").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    for _ in range(100):
-        if L.late_rows(q, heard):
-            break
-        time.sleep(0.1)
-    spark.streams.removeListener(heard)
-    assert L.late_rows(q) >= 1 and L.late_rows(q, heard) == L.late_rows(q)
-    first = spark.table("late").orderBy("time").first()
-    assert first.volume == ticks_to_bars(ticks).orderBy("time").first().volume
+def in_turn(spark, folder, parts, make):
+    """Each part is written, then the same query is started again on what is new."""
+    parts[0].limit(0).write.mode("append").parquet(f"{folder}/in")
+    stream = make(spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in"))
+    seen = []
+    for part in parts:
+        part.repartition(3).write.mode("append").parquet(f"{folder}/in")
+        seen.append(L.drain(stream, spark, str(folder)).count())
+    return L.drain(stream, spark, str(folder)), seen
+
+
+def test_late_ticks_are_returned_with_their_bar(spark, tmp_path, ticks):
+    late = ticks.where("seq in (0, 1, 9, 380)")
+    parts = [ticks.where("seq < 300 and seq not in (0, 1, 9)"), ticks.where("seq >= 300 and seq <> 380"), late]
+    got, seen = in_turn(spark, tmp_path, parts, K.late_stream)
+    rows = got.orderBy("seq").collect()
+    assert [r.seq for r in rows] == [0, 1, 9, 380] and seen == [0, 0, 4]
+    assert all(r.bar == r.time.replace(minute=0, second=0, microsecond=0) for r in rows)
+    bars, _ = in_turn(spark, tmp_path / "bars", parts, L.bar_stream)
+    missing = ticks_to_bars(ticks).select("time", F.col("volume").alias("all")).join(bars, "time").where("all <> volume").agg(F.sum(F.col("all") - F.col("volume"))).first()[0]
+    assert missing == 4
 
 
 def test_spread_sink_carries_its_tail(spark, tmp_path, ticks):
@@ -62,19 +66,81 @@ def test_spread_sink_carries_its_tail(spark, tmp_path, ticks):
     assert got.avg_spread.tolist() == pytest.approx(want.avg_spread.tolist())
 
 
-def test_position_sink_equals_the_batch_form(spark, tmp_path):
-    polls = pd.date_range("2024-01-01", periods=6, freq="h").to_pydatetime()
+def snapshots(spark):
+    polls = pd.date_range("2024-01-01", periods=12, freq="h").to_pydatetime()
     rows = [(1, p, "A", 1.0 + (i > 2), 2.0, 0.1) for i, p in enumerate(polls) if i != 4] + [(2, p, "B", 1.0, 2.0, 0.1 + 0.1 * (i % 2)) for i, p in enumerate(polls)]
-    df = spark.createDataFrame(rows, "ticket long, poll timestamp, symbol string, sl double, tp double, volume double")
-    cut = F.lit("2024-01-01 03:00:00").cast("timestamp")
-    stream = as_stream(spark, tmp_path, [df.where(F.col("poll") < cut), df.where(F.col("poll") >= cut)])
-    out = str(tmp_path / "out")
-    L.drain_with(stream, L.position_sink(out, str(tmp_path / "state")), str(tmp_path / "run"))
-    cols = ["ticket", "poll", "event", "changes"]
-    got = [tuple(r) for r in spark.read.parquet(out).select(cols).orderBy("ticket", "poll").collect()]
-    want = [tuple(r) for r in position_events(df).select(cols).orderBy("ticket", "poll").collect()]
-    assert got == want
-    assert [(w[0], w[2], w[3]) for w in want][:3] == [(1, "opened", []), (1, "modified", ["sl"]), (1, "opened", [])]
+    rows += [(3, p, "C", None if i % 3 else 1.0, 2.0, 0.1) for i, p in enumerate(polls) if i > 6]
+    return spark.createDataFrame(rows, "ticket long, poll timestamp, symbol string, sl double, tp double, volume double")
+
+
+def cut_at(df, hours):
+    """Parts of the table between the hours of its day."""
+    h = F.hour("poll")
+    return [df.where((h >= a) & (h < b)) for a, b in zip([0, *hours], [*hours, 24])]
+
+
+def test_position_events_equal_the_batch_form_after_restarts(spark, tmp_path):
+    df = snapshots(spark)
+    closed = spark.createDataFrame(
+        [(1, "2024-01-01 05:30:00", "A", 7.0), (1, "2024-01-01 05:10:00", "A", 6.0), (1, "2024-01-01 09:00:00", "A", 5.0), (2, "2024-01-01 11:00:00", "B", None)],
+        "ticket long, at string, symbol string, profit double").withColumn("poll", F.col("at").cast("timestamp")).drop("at")
+    df_parts, closed_parts = cut_at(df, [3, 4, 8]), cut_at(closed, [3, 4, 8])
+    both = [a.withColumn("profit", F.lit(None).cast("double")).withColumn("shut", F.lit(False)).unionByName(b.withColumn("shut", F.lit(True)), allowMissingColumns=True) for a, b in zip(df_parts, closed_parts)]
+    got, seen = in_turn(spark, tmp_path, both, lambda s: K.position_stream(s.where("not shut"), s.where("shut")))
+    want = with_closes(position_events(df, 3600), closed)
+    cols = ["ticket", "poll", "event", "changes", "sl", "profit"]
+    by = lambda t: sorted((tuple(r) for r in t.select(cols).collect()), key=str)
+    assert by(got) == by(want)
+    assert seen == sorted(seen) and 0 < seen[0] < seen[-1] == got.count() and len(seen) == 4
+    counts = event_counts(got).agg(*[F.sum(k) for k in ("opened", "modified", "closed")]).first()
+    assert tuple(counts) == (4, 14, 2)
+    assert got.where("event = 'closed' and ticket = 1").first().profit == 6.0
+
+
+def test_an_older_snapshot_changes_nothing(spark, tmp_path):
+    df = snapshots(spark).where("ticket = 2")
+    got, _ = in_turn(spark, tmp_path, [df.where(F.hour("poll") >= 6), df.where(F.hour("poll") < 6)], K.position_stream)
+    assert got.count() == 6 and got.agg(F.min(F.hour("poll"))).first()[0] == 6
+
+
+def test_first_close_of_each_ticket_over_restarts(spark, tmp_path):
+    rows = [(t, f"2024-01-01 0{h}:00:00", 10 * h + t) for h in range(6) for t in range(5) if t <= h] + [(0, "2024-01-01 00:00:00", -1)]
+    df = spark.createDataFrame(rows, "ticket long, at string, seq long").withColumn("poll", F.col("at").cast("timestamp")).drop("at")
+    got, seen = in_turn(spark, tmp_path, cut_at(df, [2, 3, 4]), lambda s: K.first_close_stream(s, ["poll", "seq"]))
+    assert [tuple(r) for r in got.select("ticket", "seq").orderBy("ticket").collect()] == [(0, -1), (1, 11), (2, 22), (3, 33), (4, 44)]
+    assert seen == [2, 3, 4, 5]
+
+
+def test_quotes_answer_orders_when_the_watermark_passes(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    quotes = [("A", start + pd.Timedelta(seconds=s), i, 1.0 + i, 1.1 + i) for i, s in enumerate([0, 3, 9.5, 9.5, 30, 61, 200, 400])] + [("B", start + pd.Timedelta(seconds=31), 50, 0.0, 5.0)]
+    orders = [(k, "A", start + pd.Timedelta(seconds=s)) for k, s in enumerate([0, 2.9, 8, 8.1, 12, 14.5, 14.6, 35, 35.1, 66, 390])] + [(99, "B", start + pd.Timedelta(seconds=32)), (100, "A", start - pd.Timedelta(seconds=1))]
+    q = spark.createDataFrame(pd.DataFrame(quotes, columns=["symbol", "time", "seq", "bid", "ask"]))
+    o = spark.createDataFrame(pd.DataFrame(orders, columns=["order_id", "symbol", "order_time"]))
+    both = q.unionByName(o.withColumn("time", F.col("order_time")), allowMissingColumns=True)
+    parts = [both.where(F.col("time") < F.lit(str(start + pd.Timedelta(seconds=c)))) for c in (10, 40, 100)]
+    cuts = [parts[0], parts[1].subtract(parts[0]), parts[2].subtract(parts[1]), both.subtract(parts[2])]
+    got, seen = in_turn(spark, tmp_path, cuts, lambda s: K.quote_stream(s.where("order_id is not null").select("order_id", "symbol", "order_time"), s.where("order_id is null").select("symbol", "time", "seq", "bid", "ask")))
+    want = {}
+    for k, symbol, at in orders:
+        near = [(t, seq, bid) for sym, t, seq, bid, ask in quotes if sym == symbol and bid and ask and at - pd.Timedelta(seconds=5) <= t <= at]
+        want[k] = max(near)[2] if near else None
+    want.pop(10)  # its slot ends at 400 s, the watermark stands at 330 s
+    assert {r.order_id: r.bid for r in got.collect()} == want and want[4] == 4.0
+    assert {r.order_id for r in got.where("stale").collect()} == {k for k, v in want.items() if v is None}
+    assert seen[0] == 0 and seen[-1] == len(want)
+
+
+def test_silent_sources_are_reported(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    beats = [("a", s) for s in range(0, 400, 5)] + [("b", s) for s in [0, 5, 12, 40, 41, 56, 70.5]] + [("c", 0), ("c", 390)]
+    df = spark.createDataFrame(pd.DataFrame([(n, start + pd.Timedelta(seconds=s), s) for n, s in beats], columns=["source", "time", "s"]))
+    got, seen = in_turn(spark, tmp_path, [df.where(f"s >= {a} and s < {b}") for a, b in ((0, 30), (30, 60), (60, 150), (150, 500))], lambda s: K.connection_events(s.select("source", "time"), 15))
+    at = lambda x: start + pd.Timedelta(seconds=x)
+    mine = {(r.source, r.event, pd.Timestamp(r.at), r.beats) for r in got.collect()}
+    assert mine == {("a", "back", at(0), None), ("b", "back", at(0), None), ("b", "lost", at(27), 3), ("b", "back", at(40), None), ("b", "lost", at(56), 2), ("b", "back", at(56), None),
+                    ("b", "lost", at(85.5), 2), ("c", "back", at(0), None), ("c", "lost", at(15), 1), ("c", "back", at(390), None)}
+    assert got.count() == len(mine) and ("b", "lost", at(85.5), 2) in {(r.source, r.event, pd.Timestamp(r.at), r.beats) for r in got.collect()} and seen[2] >= 8
 
 
 def test_history_sink_ends_with_all_bars(spark, tmp_path, ticks):

@@ -5,22 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.money import break_even_stop, target_reached
 from ..operators.accounts import STATE_SCHEMA, account_state, account_verdicts
 from ..operators.bars import cap_history, upsert_incoming_wins
 from ..operators.experiments import last_rows
 from ..operators.indicators import rolling_spread
-from ..operators.positions import first_closes, position_events
 from ..operators.series import running, settle
 from ..sources.files import load_bars, write_if_not_smaller
 
 FLUSH_EVERY = "30 seconds"
-SNAPSHOT = ("ticket", "poll", "symbol", "sl", "tp", "volume")
-SNAPSHOT_SCHEMA = "ticket long, poll timestamp, symbol string, sl double, tp double, volume double"
 TICK_SCHEMA = "symbol string, seq long, time timestamp, spread double"
 
 
@@ -28,8 +24,8 @@ def bar_stream(ticks: DataFrame, seconds: int = 3600, lateness: str = "10 minute
     """Bars of a tick stream (symbol, time, price, seq).
 
     In append mode a bar appears once it is sealed by the watermark; in update
-    mode open bars appear as they change.  Ticks behind the watermark are dropped
-    and counted by ``late_rows``.
+    mode open bars appear as they change.  Ticks behind the watermark are dropped;
+    ``keyed.late_stream`` returns them.
     """
     w = F.window("time", f"{seconds} seconds")
     return (
@@ -43,113 +39,16 @@ def bar_stream(ticks: DataFrame, seconds: int = 3600, lateness: str = "10 minute
     )
 
 
-class LateRows(StreamingQueryListener):
-    """Counts the rows each query has dropped as late, over all its progress reports.
-
-    Register it with ``spark.streams.addListener`` before the query starts; a query
-    itself keeps only its newest reports.
-    """
-
-    def __init__(self) -> None:
-        self.dropped: dict[str, int] = {}
-
-    def onQueryStarted(self, event) -> None:
-        self.dropped[str(event.id)] = self.dropped.get(str(event.id), 0)
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        self.dropped[str(p.id)] = self.dropped.get(str(p.id), 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
-
-
-def late_rows(query, listener: LateRows | None = None) -> int:
-    """Rows a query has dropped as late: of all its run with a listener, else of its newest reports."""
-    if listener is not None:
-        return listener.dropped.get(str(query.id), 0)
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
-
-
 def _previous(spark: SparkSession, state: str, batch_id: int, schema: str) -> DataFrame:
     if batch_id == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{state}/b{batch_id - 1}")
 
 
-def position_sink(out: str, state: str, poll_seconds: int = 3600, keep_seconds: int = 172_800) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer of opened and modified events of position snapshots.
-
-    The state is the last snapshot of each ticket seen within ``keep_seconds`` of
-    the newest poll, one folder per batch.  A repeated batch reads the same
-    earlier state and overwrites its own output, so restarts do not double rows.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = settle(batch.select(*[F.col(c) for c in SNAPSHOT]))
-        past = _previous(spark, state, batch_id, SNAPSHOT_SCHEMA)
-        both = settle(past.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True))))
-        events = position_events(both, poll_seconds).where("is_new").drop("is_new")
-        events.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        newest = both.agg(F.max("poll").alias("_newest"))
-        last = both.groupBy("ticket").agg(F.max_by(F.struct(*[c for c in SNAPSHOT if c != "ticket"]), "poll").alias("s"))
-        kept = last.select("ticket", "s.*").select(*SNAPSHOT).crossJoin(F.broadcast(newest))  # one row
-        kept = kept.where(F.unix_seconds("poll") >= F.unix_seconds("_newest") - keep_seconds).drop("_newest")
-        kept.write.mode("overwrite").parquet(f"{state}/b{batch_id}")
-
-    return write
-
-
-def close_sink(out: str, order: str | Column = "time") -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer of the first closed record of each ticket, by ``order`` in its batch.
-
-    A ticket written by an earlier batch is never written again; a repeated batch
-    overwrites its own output.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first = first_closes(batch, order)
-        if batch_id > 0:
-            seen = batch.sparkSession.read.schema(f"ticket {dict(batch.dtypes)['ticket']}, batch long").parquet(out).where(F.col("batch") < batch_id)
-            first = first.join(seen.select("ticket"), "ticket", "left_anti").select(*batch.columns)
-        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return write
-
-
 def loss_alert_stream(closed: DataFrame, usd: float) -> DataFrame:
     return closed.where(F.col("profit") < F.lit(-usd))
 
 
-def quote_stream(orders: DataFrame, quotes: DataFrame, ttl_seconds: int = 5, lateness: str = "1 minute") -> DataFrame:
-    """Latest usable quote of each order not older than the limit; none means stale.
-
-    An interval join on (symbol, slot of ttl length) bounds the join state and
-    spreads a busy symbol over its slots.
-    """
-    width = ttl_seconds
-    good = quotes.where((F.col("bid") != 0) & (F.col("ask") != 0)).select(
-        F.col("symbol").alias("q_symbol"), F.col("time").alias("q_time"), F.col("seq").alias("q_seq"), "bid", "ask",
-        F.floor(F.unix_seconds("time") / F.lit(width)).alias("q_slot"),
-    ).withWatermark("q_time", lateness)
-    slot = F.floor(F.unix_seconds("order_time") / F.lit(width))
-    asked = orders.withWatermark("order_time", lateness).withColumn("slot", F.explode(F.array(slot, slot - 1)))
-    reach = F.expr(f"interval {ttl_seconds} seconds")
-    near = (
-        (F.col("symbol") == F.col("q_symbol")) & (F.col("slot") == F.col("q_slot"))
-        & (F.col("q_time") <= F.col("order_time")) & (F.col("q_time") >= F.col("order_time") - reach)
-    )
-    joined = asked.join(good, near, "leftOuter")
-    best = joined.groupBy("order_id", "symbol", F.window("order_time", "1 second")).agg(
-        F.max_by("bid", F.struct("q_time", "q_seq")).alias("bid"), F.max_by("ask", F.struct("q_time", "q_seq")).alias("ask")
-    )
-    return best.select("order_id", "symbol", "bid", "ask", F.col("bid").isNull().alias("stale"))
-
-
 def spread_sink(out: str, state: str, n: int = 20) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer of the mean spread over the last n ticks per symbol.
 
@@ -258,16 +157,21 @@ def connected(beats: DataFrame, as_of, limit_seconds: int = 15) -> DataFrame:
     return last.withColumn("connected", age <= F.lit(limit_seconds * 1_000_000))
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @contextmanager
 def state_partitions(spark: SparkSession):
-    """State stores are not merged at run time, so size them by the cores there are."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    """State stores on disk; they are not merged at run time, so size them by the cores there are."""
+    wanted = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism), "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drain(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
