@@ -43,6 +43,7 @@ FIRST = 2000          # phrases of a language that are returned
 KEEP_PERCENT = 50     # a phrase goes if a longer one has this share of its places
 SLICE = 2 << 20       # bytes of text counted at a time
 CHUNK = 1 << 18       # bytes of text cut into words at a time
+COUNTED = 1 << 20     # words, pairs or triples counted together in a task
 FILTER_BITS = 1 << 28
 ROW_GROUP = 8 << 20   # a reader holds a group's lines at once
 MILLION = 1_000_000
@@ -181,29 +182,43 @@ def _counted(keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def _local(level: int, known: list) -> Callable:
-    """Counts of the words (pairs, triples) of each row's shard whose parts are frequent in that shard."""
+    """Counts of the words (pairs, triples) of each shard whose parts are frequent in that shard.
+
+    Lines of a shard and language are counted together, about ``COUNTED`` words at a time.
+    """
+
+    def keys_of(line: np.ndarray, shard: int, words, pairs) -> np.ndarray:
+        if level > 1:
+            here = line > 0
+            here[here] = words(in_shard(line[here], shard))
+            line = np.where(here, line, np.uint64(0))
+        two, three = grams(line) if level > 1 else (None, None)
+        if level > 2:
+            here = two > 0
+            here[here] = pairs(in_shard(two[here], shard))
+            three[:-1][~(here[:-1] & here[1:])] = 0
+        got = (line, two, three)[level - 1]
+        return got[got > 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = [k.value if k is not None else None for k in known]
+        waiting: dict[tuple[int, int], list[np.ndarray]] = {}
+
+        def told(of: tuple[int, int]) -> pa.RecordBatch:
+            value, count = _counted(np.concatenate(waiting.pop(of)))
+            same = lambda x: pa.array(np.full(len(value), x, np.int64))
+            return pa.RecordBatch.from_arrays([same(of[0]), value, same(of[1]), count], ["shard", "h", "need", "c"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, need = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                line = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                if level > 1:
-                    here = line > 0
-                    here[here] = words(in_shard(line[here], shard))
-                    line = np.where(here, line, np.uint64(0))
-                two, three = grams(line)
-                if level > 2:
-                    here = two > 0
-                    here[here] = pairs(in_shard(two[here], shard))
-                    three[:-1][~(here[:-1] & here[1:])] = 0
-                keys = (line, two, three)[level - 1]
-                value, count = _counted(keys[keys > 0])
-                if len(value):
-                    same = lambda x: pa.array(np.full(len(value), x, np.int64))
-                    yield pa.RecordBatch.from_arrays([same(shard), value, same(need), count], ["shard", "h", "need", "c"])
+                of = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                kept = waiting.setdefault(of, [])
+                kept.append(keys_of(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64), of[0], words, pairs))
+                if sum(map(len, kept)) >= COUNTED:
+                    yield told(of)
             pa.default_memory_pool().release_unused()
+        for of in list(waiting):
+            yield told(of)
 
     return run
 
@@ -260,14 +275,14 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     known, found = [None, None], []
     for level in range(1, LONGEST + 1):
         local = rows.mapInArrow(_local(level, list(known)), "shard long, h long, need long, c long")
-        often = local.groupBy("shard", "h", "need").agg(F.sum("c").alias("c")).where(F.col("c") >= F.col("need"))
+        often = local.repartition("shard", "h").groupBy("shard", "h", "need")  # counted per task already: no second map side count.agg(F.sum("c").alias("c")).where(F.col("c") >= F.col("need"))
         found.append(settled(often.select("shard", "h"), f"local{level}"))
         if level < LONGEST:
             known[level - 1] = context.broadcast(bit_filter(_shard_keys(found[-1])))
     union = found[0].unionByName(found[1]).unionByName(found[2]).select("h").distinct()
     candidates = context.broadcast(bit_filter(settled(union, "candidates")))
     counted = texts.mapInArrow(_texts(candidates), "lang string, phrase string, k long, a long")
-    exact = counted.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
+    exact = counted.repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
     return settled(exact, "phrases"), totals
 
 
