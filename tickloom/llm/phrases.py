@@ -275,7 +275,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     known, found = [None, None], []
     for level in range(1, LONGEST + 1):
         local = rows.mapInArrow(_local(level, list(known)), "shard long, h long, need long, c long")
-        often = local.repartition("shard", "h").groupBy("shard", "h", "need")  # counted per task already: no second map side count.agg(F.sum("c").alias("c")).where(F.col("c") >= F.col("need"))
+        # counted per task already, so shuffled as they are
+        often = local.repartition("shard", "h").groupBy("shard", "h", "need").agg(F.sum("c").alias("c")).where(F.col("c") >= F.col("need"))
         found.append(settled(often.select("shard", "h"), f"local{level}"))
         if level < LONGEST:
             known[level - 1] = context.broadcast(bit_filter(_shard_keys(found[-1])))
