@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as I
@@ -66,6 +67,57 @@ def test_decayed_means_match_the_recursion_across_blocks(spark):
     np.testing.assert_allclose(got["rsi_14"][1:], (100 - 100 / (1 + up / down.replace(0, np.nan)))[1:], rtol=1e-9)
 
 
+def walked(n, keys):
+    g = np.random.default_rng(n)
+    close = 1.1 + np.cumsum(g.normal(0, 0.0005, n))
+    return pd.DataFrame({"symbol": g.choice(keys, n), "time": pd.date_range("2020-01-01", periods=n, freq="h"), "open": close, "high": close + 0.001, "low": close - 0.001, "close": close, "volume": 1})
+
+
+@pytest.mark.parametrize("block", [16, 64])
+def test_averages_are_the_same_whatever_the_block(spark, monkeypatch, block):
+    monkeypatch.setattr(Q.recursive_means, "__defaults__", (3,))  # blocks to a fold: several levels of the tree
+    pdf = walked(1500, ["A", "A", "B"])
+    def marks(b, df):
+        return df.withColumn("was", F.lag("ema_300").over(b.w))
+
+    got = I.indicator_frame(spark.createDataFrame(pdf), emas=[2, 9, 300], atrs=[14], rsis=[14], bands=[(20, 2.0)], keep_history=3, finish=marks, block=block).toPandas()
+    for key, own in pdf.groupby("symbol"):
+        mine = got[got.symbol == key].sort_values("time").reset_index(drop=True)
+        for span in (2, 9, 300):
+            np.testing.assert_allclose(mine[f"ema_{span}"], own.close.ewm(span=span, adjust=False).mean(), rtol=1e-12)
+        np.testing.assert_allclose(mine["was"][1:], own.close.ewm(span=300, adjust=False).mean()[:-1], rtol=1e-12)
+        move = own.close.diff()
+        up, down = (m.ewm(alpha=1 / 14, adjust=False).mean() for m in (move.clip(lower=0), (-move).clip(lower=0)))
+        np.testing.assert_allclose(mine["rsi_14"][1:], (100 - 100 / (1 + up / down.replace(0, np.nan)))[1:], rtol=1e-9)
+
+
+def test_nulls_keep_the_average_where_it_is(spark):
+    g = np.random.default_rng(4)
+    x = [None] * 70 + [None if g.random() < 0.3 else float(v) for v in g.normal(size=600)]
+    x[200:350] = [None] * 150  # longer than a block
+    rows = [("k", i, v) for i, v in enumerate(x)] + [("empty", i, None) for i in range(90)] + [("one", 0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, pos long, x double")
+    for alpha in (0.1, 2 / 3, 1.0):
+        got = {(r.k, r.pos): r.y for r in Q.recursive_mean(df, ["k"], "x", alpha, "y", block=32).collect()}
+        y = None
+        for i, v in enumerate(x):
+            y = y if v is None else v if y is None else alpha * v + (1 - alpha) * y
+            assert (got["k", i] is None) == (y is None) and (y is None or abs(got["k", i] - y) < 1e-12)
+        assert got["one", 0] == 5.0 and all(got["empty", i] is None for i in range(90)) and len(got) == len(rows)
+
+
+def test_spans_far_apart_copy_few_rows(spark, monkeypatch):
+    pdf = walked(9000, ["A"])
+    seen = {}
+
+    def copies(b, df):
+        seen["b"] = b
+        return df
+
+    I.indicator_frame(spark.createDataFrame(pdf), emas=[2, 300], finish=copies)
+    assert seen["b"].df.count() < 1.1 * len(pdf)
+
+
 def test_results_do_not_depend_on_partition_count(spark, bars):
     def run(parts):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bars import newest_rows
-from .series import BUCKET_ROWS, Blocks, decay_halo, earlier_ranked, exact_median, pos_bucket, settle, time_bucket, with_position
+from .series import BUCKET_ROWS, Blocks, earlier_ranked, exact_median, longest_key, pos_bucket, recursive_means, scan_block, settle, time_bucket, with_position
 
 
 def placed(bars: DataFrame, keys: Sequence[str] = ("symbol",), step_seconds: int = 3600,
@@ -45,18 +45,20 @@ def indicator_frame(
     step_seconds: int = 3600,
     keep_history: int = 0,
     finish=None,
+    block: int | None = None,
 ) -> DataFrame:
-    """All requested indicators of a bar table in one pass over one exchange.
+    """All requested indicators of a bar table over one exchange.
 
     Columns: ema_<n>, tr, atr_<n>, rsi_<n>, bb_mid_<n>, bb_std_<n>, ret_<n>.
     ``finish`` may add window columns on the same blocks, reaching back at most
-    ``keep_history`` rows.
+    ``keep_history`` rows.  Blocks copy only the rows that bands, lags and ``finish``
+    look back on; recursive averages begin with a composed carry.
     """
-    bars = placed(bars, keys, step_seconds)
     alphas = [span_alpha(n) for n in emas] + [1.0 / n for n in (*atrs, *rsis)]
+    longest = longest_key(bars, keys) if alphas else 0
+    bars = placed(bars, keys, step_seconds)
     lookback = max([n for n, _ in bands] + list(returns) + [2])
-    before, block = decay_halo(alphas, lookback)
-    b = Blocks(bars, keys, before + 2 + keep_history, 0, block)
+    b = Blocks(bars, keys, lookback + 2 + keep_history, 0, block or scan_block(alphas, keep_history))
     df = b.df
     if atrs:
         df = df.withColumn("tr", true_range(b))
@@ -65,11 +67,12 @@ def indicator_frame(
         df = df.withColumn("_move", move)
         df = df.withColumn("_gain", F.greatest(F.col("_move"), F.lit(0.0)) + F.lit(0.0) * F.col("_move"))
         df = df.withColumn("_loss", F.greatest(-F.col("_move"), F.lit(0.0)) + F.lit(0.0) * F.col("_move"))
-    cols = [b.decayed_mean(F.col("close"), span_alpha(n)).alias(f"ema_{n}") for n in emas]
-    cols += [b.decayed_mean(F.col("tr"), 1.0 / n).alias(f"atr_{n}") for n in atrs]
-    for n in rsis:
-        cols.append(b.decayed_mean(F.col("_gain"), 1.0 / n, first=1).alias(f"_up_{n}"))
-        cols.append(b.decayed_mean(F.col("_loss"), 1.0 / n, first=1).alias(f"_down_{n}"))
+    means = {f"ema_{n}": (F.col("close"), span_alpha(n)) for n in emas}
+    means |= {f"atr_{n}": (F.col("tr"), 1.0 / n) for n in atrs}
+    means |= {f"_{side}_{n}": (F.col(f"_{move}"), 1.0 / n) for n in rsis for side, move in (("up", "gain"), ("down", "loss"))}
+    if means:
+        df = recursive_means(b, df, means, keep_history, longest)
+    cols = []
     for n in sorted({n for n, _ in bands}):
         frame = b.rows(-(n - 1), 0)
         cols.append(b.full(F.avg("close").over(frame), n).alias(f"bb_mid_{n}"))

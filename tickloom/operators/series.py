@@ -1,13 +1,14 @@
 """Ordered-series building blocks that never put a whole key into one task.
 
 A symbol may hold a large share of all rows, so windows are not partitioned by
-symbol alone.  Three shapes cover every ordered operator of the library:
+symbol alone.  Four shapes cover every ordered operator of the library:
 
 * ``with_position`` - the row number of a key, from per-bucket counts;
 * ``Blocks`` - bounded frames: rows are cut into position blocks and each block
   also sees a halo of the rows before and after it;
 * ``running`` - unbounded frames: running values inside a bucket plus the carry
-  of the earlier buckets, taken from a table with one row per bucket.
+  of the earlier buckets, taken from a table with one row per bucket;
+* ``recursive_means`` - recursions: each block is an affine map, composed in a tree.
 
 Keys and buckets must not be null.
 """
@@ -26,7 +27,6 @@ from ..session import shared_dir
 
 BUCKET_ROWS = 65_536
 RANGE_ROWS = 2_000_000  # most rows of a range partition
-HALO_DECAY = 42.0    # exp(-42) is below double precision
 MAX_EXPONENT = 600.0  # keeps r ** -block inside the double range
 
 
@@ -130,33 +130,109 @@ class Blocks:
         """``value`` only where ``n`` rows of history exist."""
         return F.when(F.col(self.pos) >= F.lit(n - 1), value)
 
-    def decayed_mean(self, x: Column, alpha: float, first: int = 0) -> Column:
-        """y = alpha*x + (1-alpha)*y', seeded with x at position ``first``.
-
-        Written as a weighted running sum, so it stays inside the window
-        operator; weights older than the halo are below double precision.
-        """
-        if alpha >= 1.0:
-            return x
-        r = F.lit(1.0 - alpha)
-        k = self.offset.cast("double")
-        weight = F.when(F.col(self.pos) == F.lit(first), F.lit(1.0)).otherwise(F.lit(alpha))
-        seen = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        return F.sum(x * weight * F.pow(r, -k)).over(seen) * F.pow(r, k)
-
     def owned(self, df: DataFrame) -> DataFrame:
         own = F.floor(F.col(self.pos) / F.lit(self.block)) == F.col("_blk")
         return df.where(own).drop("_blk")
 
 
-def decay_halo(alphas: Sequence[float], floor_rows: int = 0) -> tuple[int, int]:
-    """Halo and block size that make ``decayed_mean`` exact for all ``alphas``."""
+FOLD = 128  # blocks whose maps are composed in one fold
+
+
+def scan_block(alphas: Sequence[float], history: int = 0) -> int:
+    """The largest block whose weights (1-alpha) ** -rows stay inside the double range."""
     rates = [-math.log(1.0 - a) for a in alphas if a < 1.0]
-    if not rates:
-        return floor_rows, 4096
-    before = max(floor_rows, math.ceil(HALO_DECAY / min(rates)) + 2)
-    cap = int(MAX_EXPONENT / max(rates))
-    return before, max(64, min(cap, max(4096, 4 * before)))
+    return max(8, min(4096, int(MAX_EXPONENT / max(rates)) - history)) if rates else 4096
+
+
+def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key with most rows; one number."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _after(x: Column, y: Column, name: str, r: float) -> Column:
+    """The recursive mean after a block (count c, local sum l, first value f) that began with the mean ``y``."""
+    c = x[f"c_{name}"]
+    return F.when(c == 0, y).otherwise(x[f"l_{name}"] + F.pow(F.lit(r), c) * F.coalesce(y, x[f"f_{name}"]))
+
+
+def _block_means(blocks: DataFrame, keys: Sequence[str], rates: dict[str, float], top: int, fold: int) -> DataFrame:
+    """The means after each block ``b`` (columns y_<name>, null before a first value).
+
+    A block is an affine map of the mean; maps compose.  ``fold`` neighbouring blocks are
+    folded in one row; their totals are blocks of the next level, which hands down the
+    means they begin with.
+    """
+    fields = [f"{k}_{n}" for n in rates for k in "clf"]
+    group = F.floor(F.col("b") / F.lit(fold)).cast("long").alias("s")
+    lists = blocks.groupBy(*keys, group).agg(F.sort_array(F.collect_list(F.struct("b", *fields))).alias("_xs"))  # at most ``fold`` blocks
+    start = {n: F.lit(None).cast("double") for n in rates}
+    if top >= fold:
+        def total(n: str, r: float) -> list[Column]:
+            count = F.aggregate("_xs", F.lit(0).cast("long"), lambda a, x: a + x[f"c_{n}"])
+            local = F.aggregate("_xs", F.lit(0.0), lambda a, x: x[f"l_{n}"] + F.pow(F.lit(r), x[f"c_{n}"]) * a)
+            first = F.aggregate("_xs", F.lit(None).cast("double"), lambda a, x: F.coalesce(a, x[f"f_{n}"]))
+            return [count.alias(f"c_{n}"), local.alias(f"l_{n}"), first.alias(f"f_{n}")]
+
+        lists = settle(lists)
+        totals = lists.select(*keys, F.col("s").alias("b"), *[c for n, r in rates.items() for c in total(n, r)])
+        above = _block_means(totals, keys, rates, top // fold, fold).withColumn("s", F.col("b") + 1).drop("b")
+        lists = lists.join(above.withColumnsRenamed({f"y_{n}": f"_y_{n}" for n in rates}), [*keys, "s"], "left")
+        start = {n: F.col(f"_y_{n}") for n in rates}
+    kind = "struct<" + "".join(f"y_{n}:double," for n in rates)
+    out = kind + "b:bigint>"
+    zero = F.struct(*[start[n].alias(f"y_{n}") for n in rates], F.array().cast(f"array<{out}>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = [_after(x, a[f"y_{n}"], n, r).alias(f"y_{n}") for n, r in rates.items()]
+        return F.struct(*now, F.concat(a["out"], F.array(F.struct(*now, x["b"].alias("b")))).alias("out"))
+
+    done = lists.select(*keys, F.explode(F.aggregate("_xs", zero, step, lambda a: a["out"])).alias("_o"))
+    return done.select(*keys, "_o.*")
+
+
+def recursive_means(b: Blocks, df: DataFrame, means: dict[str, tuple[Column, float]], history: int, longest: int, fold: int = FOLD) -> DataFrame:
+    """Add y = alpha * x + (1 - alpha) * y' for each (x, alpha), exact at any length.
+
+    ``df`` is ``b.df`` with more columns.  y begins at the key's first x; where x is null
+    y stays.  Blocks compute from nothing over their own rows and ``history`` rows before;
+    the mean they begin with comes from composing the earlier blocks' affine maps, one
+    row per block, so no rows are copied for it.  ``longest`` bounds the rows of a key;
+    if they are one block, nothing is composed.
+    """
+    seen = b.w.rowsBetween(Window.unboundedPreceding, 0)
+    inside = b.offset >= F.lit(-history)
+    xs = {n: F.when(inside, x.cast("double")) for n, (x, _) in means.items()}
+    df = df.select("*", *[x.alias(f"_x_{n}") for n, x in xs.items()])
+    df = df.select("*", *[F.count(f"_x_{n}").over(seen).alias(f"c_{n}") for n in means])
+    rates = {n: max(0.0, 1.0 - alpha) for n, (_, alpha) in means.items()}
+
+    def local(n: str) -> Column:
+        x, r, c = F.col(f"_x_{n}"), F.lit(rates[n]), F.col(f"c_{n}").cast("double")
+        if rates[n] == 0.0:
+            return F.last(x, ignorenulls=True).over(seen)
+        return F.coalesce(F.sum(x * F.lit(means[n][1]) * F.pow(r, -c)).over(seen), F.lit(0.0)) * F.pow(r, c)
+
+    first = lambda n: F.first(F.col(f"_x_{n}"), ignorenulls=True).over(seen)
+    df = df.select("*", *[c for n in means for c in (local(n).alias(f"l_{n}"), first(n).alias(f"f_{n}"))])
+    helpers = [f"{k}_{n}" for n in means for k in "clf"]
+    before = {n: F.lit(None).cast("double") for n in means}
+    gone = [*helpers, *[f"_x_{n}" for n in means]]
+    if longest > b.block - history:
+        own = F.floor(F.col(b.pos) / F.lit(b.block)) == F.col("_blk")
+        ends = df.where(own & (b.offset == F.lit(b.block - history - 1))).select(*b.keys, F.col("_blk").alias("b"), *helpers)
+        means_after = _block_means(settle(ends), b.keys, rates, longest // b.block, fold)
+        carry = means_after.withColumn("_blk", F.col("b") + 1).drop("b").withColumnsRenamed({f"y_{n}": f"_y_{n}" for n in means})
+        df = df.join(carry, [*b.keys, "_blk"], "left")
+        before = {n: F.col(f"_y_{n}") for n in means}
+        gone += [f"_y_{n}" for n in means]
+    row = {f"{k}_{n}": F.col(f"{k}_{n}") for n in means for k in "clf"}
+    return df.select("*", *[_after(row, before[n], n, r).alias(n) for n, r in rates.items()]).drop(*gone)
+
+
+def recursive_mean(df: DataFrame, keys: Sequence[str], value: str, alpha: float, name: str, block: int | None = None) -> DataFrame:
+    """One recursive mean of a table with ``pos``."""
+    b = Blocks(df, keys, 0, 0, block or scan_block([alpha]))
+    return b.owned(recursive_means(b, b.df, {name: (F.col(value), alpha)}, 0, longest_key(df, keys)))
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as I
 from ..operators import signals as G
 from ..operators import structure as S
+from ..operators.series import recursive_mean
 from ..sources import tables as T
 from .registry import ORACLES, BARS, POS, TICKS, hourly, query, r
 
@@ -51,12 +52,7 @@ def ema(spark, folder):
 
 @query("wilder_average", f"{POS} SELECT symbol, time, round({decay('close', A14)}, 8) AS wilder_14 FROM b")
 def wilder_average(spark, folder):
-    bars = hourly(spark, folder)
-    from ..operators.series import Blocks, decay_halo
-
-    before, block = decay_halo([1 / 14])
-    b = Blocks(I.placed(bars), ["symbol"], before, 0, block)
-    df = b.owned(b.df.withColumn("wilder_14", b.decayed_mean(F.col("close"), 1 / 14)))
+    df = recursive_mean(I.placed(hourly(spark, folder)), ["symbol"], "close", 1 / 14, "wilder_14")
     return df.select("symbol", "time", r("wilder_14"))
 
 
