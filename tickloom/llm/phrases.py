@@ -38,7 +38,7 @@ from .words import LOWER, hashed, mix, slices, spans, utf8
 
 SUPPORT = 10
 LONGEST = 3
-SHARDS = 4
+SHARDS = 2
 FIRST = 2000          # phrases of a language that are returned
 KEEP_PERCENT = 50     # a phrase goes if a longer one has this share of its places
 SLICE = 2 << 20       # bytes of text counted at a time
@@ -223,6 +223,14 @@ def _local(level: int, known: list) -> Callable:
     return run
 
 
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Pieces of a byte array as strings."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(int(offsets[-1])) + np.repeat(start - offsets[:-1], size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at]))
+
+
 def _texts(known) -> Callable:
     """Words, pairs and triples that are candidates, by text and language, counted per slice."""
 
@@ -241,6 +249,11 @@ def _texts(known) -> Callable:
             place = np.arange(len(h)) + np.cumsum(~follows)
             line = np.zeros(int(place[-1]) + 3, np.uint64)
             line[place] = h
+            size = end - start
+            first = np.cumsum(size + 1) - size - 1
+            plain = np.full(int(first[-1] + size[-1]), 32, np.uint8)  # the words, one space between
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            plain[inside + np.repeat(first, size)] = LOWER[data[inside + np.repeat(start, size)]]
             word_of = np.full(len(line), -1, np.int64)
             word_of[place] = np.arange(len(h))
             for k, keys in enumerate((line, *grams(line)), 1):
@@ -255,8 +268,8 @@ def _texts(known) -> Callable:
                 one[index] = at  # some place of each phrase
                 w = word_of[one]
                 lang = pa.DictionaryArray.from_arrays(pa.array(of[w].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-                text = [b" ".join([LOWER[data[start[i + j] : end[i + j]]].tobytes() for j in range(k)]) for i in w.tolist()]
-                yield pa.RecordBatch.from_arrays([lang, pa.array(text, pa.binary()).cast(pa.string()), pa.array(np.full(len(w), k, np.int64)), pa.array(count.astype(np.int64))],
+                text = _slices(plain, first[w], first[w + k - 1] + size[w + k - 1])
+                yield pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(w), k, np.int64)), pa.array(count.astype(np.int64))],
                                                  ["lang", "phrase", "k", "a"])
 
     return run
