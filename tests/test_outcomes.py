@@ -7,7 +7,8 @@ from conftest import walk
 from tickloom.operators import equity as E
 from tickloom.operators import outcomes as O
 from tickloom.operators import sweep as S
-from tickloom.operators.signals import ema_cross
+from tickloom.operators.series import settle
+from tickloom.operators.signals import ema_cross, mean_reversion, trend_following
 
 
 def test_first_touch_matches_brute_force_on_a_deep_tree(spark, monkeypatch):
@@ -134,3 +135,46 @@ def test_sweep_agrees_with_a_bar_loop_per_fold(spark):
             assert cell.trades == len(trades)
             assert cell.sharpe == pytest.approx(ret.mean() / ret.std() * np.sqrt(252) if ret.std() else 0.0, abs=1e-6)
             assert cell.max_drawdown == pytest.approx(((eq.cummax() - eq) / eq.cummax()).max(), abs=1e-9)
+
+
+def test_a_grid_of_thousands_of_sets_has_a_small_plan(spark, bars):
+    space = {"ema_fast": list(range(3, 13)), "ema_slow": [13, 18, 21, 26, 30], "atr_multiplier": [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5], "atr_tp_multiplier": [2.0, 2.5, 3.0, 3.5, 4.0]}
+    sets = S.grid(space)
+    assert len(sets) == 2000
+    series = settle(O.mark_positions(bars))
+    df = S.grid_signals(series, "ema_crossover", sets, ["symbol"])
+    small = S.grid_signals(series, "ema_crossover", sets[:1990:40], ["symbol"])
+    lines = lambda d: d._jdf.queryExecution().analyzed().toString().count("\n")
+    assert lines(df) <= lines(small) + 2
+    got = df.groupBy("param_id").count().toPandas().set_index("param_id")["count"]
+    one = ema_cross(series, 5, 21, stop=2.0).where("action <> 'HOLD' AND pos >= 26").select("symbol", "pos", "action", "sl", "tp").toPandas()
+    k = next(p["param_id"] for p in sets if p["ema_fast"] == 5 and p["ema_slow"] == 21 and p["atr_multiplier"] == 2.0 and p["atr_tp_multiplier"] == 3.0)
+    mine = df.where(f"param_id = {k}").select("symbol", "pos", "action", "sl", "tp").toPandas()
+    by = ["symbol", "pos"]
+    pd.testing.assert_frame_equal(mine.sort_values(by, ignore_index=True), one.sort_values(by, ignore_index=True))
+    assert len(got) > 1500
+
+
+def test_reversion_sets_equal_the_strategy(spark, bars):
+    series = settle(O.mark_positions(bars))
+    sets = S.grid({"bb_period": [15, 20], "bb_std": [1.5, 2.0], "rsi_period": [7, 14], "rsi_os": [40.0], "rsi_ob": [60.0]})
+    df = S.grid_signals(series, "mean_reversion", sets, ["symbol"]).toPandas()
+    for p in sets:
+        n, rs = p["bb_period"], p["rsi_period"]
+        want = mean_reversion(series, n, p["bb_std"], rs, 40.0, 60.0).where(f"action <> 'HOLD' AND pos >= {max(n, rs, 14) + 5}").select("symbol", "pos", "action", "sl", "tp").toPandas()
+        mine = df[df.param_id == p["param_id"]][["symbol", "pos", "action", "sl", "tp"]]
+        pd.testing.assert_frame_equal(mine.sort_values(["symbol", "pos"], ignore_index=True), want.sort_values(["symbol", "pos"], ignore_index=True))
+
+
+def test_trend_sets_are_told_apart_and_checked(spark, bars):
+    with pytest.raises(ValueError, match="tp_r_multiple"):
+        S.grid_signals(bars, "trend_following", [{"param_id": 0, "tp_r_multiple": 0.5}], ["symbol"])
+    with pytest.raises(ValueError, match="no sweep"):
+        S.grid_signals(bars, "pairs", [{"param_id": 0}], ["symbol"])
+    series = settle(O.mark_positions(bars))
+    sets = S.grid({"tp_r_multiple": [1.5, 3.0], "swing_left": [2, 3]})
+    df = S.grid_signals(series, "trend_following", sets, ["symbol"]).toPandas()
+    for p in sets:
+        want = trend_following(series, left=p["swing_left"], r_target=p["tp_r_multiple"]).where("action <> 'HOLD' AND pos >= 50").select("symbol", "pos", "action", "sl", "tp").toPandas()
+        mine = df[df.param_id == p["param_id"]][["symbol", "pos", "action", "sl", "tp"]]
+        pd.testing.assert_frame_equal(mine.sort_values(["symbol", "pos"], ignore_index=True), want.sort_values(["symbol", "pos"], ignore_index=True))

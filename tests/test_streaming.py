@@ -6,6 +6,7 @@ from conftest import walk
 from tickloom.operators.bars import ticks_to_bars
 from tickloom.operators.indicators import rolling_spread
 from tickloom.operators.positions import event_counts, position_events, with_closes
+from tickloom.sources.files import load_bars
 from tickloom.streaming import keyed as K
 from tickloom.streaming import live as L
 
@@ -146,7 +147,7 @@ def test_silent_sources_are_reported(spark, tmp_path):
 def test_history_sink_ends_with_all_bars(spark, tmp_path, ticks):
     path = str(tmp_path / "hist")
     L.drain_with(L.bar_stream(as_stream(spark, tmp_path, halves(ticks))), L.history_sink(path, "H1"), str(tmp_path / "run"), "update")
-    got = spark.read.parquet(path).orderBy("time").toPandas()
+    got = load_bars(spark, path).orderBy("time").toPandas()
     want = ticks_to_bars(ticks).orderBy("time").toPandas()
     assert got.close.tolist() == want.close.tolist() and got.volume.tolist() == want.volume.tolist()
 

@@ -1,7 +1,10 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators import experiments as X
+from tickloom.operators import series as Q
 from tickloom.operators import trades as R
 from tickloom.operators.accounts import account_state, account_verdicts, STATE_SCHEMA
 from tickloom.operators.experiments import flat_runs, pareto_front, quiet_iterations, with_running_dsr
@@ -91,3 +94,19 @@ def test_log_checks(spark):
 def test_pareto_front_keeps_equal_points(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 1.0), (3, 0.5, 1.0, 1.0), (4, 0.5, 0.5, 0.5), (5, 2.0, 3.0, 0.1)], "id long, sharpe double, max_dd double, win_rate double")
     assert sorted(r.id for r in pareto_front(df).collect()) == [1, 2, 4, 5]
+
+
+def test_running_moments_of_large_values_do_not_cancel(spark, monkeypatch):
+    monkeypatch.setattr(Q, "RANGE_ROWS", 40)
+    g = np.random.default_rng(8)
+    values = 1e6 + g.normal(0, 1e-3, 400)
+    rows = [("a", i * 86_400_000_000, None if i % 9 == 4 else float(v)) for i, v in enumerate(values)] + [("b", 5, 2.0), ("b", 7, None)]
+    df = spark.createDataFrame(rows, "k string, iteration long, sharpe double").repartition(4)
+    got = X.running_moments(df, ["k"], "iteration", F.col("sharpe")).toPandas().sort_values(["k", "iteration"])
+    own = got[got.k == "a"]
+    x = pd.Series([r[2] for r in rows if r[0] == "a"], dtype=float)
+    assert own["_n"].tolist() == x.notna().cumsum().tolist()
+    want = x.expanding().apply(lambda v: np.var(v[~np.isnan(v)] - 1e6, ddof=1), raw=True)
+    got_var = (own["_m2"] / (own["_n"] - 1)).to_numpy()
+    np.testing.assert_allclose(got_var[5:], want.to_numpy()[5:], rtol=1e-6)
+    assert got[got.k == "b"]["_m"].tolist() == [2.0, 2.0]

@@ -287,9 +287,9 @@ def backfill_stats(stored: DataFrame, fetched: DataFrame, target: int, keys: Seq
 
 
 def allowed_shrink(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("symbol", "tf")) -> DataFrame:
-    """Per partition whether the incoming rows may replace the stored ones."""
+    """Per partition whether the incoming rows may replace the stored ones, given as bars or as counts (n_stored)."""
     new = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
-    old = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stored"))
+    old = stored if "n_stored" in stored.columns else stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stored"))
     return new.join(old, list(keys), "left").select(
         *keys, "n_new", F.coalesce("n_stored", F.lit(0)).alias("n_stored"),
         (F.col("n_new") >= F.coalesce("n_stored", F.lit(0))).alias("accepted"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .series import Blocks, earlier_ranked, ranged, running, settle, with_position
+from .series import Blocks, earlier_ranked, ranged, settle, with_position
 
 COMBO = ("symbol", "timeframe", "strategy")
 # Thresholds of the log checks.
@@ -17,10 +17,6 @@ FLAT_DELTA, FLAT_LIMIT = 0.01, 8
 WINNER_MARGIN = 1.10
 
 
-def log_bucket(column: str) -> Column:
-    return F.floor(F.col(column) / F.lit(65_536)).cast("long")
-
-
 def last_rows(df: DataFrame, keys: Sequence[str], order: str, k: int, rank: str = "recency") -> DataFrame:
     """The newest k rows per key, numbered from the newest.
 
@@ -39,15 +35,46 @@ def with_global_dsr(trials: DataFrame, sharpe: str = "sharpe", keys: Sequence[st
     return joined.withColumn("dsr", scores.deflated_sharpe(F.col(sharpe), F.col("_n"), F.col("_m"), F.col("_s"))).drop("_n", "_m", "_s")
 
 
+def running_moments(log: DataFrame, keys: Sequence[str], order: str, x: Column) -> DataFrame:
+    """Add _n, _m and _m2: count, mean and sum of squared deviations of ``x`` up to each row.
+
+    Values are taken relative to the first one of their range bucket, and the moments of
+    the buckets before are merged in by the pairwise update, so large means do not cancel.
+    Nulls count nothing.  Keys must not be null.
+    """
+    keys = list(keys)
+    df = ranged(log.withColumn("_x", x), keys, [order])
+    seen = Window.partitionBy(*keys, "_rb").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_d", F.col("_x") - F.first("_x", ignorenulls=True).over(seen))
+    df = df.select("*", F.count("_d").over(seen).alias("_ln"), F.sum("_d").over(seen).alias("_s"), F.sum(F.col("_d") * F.col("_d")).over(seen).alias("_q"),
+                   F.first("_x", ignorenulls=True).over(seen).alias("_p"))
+    df = df.withColumn("_lm", F.col("_p") + F.try_divide("_s", "_ln")).withColumn("_lm2", F.greatest(F.col("_q") - F.try_divide(F.col("_s") * F.col("_s"), F.col("_ln")), F.lit(0.0)))
+    last = df.groupBy(*keys, "_rb").agg(F.max_by(F.struct("_ln", "_lm", "_lm2"), "_ln").alias("_t")).where(F.col("_t._ln") > 0).select(*keys, "_rb", "_t.*")
+    all_buckets = df.select(*keys, "_rb").distinct().join(last, [*keys, "_rb"], "left")
+    past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    # one entry per bucket of up to RANGE_ROWS rows
+    table = all_buckets.select(*keys, "_rb", F.collect_list(F.struct("_ln", "_lm", "_lm2")).over(past).alias("_b"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+    merged = F.aggregate(F.filter("_b", lambda b: b["_ln"].isNotNull()), start, lambda a, b: _merged(a["n"], a["m"], a["q"], b["_ln"], b["_lm"], b["_lm2"]))
+    carry = table.select(*keys, "_rb", merged.alias("_c"))
+    both = df.join(carry, [*keys, "_rb"])
+    full = _merged(F.col("_c.n"), F.col("_c.m"), F.col("_c.q"), F.col("_ln"), F.coalesce("_lm", F.lit(0.0)), F.coalesce("_lm2", F.lit(0.0)))
+    return both.withColumn("_f", full).select(*log.columns, F.col("_f.n").alias("_n"), F.when(F.col("_f.n") > 0, F.col("_f.m")).alias("_m"), F.when(F.col("_f.n") > 0, F.col("_f.q")).alias("_m2"))
+
+
+def _merged(n: Column, m: Column, q: Column, n2: Column, m2: Column, q2: Column) -> Column:
+    """Moments (count, mean, squared deviations) of two sets of values together."""
+    both, gap = n + n2, m2 - m
+    share = F.when(both > 0, n2 / both).otherwise(F.lit(0.0))
+    return F.struct(both.cast("long").alias("n"), (m + gap * share).alias("m"), (q + q2 + gap * gap * n * share).alias("q"))
+
+
 def with_running_dsr(log: DataFrame, keys: Sequence[str] = (), order: str = "iteration", sharpe: str = "sharpe") -> DataFrame:
     """Deflated Sharpe of each iteration against the trials up to it."""
-    x = scores.finite(F.col(sharpe))
-    df = running(log, keys, log_bucket(order), [order],
-                 {"_n": ("sum", F.when(x.isNotNull(), 1)), "_t": ("sum", x), "_q": ("sum", x * x)})
-    mean = F.try_divide(F.col("_t"), F.col("_n"))
-    var = F.try_divide(F.col("_q") - F.col("_t") * mean, F.col("_n") - 1)
+    df = running_moments(log, keys, order, scores.finite(F.col(sharpe)))
+    var = F.when(F.col("_n") > 1, F.col("_m2") / (F.col("_n") - 1))
     std = F.sqrt(F.when(var > 1e-14, var).otherwise(F.lit(0.0)))
-    return df.withColumn("dsr_so_far", scores.deflated_sharpe(F.col(sharpe), F.col("_n"), mean, std)).drop("_n", "_t", "_q")
+    return df.withColumn("dsr_so_far", scores.deflated_sharpe(F.col(sharpe), F.col("_n"), F.col("_m"), std)).drop("_n", "_m", "_m2")
 
 
 def ranked(trials: DataFrame, keys: Sequence[str] = (), score: str = "dsr", tie: str = "sr_id", name: str = "rank") -> DataFrame:
@@ -143,8 +170,8 @@ def repeated_pairs(log: DataFrame, keys: Sequence[str] = ("strategy",), order: s
 
 def flat_runs(log: DataFrame, keys: Sequence[str] = ("strategy",), order: str = "iteration") -> DataFrame:
     """Length of the trailing run of nearly equal scores, and whether it is a stall."""
-    df = settle(log.where(F.col("sharpe").isNotNull()).select(*keys, order, "sharpe"))
-    b = Blocks(with_position(df, keys, [order], log_bucket(order)), keys, 1)
+    df = ranged(log.where(F.col("sharpe").isNotNull()).select(*keys, order, "sharpe"), keys, [order])
+    b = Blocks(with_position(df, keys, [order], F.col("_rb")), keys, 1)
     moved = F.coalesce(F.abs(F.col("sharpe") - F.lag("sharpe").over(b.w)) >= FLAT_DELTA, F.lit(True))
     x = b.owned(b.df.withColumn("_moved", moved))
     out = x.groupBy(*keys).agg((F.max("pos") - F.max(F.when(F.col("_moved"), F.col("pos")))).alias("flat_run"))

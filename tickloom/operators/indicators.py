@@ -234,7 +234,7 @@ def pair_statistics(pair: DataFrame, hedge: int = 60, spread: int = 60, atr_n: i
     df_t = F.try_divide(phi, F.sqrt(F.try_divide(rss, F.when(var_l > 0, var_l) * F.lit(m - 1.0))))
     ready = F.col("pos") >= F.lit(max(hedge, spread) - 1)
     out = df.select(
-        *[c for c in pair.columns], "pos", "_blk",
+        *[c for c in pair.columns if c != "pos"], "pos", "_blk",
         F.when(F.col("pos") >= hedge - 1, be).alias("beta"),
         F.when(ready, F.col("spread")).alias("spread"),
         F.when(ready, z).alias("zscore"),

@@ -16,21 +16,25 @@ from .series import Blocks, settle
 def news_blackout(bars: DataFrame, calendar: DataFrame, minutes: int = 30, blocked: bool = False) -> DataFrame:
     """Bars with no high-impact event of their currency within ``minutes`` (or only those with one).
 
-    Time is cut into slots as wide as the buffer.  An event in a bar's own slot is
-    always near; of the slot before only the latest event can matter, of the slot
-    after only the earliest.  So the calendar shrinks to one row per currency and
-    slot, and a bar meets one row per currency.
+    Which currencies concern a symbol is settled once, for distinct symbols and
+    currencies.  Time is cut into slots as wide as the buffer.  An event in a bar's own
+    slot is always near; of the slot before only the latest event can matter, of the slot
+    after only the earliest.  So the calendar shrinks to one row per symbol and slot, and
+    bars meet it on both.  A blank symbol is concerned by every event.
     """
     width = minutes * 60_000_000
     slot = lambda c: F.floor(c / F.lit(width)).cast("long")
     at = F.unix_micros("time")
-    ev = calendar.select(F.upper("currency").alias("_cur"), slot(at).alias("_slot"), at.alias("_ev")).groupBy("_cur", "_slot").agg(F.min("_ev").alias("_lo"), F.max("_ev").alias("_hi"))
+    told = calendar.select(F.upper("currency").alias("_cur"), slot(at).alias("_slot"), at.alias("_ev")).groupBy("_cur", "_slot").agg(F.min("_ev").alias("_lo"), F.max("_ev").alias("_hi"))
+    symbols, currencies = bars.select(F.col("symbol").alias("_sym")).distinct(), calendar.select(F.upper("currency").alias("_cur")).distinct()
+    concerned = symbols.join(currencies, (F.col("_sym") == "") | F.upper("_sym").contains(F.col("_cur")))
     places = F.array(*[F.struct((F.col("_slot") + k).alias("_slot"), F.lit(k == 0).alias("_own"), F.when(F.lit(k == 1), F.col("_hi")).alias("_before"), F.when(F.lit(k == -1), F.col("_lo")).alias("_after")) for k in (-1, 0, 1)])
-    ev = ev.select("_cur", F.explode(places).alias("_p")).groupBy("_cur", "_p._slot").agg(F.max("_p._own").alias("_own"), F.max("_p._before").alias("_before"), F.min("_p._after").alias("_after"))
+    ev = told.join(concerned, "_cur").select("_sym", F.explode(places).alias("_p")).groupBy("_sym", "_p._slot").agg(
+        F.max("_p._own").alias("_own"), F.max("_p._before").alias("_before"), F.min("_p._after").alias("_after"))
     probe = bars.withColumn("_slot", slot(at))
     t = F.unix_micros(probe["time"])
     close = ev["_own"] | F.coalesce(t - ev["_before"] <= width, F.lit(False)) | F.coalesce(ev["_after"] - t <= width, F.lit(False))
-    near = (probe["_slot"] == ev["_slot"]) & close & ((probe["symbol"] == "") | F.upper(probe["symbol"]).contains(ev["_cur"]))
+    near = (probe["symbol"] == ev["_sym"]) & (probe["_slot"] == ev["_slot"]) & close
     return probe.join(ev, near, "left_semi" if blocked else "left_anti").drop("_slot")
 
 

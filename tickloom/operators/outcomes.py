@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, sizing
-from .indicators import placed
+from .indicators import join_legs, placed
 from .series import Blocks, asof_last, pos_bucket, running, settle, with_position
+from .signals import PAIR_ROWS, pairs_signal
 
 FAN = 128           # children per node of the touch tree
 ISLAND_ROWS = 2048  # islands up to this size are folded as one array
@@ -191,6 +192,21 @@ def label_signals(
     return t if overlap else one_at_a_time(t, [*keys, *extra])
 
 
+def pairs_trades(bars: DataFrame, first: str, second: str, overlap: bool = False, step_seconds: int = 3600, **params) -> DataFrame:
+    """Trades on the first leg from the spread of two symbols: entry, exit and costs as for any signal.
+
+    The series is the bars that both legs have.  Signals count from the first row with
+    full windows and two more on.
+    """
+    keys = ["symbol"]
+    pair = settle(mark_positions(join_legs(bars, first, second).withColumn("symbol", F.lit(first)), keys, step_seconds))
+    signals = pairs_signal(pair, keys=keys, step_seconds=step_seconds, **params)
+    warmup = max(params.get("spread", PAIR_ROWS), params.get("hedge", PAIR_ROWS)) + 2
+    leg = pair.select("symbol", "pos", "n_rows", "time", *[F.col(f"{c}_1").alias(c) for c in ("open", "high", "low", "close")])
+    chosen = signals.where((F.col("action") != "HOLD") & (F.col("pos") >= warmup)).select("symbol", "pos", "n_rows", "time", "action", "strength", "sl", "tp", "atr")
+    return label_signals(settle(chosen), leg, keys, overlap=overlap)
+
+
 def atr_volume(atr: Column, balance: float = 10_000.0, kelly: float = sizing.KELLY_DEFAULT) -> Column:
     """Volume from the starting equity and the signal's ATR."""
     return sizing.position_size(F.lit(balance), atr, F.lit(kelly), F.lit(0.0))

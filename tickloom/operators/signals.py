@@ -20,11 +20,12 @@ SIGNAL_COLUMNS = ("action", "strength", "reason", "entry_price", "sl", "tp", "at
 FALLBACK_FAST, FALLBACK_SLOW = 9, 21
 
 
-def bracket(action: Column, close: Column, atr: Column, stop: float, target: float) -> tuple[Column, Column]:
+def bracket(action: Column, close: Column, atr: Column, stop: float | Column, target: float | Column) -> tuple[Column, Column]:
     """Stop and target at multiples of ATR on either side of the close."""
     buy, sell = action == "BUY", action == "SELL"
-    sl = F.when(buy, close - F.lit(stop) * atr).when(sell, close + F.lit(stop) * atr)
-    tp = F.when(buy, close + F.lit(target) * atr).when(sell, close - F.lit(target) * atr)
+    stop, target = (x if isinstance(x, Column) else F.lit(x) for x in (stop, target))
+    sl = F.when(buy, close - stop * atr).when(sell, close + stop * atr)
+    tp = F.when(buy, close + target * atr).when(sell, close - target * atr)
     return sl, tp
 
 
@@ -111,12 +112,16 @@ def mean_reversion(bars: DataFrame, bb_n: int = 20, bb_k: float = 2.0, rsi_n: in
     return df.select(*placed_columns(bars), F.col(f"rsi_{rsi_n}").alias("rsi"), *[c.alias(n) for n, c in sig.items()])
 
 
-def trend_following(bars: DataFrame, seconds: int = 14400, left: int = 2, right: int = 2, r_target: float = 1.5,
-                    atr_n: int = 14, stop: float = 1.5, buffer: float = 1.0, lookback: int = 10,
-                    mode: str = "standard", keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
-    """Breaks of structure taken in the direction of the higher timeframe."""
-    if r_target < 1.0:
-        raise ValueError("r_target must be >= 1.0")
+GO = "bos_aligned_with_htf_bias"
+
+
+def trend_setups(bars: DataFrame, seconds: int = 14400, left: int = 2, right: int = 2, atr_n: int = 14, lookback: int = 10,
+                 mode: str = "standard", keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
+    """Per bar what the trend strategy sees before stops are set.
+
+    Adds htf_bias, bos_direction, bos_level, known_low, known_high, atr and ``setup``, the
+    reason not to trade or ``GO``.
+    """
     if mode not in ("standard", "premium"):
         raise ValueError("mode must be 'standard' or 'premium'")
     keys = list(keys)
@@ -127,15 +132,10 @@ def trend_following(bars: DataFrame, seconds: int = 14400, left: int = 2, right:
     if mode == "premium":
         df = pin_bars(df, PIN_TAIL_PREMIUM, keys, step_seconds)
     df = higher_bias(settle(df), seconds, left, right, lookback, keys, step_seconds)
-    close, atr = F.col("close"), F.coalesce(F.col(f"atr_{atr_n}"), F.lit(0.0))
     bullish = F.col("bos_direction") == "bullish"
     aligned = F.col("htf_bias") == F.when(bullish, F.lit("uptrend")).otherwise(F.lit("downtrend"))
-    stop_low = F.coalesce(F.col("known_low") - atr * F.lit(buffer), close - F.lit(stop) * atr)
-    stop_high = F.coalesce(F.col("known_high") + atr * F.lit(buffer), close + F.lit(stop) * atr)
-    sl = F.when(bullish, stop_low).otherwise(stop_high)
-    risk = F.abs(close - sl)
     need = max(left + right + 4, atr_n + 2, 20)
-    reason = (
+    setup = (
         F.when(F.col("pos") + 1 < need, F.lit("insufficient_bars"))
         .when(F.col("htf_rows") < left + right + 4, F.lit("insufficient_htf_bars"))
         .when(F.col("reversal"), F.lit("structural_reversal_in_progress"))
@@ -144,24 +144,49 @@ def trend_following(bars: DataFrame, seconds: int = 14400, left: int = 2, right:
         .when(~aligned, F.lit("bos_against_htf_bias"))
     )
     if mode == "premium":
-        zone = in_zone(F.col("bos_direction"), close, F.col("known_high"), F.col("known_low"))
+        zone = in_zone(F.col("bos_direction"), F.col("close"), F.col("known_high"), F.col("known_low"))
         pin = F.when(bullish, F.col("pin_bull")).otherwise(F.col("pin_bear"))
-        reason = reason.when(~zone, F.lit("not_in_premium_zone")).when(~pin, F.lit("no_pin_bar_confirmation"))
-    reason = reason.when(risk <= 0, F.lit("zero_risk")).otherwise(F.lit("bos_aligned_with_htf_bias"))
-    df = df.withColumn("reason", reason)
-    go = F.col("reason") == "bos_aligned_with_htf_bias"
+        setup = setup.when(~zone, F.lit("not_in_premium_zone")).when(~pin, F.lit("no_pin_bar_confirmation"))
+    return df.select(*cols, "htf_bias", "bos_direction", "bos_level", "known_low", "known_high",
+                     F.coalesce(F.col(f"atr_{atr_n}"), F.lit(0.0)).alias("atr"), setup.otherwise(F.lit(GO)).alias("setup"))
+
+
+def trend_bracket(bullish: Column, stop: Column, buffer: Column, r_target: Column) -> tuple[Column, Column, Column]:
+    """Structural stop (an ATR stop where no swing is known), target at a multiple of the risk, and the risk."""
+    close, atr = F.col("close"), F.col("atr")
+    low = F.coalesce(F.col("known_low") - atr * buffer, close - stop * atr)
+    high = F.coalesce(F.col("known_high") + atr * buffer, close + stop * atr)
+    sl = F.when(bullish, low).otherwise(high)
+    risk = F.abs(close - sl)
+    return sl, F.when(bullish, close + r_target * risk).otherwise(close - r_target * risk), risk
+
+
+def trend_following(bars: DataFrame, seconds: int = 14400, left: int = 2, right: int = 2, r_target: float = 1.5,
+                    atr_n: int = 14, stop: float = 1.5, buffer: float = 1.0, lookback: int = 10,
+                    mode: str = "standard", keys: Sequence[str] = ("symbol",), step_seconds: int = 3600) -> DataFrame:
+    """Breaks of structure taken in the direction of the higher timeframe."""
+    if r_target < 1.0:
+        raise ValueError("r_target must be >= 1.0")
+    df = trend_setups(bars, seconds, left, right, atr_n, lookback, mode, keys, step_seconds)
+    close, bullish = F.col("close"), F.col("bos_direction") == "bullish"
+    sl, tp, risk = trend_bracket(bullish, F.lit(stop), F.lit(buffer), F.lit(r_target))
+    reason = F.when((F.col("setup") == GO) & (risk <= 0), F.lit("zero_risk")).otherwise(F.col("setup"))
+    go = reason == GO
     action = F.when(go & bullish, F.lit("BUY")).when(go, F.lit("SELL")).otherwise(F.lit("HOLD"))
-    tp = F.when(bullish, close + F.lit(r_target) * risk).otherwise(close - F.lit(r_target) * risk)
+    cols = [c for c in df.columns if c not in ("htf_bias", "bos_direction", "bos_level", "known_low", "known_high", "atr", "setup")]
     return df.select(
         *cols, "htf_bias", "bos_direction", "bos_level",
         action.alias("action"),
         F.when(go, separation(close - F.col("bos_level"), close)).otherwise(F.lit(0.0)).alias("strength"),
-        "reason", close.alias("entry_price"),
-        F.when(go, sl).alias("sl"), F.when(go, tp).alias("tp"), atr.alias("atr"),
+        reason.alias("reason"), close.alias("entry_price"),
+        F.when(go, sl).alias("sl"), F.when(go, tp).alias("tp"), "atr",
     )
 
 
-def pairs_signal(pair: DataFrame, entry_z: float = 2.0, spread: int = 60, hedge: int = 60, stop: float = 1.5,
+PAIR_ROWS = 60
+
+
+def pairs_signal(pair: DataFrame, entry_z: float = 2.0, spread: int = PAIR_ROWS, hedge: int = PAIR_ROWS, stop: float = 1.5,
                  atr_n: int = 14, require_stationary: bool = False, critical_t: float = -3.37,
                  keys: Sequence[str] = (), step_seconds: int = 3600) -> DataFrame:
     """Signals of the first leg from the spread of two joined legs.
@@ -186,7 +211,7 @@ def pairs_signal(pair: DataFrame, entry_z: float = 2.0, spread: int = 60, hedge:
     action = F.when(F.col("reason") == "spread_low", F.lit("BUY")).when(F.col("reason") == "spread_high", F.lit("SELL")).otherwise(F.lit("HOLD"))
     sl, tp = bracket(action, close, atr, stop, 2.0 * stop)
     return df.select(
-        *pair.columns, "pos", "beta", "spread", "zscore", "half_life", "reverts", "reason",
+        *[c for c in pair.columns if c != "pos"], "pos", "beta", "spread", "zscore", "half_life", "reverts", "reason",
         action.alias("action"),
         F.when(action == "HOLD", F.lit(0.0)).otherwise(capped(F.abs(z) / F.lit(entry_z))).alias("strength"),
         close.alias("entry_price"), sl.alias("sl"), tp.alias("tp"), "atr",

@@ -9,6 +9,7 @@ from ..operators import experiments as X
 from ..operators import trades as R
 from ..sources import files
 from ..sources import tables as T
+from ..sources.markdown import MarkdownTree
 from .experiment_queries import CLOSED, DSR, POS_EV, all_position_events
 from .registry import BARS, TICKS, TRADES, TRIALS, bars_sql, query, r
 from .stream_queries import scratch
@@ -100,3 +101,16 @@ def time_functions(spark, folder):
                     clock.utc_date(F.col("time")).alias("utc_date"), clock.timeframe_seconds(tf).alias("tf_seconds"))
 
 
+
+
+@query("corpus_scan", "SELECT 'p' || (page_id % 5) || '/' || page_id || '.md' AS path, html AS text FROM pages")
+def corpus_scan(spark, folder):
+    """Pages written as a tree of Markdown files, one a page, and read back without the folders' notes."""
+    spark.dataSource.register(MarkdownTree)
+    pages = T.table(spark, folder, "pages")
+    top = F.concat(F.lit("p"), F.col("page_id") % 5)
+    docs = pages.select(F.concat(top, F.lit("/"), F.col("page_id"), F.lit(".md")).alias("path"), F.col("html").alias("text"))
+    notes = pages.select(F.concat(top, F.lit("/_meta.md")).alias("path"), F.lit("a note").alias("text")).distinct()
+    path = scratch(spark)
+    docs.unionByName(notes).write.format("markdown").mode("append").save(path)
+    return spark.read.format("markdown").load(path)

@@ -16,7 +16,7 @@ from ..operators import sweep as S
 from ..operators.series import settle
 from ..sources import tables as T
 from .indicator_queries import A14, CROSS, MR, decay, trend_sql
-from .registry import BARS, CALENDAR, POS, hourly, query, r
+from .registry import ORACLES, BARS, CALENDAR, POS, hourly, query, r
 
 WARMUP = 26
 
@@ -193,10 +193,13 @@ SPACE = {"ema_fast": [5, 9], "ema_slow": [13, 21], "atr_multiplier": [1.5, 2.5]}
 FOLDS, EMBARGO = 5, 24
 
 
-def sweep_sql(reversion: bool = False) -> str:
+def sweep_sql(strategy: str = "ema_crossover") -> str:
     """Every parameter set on every fold from the definitions, in one statement."""
     per_fold = lambda sql: sql.replace("PARTITION BY symbol", "PARTITION BY symbol, fold")
-    if reversion:
+    if strategy == "trend_following":
+        signals, stops = trend_sets_sql()
+        return sweep_tail(signals, str(TREND_START), "", per_fold, stops)
+    if strategy == "mean_reversion":
         signals, ready, target = reversion_sql(per_fold), "greatest(bn, rn, 14) + 5", "2.0"
     else:
         signals, ready, target = cross_sql(per_fold), "greatest(s, 14) + 5", "3.0"
@@ -239,14 +242,33 @@ sg AS (SELECT symbol, fold, param_id, pos, n, close, atr, m, CASE WHEN prev <= 0
   WHERE pos >= greatest(s, 14) + 5 AND pos <= n - 2 AND ((prev <= 0 AND gap > 0) OR (prev >= 0 AND gap < 0))),"""
 
 
-def sweep_tail(signals: str, ready: str, target: str, per_fold) -> str:
+TREND_SPACE = {"tp_r_multiple": [1.5, 2.5], "sl_atr_buffer": [1.0, 0.5], "reversal_lookback": [10]}
+
+
+def trend_sets_sql() -> tuple[str, str]:
+    """The trend strategy's setups on every fold, each fold a symbol of its own there, and the stops of every set."""
+    inner = trend_sql("standard").replace(BARS, "WITH bars AS (SELECT name AS symbol, time, open, high, low, close, volume FROM fb0)", 1)
+    inner = inner[: inner.rindex("SELECT symbol, time, CASE WHEN reason = 'go'")] + "SELECT symbol AS name, pos, d, kh, kl, atr FROM rs WHERE reason IN ('go', 'zero_risk')"
+    values = ", ".join(f"({p['param_id']}, {p['tp_r_multiple']}::DOUBLE, {p['sl_atr_buffer']}::DOUBLE)" for p in S.grid(TREND_SPACE))
+    signals = f"""fb0 AS MATERIALIZED (SELECT *, symbol || '#' || fold AS name FROM b),
+setups AS MATERIALIZED ({inner}),
+ps(param_id, rm, bf) AS (VALUES {values}),
+sg AS (SELECT fb0.symbol, fold, param_id, fb0.pos, n, close, rm, CASE WHEN d = 'bullish' THEN 'BUY' ELSE 'SELL' END AS action,
+    CASE WHEN d = 'bullish' THEN coalesce(kl - bf * t.atr, close - 1.5 * t.atr) ELSE coalesce(kh + bf * t.atr, close + 1.5 * t.atr) END AS sl
+  FROM setups t JOIN fb0 ON fb0.name = t.name AND fb0.pos = t.pos, ps WHERE fb0.pos >= {TREND_START} AND fb0.pos <= n - 2),"""
+    stops = """s AS (SELECT *, CASE action WHEN 'BUY' THEN close + rm * abs(close - sl) ELSE close - rm * abs(close - sl) END AS tp FROM sg WHERE abs(close - sl) > 0),"""
+    return signals, stops
+
+
+def sweep_tail(signals: str, ready: str, target: str, per_fold, stops: str | None = None) -> str:
+    stops = stops or f"""s AS (SELECT *, CASE action WHEN 'BUY' THEN close - m * atr ELSE close + m * atr END AS sl, CASE action WHEN 'BUY' THEN close + {target} * atr ELSE close - {target} * atr END AS tp FROM sg),"""
     head = f"""{BARS.replace("WITH ", "WITH RECURSIVE ", 1)}, gp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS gpos, count(*) OVER (PARTITION BY symbol) AS gn FROM bars),
 gf AS (SELECT *, CASE WHEN gn >= {FOLDS * (2 * EMBARGO + 2)} THEN least(gpos // (gn // {FOLDS}), {FOLDS - 1}) WHEN gpos >= floor(gn * (1 - 1.0::DOUBLE / {FOLDS})) THEN 0 END AS fold FROM gp),
 b AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY time) - 1 AS pos, count(*) OVER (PARTITION BY symbol, fold) AS n FROM gf WHERE fold IS NOT NULL),
 t0 AS (SELECT *, greatest(abs(high - low), abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM b WINDOW w AS (PARTITION BY symbol, fold ORDER BY pos)),
 i0 AS (SELECT *, {per_fold(decay('tr', A14))} AS atr FROM t0),
 {signals}
-s AS (SELECT *, CASE action WHEN 'BUY' THEN close - m * atr ELSE close + m * atr END AS sl, CASE action WHEN 'BUY' THEN close + {target} * atr ELSE close - {target} * atr END AS tp FROM sg),
+{stops}
 tc AS (SELECT s.symbol, s.fold, s.param_id, s.pos, min(x.pos) AS t FROM s JOIN b x ON x.symbol = s.symbol AND x.fold = s.fold AND x.pos > s.pos AND x.pos <= s.n - 2
   AND ((action = 'BUY' AND (x.low <= sl OR x.high >= tp)) OR (action = 'SELL' AND (x.high >= sl OR x.low <= tp))) GROUP BY 1, 2, 3, 4),
 ex AS (SELECT s.*, t, coalesce(t, n - 1) AS exit_pos FROM s LEFT JOIN tc USING (symbol, fold, param_id, pos)),
@@ -318,7 +340,33 @@ def sweep_scoreboard(spark, folder):
     return b.select("param_id", r("sharpe", 6), r("win_rate", 6), r("max_dd", 8), "guard_pass", "trades", r("dsr", 6))
 
 
-@query("sweep_reversion", board_sql(sweep_sql(reversion=True), 0.5))
+@query("sweep_reversion", board_sql(sweep_sql("mean_reversion"), 0.5))
 def sweep_reversion(spark, folder):
     b = S.sweep(hourly(spark, folder), "mean_reversion", S.grid(REVERSION_SPACE), FOLDS, EMBARGO)
     return b.select("param_id", r("sharpe", 6), r("win_rate", 6), r("max_dd", 8), "guard_pass", "trades", r("dsr", 6))
+
+
+@query("sweep_trend", board_sql(sweep_sql("trend_following"), 0.3))
+def sweep_trend(spark, folder):
+    b = S.sweep(hourly(spark, folder), "trend_following", S.grid(TREND_SPACE), FOLDS, EMBARGO)
+    return b.select("param_id", r("sharpe", 6), r("win_rate", 6), r("max_dd", 8), "guard_pass", "trades", r("dsr", 6))
+
+
+def pairs_trades_sql() -> str:
+    """The pair's signals as they are defined, then outcomes and chain on the bars that both legs have."""
+    head = ORACLES["pairs_signals"]
+    head = head[: head.rindex("SELECT time, reason, CASE reason")].rstrip().replace("sg AS (SELECT q.time", "px AS (SELECT q.time", 1)
+    head = head.replace(" tr AS (", " ptr AS (").replace("FROM tr i JOIN tr j", "FROM ptr i JOIN ptr j").replace("st AS (", "pst AS (").replace("FROM st)", "FROM pst)")
+    steps = chosen_sql(outcome_sql("WITH x", "y"))
+    return f"""{head.replace("WITH ", "WITH RECURSIVE ", 1)},
+b AS MATERIALIZED (SELECT 'click' AS symbol, row_number() OVER (ORDER BY x.time) - 1 AS pos, x.time, x.open, x.high, x.low, x.close FROM bars x JOIN bars z ON z.time = x.time AND z.symbol = 'view' WHERE x.symbol = 'click'),
+n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1),
+sg AS (SELECT 'click' AS symbol, pos, time, CASE reason WHEN 'spread_low' THEN 'BUY' ELSE 'SELL' END AS action, CASE reason WHEN 'spread_low' THEN c1 - 1.5 * atr ELSE c1 + 1.5 * atr END AS sl,
+  CASE reason WHEN 'spread_low' THEN c1 + 3.0 * atr ELSE c1 - 3.0 * atr END AS tp FROM px WHERE reason IN ('spread_low', 'spread_high') AND pos >= 62),
+{steps[steps.index("s AS (SELECT sg.*"):]} SELECT {TRADE_COLS} FROM tr"""
+
+
+@query("pairs_trades", pairs_trades_sql())
+def pairs_trades(spark, folder):
+    """Outcomes of the pair's signals on its first leg, one position at a time."""
+    return trade_columns(O.pairs_trades(hourly(spark, folder), "click", "view"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import TIMEFRAME_SECONDS, parse_time
-from ..operators.bars import BAR_COLUMNS, SchemaMismatch, allowed_shrink, newest_rows, unique_times
+from ..operators.bars import BAR_COLUMNS, SchemaMismatch, allowed_shrink, unique_times
 from ..operators.series import settle
+from .store import BarStore
 
 TRADE_SCHEMA = T.StructType([
     T.StructField("ticket", T.LongType()), T.StructField("symbol", T.StringType()), T.StructField("type", T.StringType()),
@@ -29,7 +30,6 @@ SWEEP_SCHEMA = T.StructType([
     T.StructField("max_dd", T.DoubleType()), T.StructField("win_rate", T.DoubleType()), T.StructField("decision", T.StringType()),
     T.StructField("strategy", T.StringType()), T.StructField("timestamp", T.TimestampType()),
 ])
-BAR_SCHEMA = "symbol string, tf string, time timestamp, open double, high double, low double, close double, volume long"
 EVENT_FIELDS = ("ts", "event", "ticket", "symbol", "side", "volume", "sl", "tp", "open_price", "open_time", "close_price", "profit", "reason")
 
 
@@ -48,45 +48,31 @@ def _existing(read) -> DataFrame | None:
 
 
 def load_bars(spark: SparkSession, path: str, symbol: str | None = None, tf: str | None = None, bars: int | None = None) -> DataFrame:
-    """Stored bars; symbol and timeframe prune partitions, ``bars`` keeps the newest rows."""
-    df = _existing(lambda: spark.read.schema(BAR_SCHEMA).parquet(path))
-    if df is None:
-        return _empty(spark, BAR_SCHEMA)
-    if symbol is not None:
-        df = df.where(F.col("symbol") == symbol)
-    if tf is not None:
-        df = df.where(F.col("tf") == tf)
+    """Stored bars of the newest version; ``bars`` keeps the newest rows and opens only the files that hold them."""
+    store = BarStore(spark, path)
     if bars is None:
-        return df
-    return newest_rows(df, bars, ["symbol", "tf"], TIMEFRAME_SECONDS.get(tf or "M1", 60))
-
-
-def _write_partitions(df: DataFrame, path: str) -> None:
-    out = df.select("symbol", "tf", *BAR_COLUMNS)
-    # spread a partition over tasks by time, so one symbol is not one writer
-    slot = F.floor(F.unix_seconds("time") / F.lit(86_400 * 30))
-    out.repartition("symbol", "tf", slot).sortWithinPartitions("symbol", "tf", "time").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("symbol", "tf").parquet(path)
+        return store.load(symbol, tf)
+    return store.page(bars, 0, None, symbol, tf, TIMEFRAME_SECONDS.get(tf or "M1", 60)).drop("total_available")
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """Replace the partitions of a bar table; duplicate times are rejected."""
+    """Replace the symbols and timeframes of a bar table in one step; duplicate times are rejected."""
     df = settle(df)
     bad = unique_times(df, ["symbol", "tf"]).where(~F.col("is_unique")).limit(1).count()
     if bad:
         raise SchemaMismatch("duplicate times in a bar table")
-    _write_partitions(df, path)
+    BarStore(df.sparkSession, path).replace(df)
 
 
 def write_if_not_smaller(df: DataFrame, path: str) -> DataFrame:
-    """Replace only partitions that do not lose rows; returns what was decided per partition."""
-    spark = df.sparkSession
+    """Replace only symbols and timeframes that do not lose rows; returns what was decided for each.
+
+    Stored rows are counted in the manifest, and all that is replaced changes at once.
+    """
     df = settle(df)
-    touched = df.select("symbol", "tf").distinct()
-    stored = load_bars(spark, path).join(touched, ["symbol", "tf"], "left_semi")  # only the partitions that would be replaced
-    verdict = settle(allowed_shrink(stored, df))
-    keep = verdict.where("accepted").select("symbol", "tf")
-    _write_partitions(df.join(keep, ["symbol", "tf"], "left_semi"), path)
+    store = BarStore(df.sparkSession, path)
+    verdict = settle(allowed_shrink(store.counts(), df))
+    store.replace(df.join(verdict.where("accepted").select("symbol", "tf"), ["symbol", "tf"], "left_semi"))
     return verdict
 
 
