@@ -88,6 +88,36 @@ def test_words_are_the_same_whatever_the_chunk(monkeypatch):
     assert whole[3].tolist()[:4] == [False, True, False, True]
 
 
+def test_lines_end_with_pieces_and_lose_no_phrase(monkeypatch):
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 1
+
+    monkeypatch.setattr(phrases, "TaskContext", Task)
+    rng = random.Random(2)
+    texts = [". ".join(" ".join(rng.choices("abcdefg", k=rng.randint(0, 30))) for _ in range(20)) for _ in range(30)] + [None, "", "a " * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array([("x", "y")[i % 2] for i in range(len(texts))]), pa.array(texts)], ["lang", "text"])
+
+    def counted(lines):
+        monkeypatch.setattr(phrases, "LINE", lines)
+        got, words = Counter(), Counter()
+        for b in phrases._tokens(iter([batch])):
+            for lang, shard, n, line in zip(*(c.to_pylist() for c in b.columns)):
+                line = np.frombuffer(line, np.uint64)
+                words[lang] += n
+                assert shard == 1 and n == (line > 0).sum() and (lines > 1000 or len(line) < lines + 450)
+                for x in (line, *phrases.grams(line)):
+                    got.update(x[x > 0].tolist())
+        return got, words
+
+    assert counted(1 << 15) == counted(16) == counted(1)
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 123_456_789_012_345, 523_456_789_012_347, 999_999_999_999_989
     rows = [("en", "p q", 2, a), ("en", "p", 1, left), ("en", "q", 1, right)]

@@ -32,7 +32,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.series import ranged, with_position
 from .common import lookup, numbers, settled, text_of
 from .words import LOWER, hashed, mix, slices, spans, utf8
 
@@ -45,6 +44,7 @@ SLICE = 2 << 20       # bytes of text counted at a time
 CHUNK = 1 << 18       # bytes of text cut into words at a time
 COUNTED = 1 << 20     # words, pairs or triples counted together in a task
 FILTER_BITS = 1 << 28
+LINE = 1 << 15        # words of a line, and as many more as its last piece has
 ROW_GROUP = 8 << 20   # a reader holds a group's lines at once
 MILLION = 1_000_000
 
@@ -103,7 +103,7 @@ def cut_words(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per language of a slice: shard, number of words, and the words' hashes; 0 ends a piece."""
+    """Lines of a slice's words by language: shard, number of words, and the words' hashes; 0 ends a piece, and lines end there."""
     shard = TaskContext.get().partitionId() % SHARDS
     for batch in slices(batches, 1, SLICE):
         langs = batch.column(0).to_pylist()
@@ -121,7 +121,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = np.arange(len(mine)) + np.cumsum(~follows[mine])
                 line = np.zeros(int(place[-1]) + 2, np.uint64)
                 line[place] = h[mine]
-                rows.append((names[k], shard, len(mine), line.tobytes()))
+                ends = np.flatnonzero(line == 0)
+                cuts = np.unique(ends[np.searchsorted(ends, np.arange(LINE, len(line), LINE)).clip(max=len(ends) - 1)])
+                rows += [(names[k], shard, int(np.count_nonzero(part)), part.tobytes()) for part in np.split(line, cuts)]
         if rows:
             lang, shards, count, lines = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(shards, pa.int64()), pa.array(count, pa.int64()), pa.array(lines, pa.binary())],
@@ -345,6 +347,8 @@ def scored(phrases: DataFrame, keep_percent: int = KEEP_PERCENT) -> DataFrame:
 
 def collocations(docs: DataFrame, support: int = SUPPORT, first: int = FIRST) -> DataFrame:
     """Each language's ``first`` phrases: lang, rank, phrase, a, l, r, n and score."""
+    from ..operators.series import ranged, with_position  # not with the module: Python workers would load pandas
+
     phrases, totals = frequent_phrases(docs, support)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     placed = with_position(ranged(scored(phrases), ["lang"], order), ["lang"], order, F.col("_rb"), "_at")
