@@ -102,6 +102,8 @@ def address(text: str = "text"):
 def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Scan what the ledger at ``ledger`` has not seen, append it there, and return the ledger's rows as a table.
 
+    Scans may overlap: both then append what neither saw, so a blob and rule version can have several equal rows.
+
     ``versions`` has a ``text`` column, one row per path and version.
     """
     spark = versions.sparkSession
@@ -124,7 +126,8 @@ def findings(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) ->
     kind = lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["rule"]).alias("rank"), s["stop"].alias("stop"))
     valid = F.filter("found", lambda s: s["rule"].isin(*current))
     hits = book.where(F.size(valid) > 0).select("blob", F.transform(valid, kind).alias("_found"))
-    hits = settled(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("found")), "findings")
+    # scans that overlapped, or ran again after a lost append, leave a blob's rows more than once: each span counts once
+    hits = settled(hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_found")))).alias("found")), "findings")
     kept = [c for c in versions.columns if c.lower() not in ("text", "found", "blob")]
     paths = settled(versions.select(*named(kept), address().alias("blob")), "paths")
     names = F.array(*[F.lit(r.kind) for r in rules])

@@ -14,13 +14,19 @@ of results likewise, the numbers of both are kept; a null id or conversation lin
 with nothing (``no_id``); results without a call are rows of their own
 (``orphan_result``); calls in or behind a circle come last in turn order (``cycle``);
 unknown references are ignored; arguments that are no JSON object, and calls of
-tools without a schema, are invalid; empty tables give no rows.
+tools without a schema, are invalid; empty tables give no rows.  Arguments and schemas of
+any text are given an error of their own: no JSON, nested deeper than ``DEPTH``, numbers
+beyond a double or ``DIGITS``, lone surrogates; a schema that is malformed is ``bad schema``
+and one with a word that is not checked ``unsupported``, so that no call passes unchecked.
+A very long text takes the memory of its JSON value in one task.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections import defaultdict
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +37,11 @@ from .common import lookup, settled
 
 GROUP_CALLS = 20_000
 
+DEPTH = 100    # levels of nesting that are read
+DIGITS = 4000  # of an integer
+
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+KINDS = {*TYPES, "integer", "number"}
 
 
 def _plain(value):
@@ -47,6 +57,50 @@ def canonical(value) -> str:
     return json.dumps(_plain(value), ensure_ascii=False, separators=(",", ":"), allow_nan=False)
 
 
+class Fault(ValueError):
+    """A named reason why a text is no usable JSON."""
+
+
+def _no(constant: str):
+    raise Fault("not json")
+
+
+def _float(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise Fault("number out of range")
+    return value
+
+
+def _int(digits: str) -> int:
+    if len(digits) > DIGITS:
+        raise Fault("number out of range")
+    return int(digits)
+
+
+def parse(text: str):
+    """The JSON value of a text; ``Fault`` names what is wrong with it."""
+    try:
+        value = json.loads(text, parse_constant=_no, parse_float=_float, parse_int=_int)
+    except RecursionError:
+        raise Fault("too deep") from None
+    except Fault:
+        raise
+    except ValueError:
+        raise Fault("not json") from None
+    level, here = 0, [value]
+    while here:
+        level += 1
+        if level > DEPTH:
+            raise Fault("too deep")
+        here = [v for x in here if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, (dict, list))]
+    try:
+        json.dumps(value, ensure_ascii=False).encode()
+    except UnicodeEncodeError:
+        raise Fault("lone surrogate") from None
+    return value
+
+
 def _is(value, kind: str) -> bool:
     if kind == "integer":
         return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and value.is_integer())
@@ -55,23 +109,84 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, TYPES[kind])
 
 
-def problem(value, schema: dict, path: str = "$") -> str | None:
-    """The first way in which ``value`` breaks the schema, or null.
+def same_json(a, b) -> bool:
+    """Equality of JSON values: numbers by value, and no number equals true or false."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same_json(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same_json, a, b))
+    return type(a) is type(b) and a == b or _is(a, "number") and _is(b, "number") and a == b
 
-    Known words: type, enum, required, properties, additionalProperties, items,
-    minimum, maximum, minLength, maxLength.
-    """
+
+def _count(x) -> bool:
+    return _is(x, "integer") and x >= 0
+
+
+def _schemas(x) -> bool:
+    return isinstance(x, list) and bool(x)
+
+
+#: schema words and what their values must be
+_WORDS = {
+    "type": lambda x: isinstance(x, str) and x in KINDS or isinstance(x, list) and bool(x) and all(isinstance(k, str) and k in KINDS for k in x),
+    "enum": lambda x: isinstance(x, list), "const": lambda x: True,
+    "required": lambda x: isinstance(x, list) and all(isinstance(n, str) for n in x),
+    "properties": lambda x: isinstance(x, dict), "additionalProperties": lambda x: isinstance(x, (bool, dict)), "items": lambda x: isinstance(x, (bool, dict)),
+    "minimum": lambda x: _is(x, "number"), "maximum": lambda x: _is(x, "number"), "exclusiveMinimum": lambda x: _is(x, "number"), "exclusiveMaximum": lambda x: _is(x, "number"),
+    "multipleOf": lambda x: _is(x, "number") and x > 0, "minLength": _count, "maxLength": _count, "minItems": _count, "maxItems": _count,
+    "minProperties": _count, "maxProperties": _count, "uniqueItems": lambda x: isinstance(x, bool),
+    "anyOf": _schemas, "oneOf": _schemas, "allOf": _schemas, "not": lambda x: isinstance(x, (bool, dict)),
+}
+#: words that say nothing about a value
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
+
+
+def schema_fault(schema) -> str | None:
+    """Why a schema cannot be checked against: ``bad schema: <word>`` or ``unsupported: <word>``; else null."""
+    if isinstance(schema, bool):
+        return None
+    if not isinstance(schema, dict):
+        return "bad schema: no object"
+    for word in sorted(schema):
+        if word in _NOTES:
+            continue
+        if word not in _WORDS:
+            return f"unsupported: {word}"
+        if not _WORDS[word](schema[word]):
+            return f"bad schema: {word}"
+        inner = schema[word]
+        parts = inner.values() if word == "properties" else inner if word in ("anyOf", "oneOf", "allOf") else [inner] if word in ("additionalProperties", "items", "not") else ()
+        for part in parts:
+            if found := schema_fault(part):
+                return found
+    return None
+
+
+def problem(value, schema, path: str = "$") -> str | None:
+    """The first way in which ``value`` breaks a schema without ``schema_fault``, or null."""
+    if isinstance(schema, bool):
+        return None if schema else f"{path}: nothing allowed"
     kinds = schema.get("type")
     if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{path}: type"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same_json(value, x) for x in schema["enum"]):
         return f"{path}: enum"
-    if _is(value, "number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        return f"{path}: range"
+    if "const" in schema and not same_json(value, schema["const"]):
+        return f"{path}: const"
+    if _is(value, "number"):
+        low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        if not schema.get("minimum", value) <= value <= schema.get("maximum", value) or low is not None and value <= low or high is not None and value >= high:
+            return f"{path}: range"
+        if "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            return f"{path}: multiple"
     if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
         return f"{path}: length"
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, other = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return f"{path}: size"
         for name in schema.get("required", ()):
             if name not in value:
                 return f"{path}.{name}: required"
@@ -79,31 +194,52 @@ def problem(value, schema: dict, path: str = "$") -> str | None:
             if name in known:
                 if found := problem(value[name], known[name], f"{path}.{name}"):
                     return found
-            elif schema.get("additionalProperties") is False:
+            elif other is False:
                 return f"{path}.{name}: unknown"
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
+            elif found := problem(value[name], other, f"{path}.{name}"):
+                return found
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{path}: size"
+        if schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
+            return f"{path}: repeated"
+        for i, v in enumerate(value if "items" in schema else ()):
             if found := problem(v, schema["items"], f"{path}[{i}]"):
                 return found
+    for word, wanted in (("allOf", None), ("anyOf", 1), ("oneOf", 1)):
+        if word in schema:
+            fits = sum(problem(value, s, path) is None for s in schema[word])
+            if word == "allOf" and fits < len(schema[word]) or word == "anyOf" and not fits or word == "oneOf" and fits != wanted:
+                return f"{path}: {word}"
+    if "not" in schema and problem(value, schema["not"], path) is None:
+        return f"{path}: not"
     return None
 
 
-def _no(constant: str):
-    raise ValueError(constant)
+def _schema_of(text: str) -> tuple[object, str | None]:
+    try:
+        schema = parse(text)
+    except Fault as f:
+        return None, f"bad schema: {f}"
+    return schema, schema_fault(schema)
+
+
+def check_arguments(raw: str | None, schema: object, fault: str | None) -> tuple[bool, str | None, str | None]:
+    """Whether the arguments are valid, else why not, and their canonical form where they are JSON."""
+    try:
+        value = parse(raw) if raw is not None else None
+    except Fault as f:
+        return False, f"$: {f}", None
+    error = fault or (problem(value, schema) if isinstance(value, dict) else "$: type")
+    return error is None, error, canonical(value)
 
 
 def _checked(arguments: pd.Series, schema: pd.Series) -> pd.DataFrame:
-    out, parsed = [], {}
+    out, known = [], {None: (None, "no schema")}
     for raw, text in zip(arguments, schema):
-        try:
-            value = json.loads(raw, parse_constant=_no) if raw is not None else None
-        except ValueError:
-            out.append((False, "$: not json", None))
-            continue
-        if text is not None and text not in parsed:
-            parsed[text] = json.loads(text)
-        error = "no schema" if text is None else "$: type" if not isinstance(value, dict) else problem(value, parsed[text])
-        out.append((error is None, error, canonical(value)))
+        if text not in known:
+            known[text] = _schema_of(text)
+        out.append(check_arguments(raw, *known[text]))
     return pd.DataFrame(out, columns=["valid", "error", "arguments"])
 
 
