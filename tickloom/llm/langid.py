@@ -82,15 +82,15 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     """Weights and bias of a linear support vector machine; y is 1 or -1; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
     cost = np.where(y > 0, COST * len(y) / (2 * max(1, (y > 0).sum())), COST * len(y) / (2 * max(1, (y < 0).sum())))
-    w, alpha, square = np.zeros(x.shape[1]), np.zeros(len(y)), (x * x).sum(1)
+    w, alpha, row = np.zeros(x.shape[1] + 1), np.zeros(len(y)), np.ones(x.shape[1] + 1)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0.0), cost[i])
+            row[:-1] = x[i]  # only one row at a time is held as doubles
+            new = min(max(alpha[i] - (y[i] * (row @ w) - 1) / (row @ row), 0.0), cost[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
     return w
 
@@ -105,7 +105,9 @@ def _fit_pair(rows: pd.DataFrame) -> pd.DataFrame:
             k = int(rng.integers(0, len(words) - SLICE_WORDS))
             texts.append(" ".join(words[k : k + int(rng.integers(1, SLICE_WORDS + 1))]))
             side.append(s)
-    x = np.concatenate([v for _, _, v, _ in features(pa.array(texts))])
+    x = np.empty((len(texts), 1 << BITS), np.float32)
+    for i, j, v, _ in features(pa.array(texts)):
+        x[i:j] = v
     w = fit(x, np.where(np.array(side), 1.0, -1.0), 7)
     return pd.DataFrame({"pair": [rows["pair"][0]], "weights": [w.astype(np.float64).tobytes()]})
 
