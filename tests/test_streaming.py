@@ -132,6 +132,25 @@ def test_quotes_answer_orders_when_the_watermark_passes(spark, tmp_path):
     assert seen[0] == 0 and seen[-1] == len(want)
 
 
+def state_rows(stream, folder):
+    """Most rows that the stream's state held at a time."""
+    with L.state_partitions(stream.sparkSession):
+        q = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators)
+
+
+def test_quotes_of_many_slots_share_a_key(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    df = spark.createDataFrame(pd.DataFrame([("A", start + pd.Timedelta(seconds=20 * k), k, 1.0, 2.0) for k in range(500)], columns=["symbol", "time", "seq", "bid", "ask"]))
+    df.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    orders = s.select(F.col("seq").alias("order_id"), "symbol", F.col("time").alias("order_time"))
+    assert state_rows(K.quote_stream(orders, s), tmp_path) < 50
+    few, _ = in_turn(spark, tmp_path / "few", [df.where("seq < 200"), df.where("seq >= 200")], lambda s: K.quote_stream(s.select(F.col("seq").alias("order_id"), "symbol", F.col("time").alias("order_time")), s, slots=30))
+    assert few.where("not stale and bid = 1.0").count() == few.count() == few.select("order_id").distinct().count() == 496
+
+
 def test_silent_sources_are_reported(spark, tmp_path):
     start = pd.Timestamp("2024-01-01")
     beats = [("a", s) for s in range(0, 400, 5)] + [("b", s) for s in [0, 5, 12, 40, 41, 56, 70.5]] + [("c", 0), ("c", 390)]
