@@ -67,6 +67,14 @@ def test_spread_sink_carries_its_tail(spark, tmp_path, ticks):
     assert got.avg_spread.tolist() == pytest.approx(want.avg_spread.tolist())
 
 
+def state_rows(stream, folder):
+    """Most rows that the stream's state held at a time."""
+    with L.state_partitions(stream.sparkSession):
+        q = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators)
+
+
 def snapshots(spark):
     polls = pd.date_range("2024-01-01", periods=12, freq="h").to_pydatetime()
     rows = [(1, p, "A", 1.0 + (i > 2), 2.0, 0.1) for i, p in enumerate(polls) if i != 4] + [(2, p, "B", 1.0, 2.0, 0.1 + 0.1 * (i % 2)) for i, p in enumerate(polls)]
@@ -112,6 +120,17 @@ def test_first_close_of_each_ticket_over_restarts(spark, tmp_path):
     assert seen == [2, 3, 4, 5]
 
 
+def test_many_tickets_share_a_key(spark, tmp_path):
+    rows = [(t, f"2024-01-01 0{h}:00:00", 1.0 + ((t or 0) % 2) * h) for t in [None, *range(3000)] for h in range(2)]
+    df = spark.createDataFrame(rows, "ticket long, at string, sl double").select("ticket", F.col("at").cast("timestamp").alias("poll"), F.lit("A").alias("symbol"), "sl", F.lit(2.0).alias("tp"), F.lit(0.1).alias("volume"))
+    df.write.parquet(str(tmp_path / "in"))
+    assert state_rows(K.position_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), tmp_path) < 3000
+    got, seen = in_turn(spark, tmp_path / "few", [df.where("hour(poll) = 0"), df.where("hour(poll) = 1")], lambda s: K.position_stream(s, s.where("ticket % 3 = 0"), buckets=4))
+    by = {(r.event, r.ticket is None, tuple(r.changes)): r["count"] for r in got.groupBy("event", "ticket", "changes").count().groupBy("event", F.expr("if(ticket is null, null, 1)").alias("ticket"), "changes").agg(F.sum("count").alias("count")).collect()}
+    assert by == {("opened", False, ()): 3000, ("opened", True, ()): 1, ("modified", False, ("sl",)): 1500, ("closed", False, ()): 1000}
+    assert seen == [4001, 5501]
+
+
 def test_quotes_answer_orders_when_the_watermark_passes(spark, tmp_path):
     start = pd.Timestamp("2024-01-01")
     quotes = [("A", start + pd.Timedelta(seconds=s), i, 1.0 + i, 1.1 + i) for i, s in enumerate([0, 3, 9.5, 9.5, 30, 61, 200, 400])] + [("B", start + pd.Timedelta(seconds=31), 50, 0.0, 5.0)]
@@ -132,14 +151,6 @@ def test_quotes_answer_orders_when_the_watermark_passes(spark, tmp_path):
     assert seen[0] == 0 and seen[-1] == len(want)
 
 
-def state_rows(stream, folder):
-    """Most rows that the stream's state held at a time."""
-    with L.state_partitions(stream.sparkSession):
-        q = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    return max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators)
-
-
 def test_quotes_of_many_slots_share_a_key(spark, tmp_path):
     start = pd.Timestamp("2024-01-01")
     df = spark.createDataFrame(pd.DataFrame([("A", start + pd.Timedelta(seconds=20 * k), k, 1.0, 2.0) for k in range(500)], columns=["symbol", "time", "seq", "bid", "ask"]))
