@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .series import Blocks, earlier_ranked, ranged, settle, with_position
+from .series import Blocks, by_rows, earlier_ranked, ranged, settle, with_position
 
 COMBO = ("symbol", "timeframe", "strategy")
 # Thresholds of the log checks.
@@ -219,7 +219,7 @@ def neighbours(current: DataFrame) -> DataFrame:
     """
     steps = [(m, d) for m in (1, 2, 3, 5) for d in (1, -1)]
     moves = F.array(*[F.struct(F.lit(i).cast("long").alias("priority"), F.lit(float(m * d)).alias("by")) for i, (m, d) in enumerate(steps)])
-    x = current.withColumn("_m", F.explode(moves))
+    x = by_rows(current, ["param"], len(steps)).withColumn("_m", F.explode(moves))  # grouped below within these partitions
     value = F.bround(F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("old") + F.col("_m.by") * F.col("step"))), 4)
     out = x.select("param", "old", F.col("_m.priority").alias("priority"), value.alias("value")).where(F.col("value") != F.col("old"))
     return out.groupBy("param", "old", "value").agg(F.min("priority").alias("priority"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import money
 from .bars import resample
 from .indicators import placed
-from .series import Blocks, settle
+from .series import Blocks, by_rows, settle
 
 
 def news_blackout(bars: DataFrame, calendar: DataFrame, minutes: int = 30, blocked: bool = False) -> DataFrame:
@@ -105,4 +105,13 @@ def combos(symbols: DataFrame, timeframes: DataFrame, strategies: DataFrame) ->
 
 
 def without_visited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
-    return candidates.join(visited, ["param", "value"], "left_anti")
+    """Candidates whose (param, value) is not among the visited ones.
+
+    Both are cut by that pair into as many partitions as their rows need, so a task's
+    memory does not follow the input.  The pair is one text: it is exact, and Spark
+    joins on it as it was cut.
+    """
+    spot = F.concat(F.col("param").cast("string"), F.lit(" "), (F.col("value") + F.lit(0.0)).cast("string")).alias("_spot")  # 0.0 and -0.0 are one value
+    rows = visited.count() + candidates.count()  # a number
+    left, right = (by_rows(df, ["_spot"], rows=rows) for df in (candidates.select("*", spot), visited.select(spot)))
+    return left.join(right, "_spot", "left_anti").select("param", "value", *[c for c in candidates.columns if c not in ("param", "value")])
