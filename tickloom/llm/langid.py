@@ -95,6 +95,28 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     return w
 
 
+class _Rows:
+    """Rows kept as their non-zero places and values; a row is asked for, one at a time, as a whole."""
+
+    def __init__(self, width: int) -> None:
+        self.row, self.places, self.values = np.zeros(width, np.float32), [], []
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.places), len(self.row)
+
+    def add(self, rows: np.ndarray) -> None:
+        for row in rows:
+            at = np.flatnonzero(row)
+            self.places.append(at.astype(np.uint16))  # 1 << BITS places at most
+            self.values.append(row[at])
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        self.row[:] = 0
+        self.row[self.places[i]] = self.values[i]
+        return self.row
+
+
 def _fit_pair(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["side", "text"], ignore_index=True)
     rng = np.random.default_rng(len(rows))
@@ -105,9 +127,9 @@ def _fit_pair(rows: pd.DataFrame) -> pd.DataFrame:
             k = int(rng.integers(0, len(words) - SLICE_WORDS))
             texts.append(" ".join(words[k : k + int(rng.integers(1, SLICE_WORDS + 1))]))
             side.append(s)
-    x = np.empty((len(texts), 1 << BITS), np.float32)
-    for i, j, v, _ in features(pa.array(texts)):
-        x[i:j] = v
+    x = _Rows(1 << BITS)
+    for _, _, v, _ in features(pa.array(texts)):
+        x.add(v)
     w = fit(x, np.where(np.array(side), 1.0, -1.0), 7)
     return pd.DataFrame({"pair": [rows["pair"][0]], "weights": [w.astype(np.float64).tobytes()]})
 
