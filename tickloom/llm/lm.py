@@ -35,7 +35,8 @@ VOCABULARY = 1022
 KNOWN_WORDS = 1 << 20       # longest broadcast table of counts
 WARM_DOCS = 1500            # for the first weights, in one task
 BUCKET_BYTES = 8 << 20     # of text, for one bucket of words
-SLICE_BYTES = 4 << 20       # of text, worked on at a time
+SLICE_BYTES = 4 << 20       # of text, trained on at a time
+COUNT_BYTES = 1 << 20       # of text, counted at a time
 END, OTHER = 0, 1
 
 
@@ -70,7 +71,7 @@ def count_words(docs: DataFrame, learn) -> Counts:
     buckets = int(size // BUCKET_BYTES) + 1
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, SLICE_BYTES):
+        for batch in slices(batches, 0, COUNT_BYTES):
             h, n = np.unique(Words(batch.column(0)).hash, return_counts=True)
             order = _by_bucket(h, buckets)
             h, n = h[order], n[order]
