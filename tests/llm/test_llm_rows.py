@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -236,6 +237,53 @@ def test_recurrent_model_scores_learns_and_has_true_gradients():
         assert abs(slope - moved[k]) < 0.05 * max(1.0, abs(slope))
 
 
+def test_recurrent_model_works_on_whole_windows():
+    rng = np.random.default_rng(1)
+    size = rng.integers(16, 200, 128)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    ids = rng.integers(1, 1000, offsets[-1]).astype(np.int32)
+    ids[offsets[1:] - 1] = 0
+    model = Gru(np.bincount(ids, minlength=1024).astype(float))
+    start, calls = {k: v.copy() for k, v in model.p.items()}, 0
+
+    def count(frame, event, what):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    windows, made = -(-int(size.max()) // 16), []
+    for run in (model.learn, model.score):
+        calls = 0
+        sys.setprofile(count)
+        try:
+            run(ids, offsets)
+        finally:
+            sys.setprofile(None)
+        made.append(calls / windows)
+    assert made[0] < 600 and made[1] < 300  # 974 and 577 when each class and step made its own arrays
+    missing = np.setdiff1d(np.arange(1024), ids)
+    assert len(missing) and (model.p["win"][missing] == start["win"][missing]).all() and (model.cache["win"][missing] == np.float32(1e-3)).all()
+    met = np.unique(ids)[1:]  # no state follows the end
+    assert (model.p["win"][met] != start["win"][met]).any(1).all()
+
+
+def test_ids_of_frequent_words_need_no_table_of_all_words(monkeypatch):
+    rng = np.random.default_rng(2)
+    h = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    c = rng.integers(1, 9, len(h))
+    monkeypatch.setattr(lm, "VOCABULARY", 40)
+    monkeypatch.setattr(lm, "known_counts", lambda counts: (h, c, 1))
+    known = lm.Vocabulary(lm.Counts(int(c.sum()) + 5, len(h) + 1, 5, 1, None))
+    asked = np.concatenate([rng.choice(h, 3000), rng.integers(0, 1 << 63, 50).astype(np.uint64)])
+    at = known.find(asked)
+    assert (h[at[at >= 0]] == asked[at >= 0]).all() and not np.isin(asked[at < 0], h).any()
+    ids = known.ids_of(asked)
+    assert (ids == known.ids[at]).all() and len(np.unique(ids)) == 41
+    assert len(known.frequent) == 40
+    monkeypatch.setattr(lm, "known_counts", lambda counts: (h[:0], c[:0], 1))
+    none = lm.Vocabulary(lm.Counts(5, 1, 5, 1, None))
+    assert (none.ids_of(asked) == lm.OTHER).all() and (none.find(asked) == -1).all()
+
+
 @pytest.mark.parametrize("table", [1 << 20, 30])
 def test_language_model_counts(spark, monkeypatch, table):
     monkeypatch.setattr(lm, "KNOWN_WORDS", table)

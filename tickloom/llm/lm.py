@@ -116,6 +116,8 @@ class Vocabulary:
         top = np.lexsort((self.h, -self.c))[:VOCABULARY]
         self.ids = np.full(len(self.h) + 1, OTHER, np.int32)
         self.ids[top] = np.arange(len(top)) + 2
+        top_by_hash = np.sort(top)
+        self.frequent, self.frequent_ids = self.h[top_by_hash], self.ids[top_by_hash]
         inside = int(self.c[top].sum())
         self.tokens, self.distinct = counts.tokens, counts.distinct
         self.other_tokens = counts.tokens - counts.docs - inside
@@ -127,14 +129,22 @@ class Vocabulary:
         """Place of each word in the table of known counts; -1 for the others."""
         if not len(self.h):
             return np.full(len(h), -1)
+        h, back = np.unique(h, return_inverse=True)  # each word is looked up once, in the table's order
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        return np.where(self.h[at] == h, at, -1)[back]
 
-    def sequences(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents, each closed by the end, and the offsets."""
+    def ids_of(self, h: np.ndarray) -> np.ndarray:
+        """Id of each word, from the short table of the frequent ones alone."""
+        if not len(self.frequent):
+            return np.full(len(h), OTHER, np.int32)
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == h, self.frequent_ids[at], np.int32(OTHER))
+
+    def sequences(self, words: Words, of_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, given those of their words, each document closed by the end, and the offsets."""
         offsets = words.offset + np.arange(words.n + 1)
         ids = np.full(int(offsets[-1]), END, np.int32)
-        ids[np.arange(len(at)) + words.doc] = self.ids[at]  # -1 takes the last entry: OTHER
+        ids[np.arange(len(of_words)) + words.doc] = of_words
         return ids, offsets
 
 
@@ -150,7 +160,7 @@ def _train(docs: DataFrame, vocabulary, start: np.ndarray | None) -> np.ndarray
         for batch in slices(batches, 0, SLICE_BYTES):
             words = Words(batch.column(0))
             if words.n:
-                ids, offsets = known.sequences(words, known.find(words.hash))
+                ids, offsets = known.sequences(words, known.ids_of(words.hash))
                 model.learn(ids, offsets)
                 seen, part = seen + len(ids), part or int(words.hash[:1].sum() % np.uint64(1 << 20))
         if seen:
@@ -194,14 +204,15 @@ def score(docs: DataFrame, counts: Counts, vocabulary, weights: np.ndarray, held
             base, n = batch.column(1)[0].as_py(), batch.num_rows
             words = Words(batch.column(3))
             at = v.find(words.hash)
-            ids, offsets = v.sequences(words, at)
+            of_words = v.ids[at]  # -1 takes the last entry: OTHER
+            ids, offsets = v.sequences(words, of_words)
             chance = model.score(ids, offsets) / np.log(10)
             found = at >= 0
-            other = np.bincount(words.doc, weights=v.ids[at] == OTHER, minlength=n)
+            other = np.bincount(words.doc, weights=of_words == OTHER, minlength=n)
             part = np.zeros(len(at))
             part[found] = logs[at[found]]
             both = np.bincount(words.doc, weights=part, minlength=n)
-            outside = np.bincount(words.doc, weights=part * (v.ids[at] == OTHER), minlength=n)
+            outside = np.bincount(words.doc, weights=part * (of_words == OTHER), minlength=n)
             ask, back = np.unique(words.hash[~found], return_inverse=True)
             order = _by_bucket(ask, buckets)
             place = np.empty(len(order), np.uint32)
