@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup, named, numbers, settled, text_of
+from .common import BROADCAST_ROWS, lookup, named, numbers, released, settled, text_of
 from .graph import components
 from .words import Words, mix, sets, slices
 
@@ -246,7 +246,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     same = F.size(F.array_intersect("ma", "mb"))
     true = named.join(a, "x").join(b, "y").where(same * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select(F.col("rx").alias("a"), F.col("ry").alias("b"))
     merged = components(true).withColumnsRenamed({"node": "_n", "root": "_r"})
-    return settled(roots.join(merged, F.col("root") == F.col("_n"), "left").select("id", F.coalesce("_r", "root").alias("root")), "roots")
+    roots = settled(roots.join(merged, F.col("root") == F.col("_n"), "left").select("id", F.coalesce("_r", "root").alias("root")), "roots")
+    released(roots.sparkSession)
+    return roots
 
 
 def _link_inside(grouped: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -309,6 +311,7 @@ def links(classes: DataFrame) -> DataFrame:
     sizes = settled(sizes.select("gid", F.monotonically_increasing_id().alias("g"), "n", "prefix"), "groups")
     grouped = settled(cut.join(sizes.select("gid", "g"), "gid").select("id", "g"), "members")
     roots = settled(grouped.select("id", F.col("id").alias("root")), "roots")
+    released(classes.sparkSession)
     roots = _link_inside(grouped, classes, roots)
     return _link_between(sizes, grouped, classes, roots)
 
@@ -316,7 +319,9 @@ def links(classes: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component_id and component (a key that no id decides) for every row of ``docs``."""
     rows = profiles(docs.select("doc_id", "text"))
+    released(docs.sparkSession)
     classes = class_sets(docs, rows)
+    released(docs.sparkSession)
     roots = links(classes)
     smallest = settled(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "smallest")
     tied = smallest.join(classes.select("sig", "id"), "sig").join(roots, "id").select("sig", "root", "first")
