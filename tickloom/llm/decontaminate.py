@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .words import LETTERS, Words, slices
+from .words import LETTERS, Words, give_back, slices
 
 SEED_WORDS = 5
 SHARE = 0.6
@@ -198,6 +198,7 @@ def _cleaner(block, share: float):
         for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], 0, SLICE_BYTES):
             out[[first + d for d in _matches(block.value, part.column(0), share)]] = False
             first += part.num_rows
+        give_back()
         return pa.array(out)
 
     return clean

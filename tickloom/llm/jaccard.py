@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, lookup, named, numbers, released, settled, text_of
 from .graph import components
-from .words import Words, mix, sets, slices
+from .words import Words, give_back, mix, sets, slices, tidy
 
 SHINGLE = 5
 PERCENT = 80
 BUCKET_BYTES = 8 << 20     # of text, for one bucket of shingles
-SLICE_BYTES = 4 << 20      # of text, worked on at a time
+SLICE_BYTES = 4 << 20      # of text, worked on at a time; each gives a row for each bucket
+SET_BYTES = 1 << 20        # of text, made sets of at a time
 FREQUENT = 1 << 20          # longest broadcast list of frequent shingles
 FIRST_HUBS, MORE_HUBS = 2, 8
 NOBODY = np.uint32(0xFFFFFFFF)
@@ -104,6 +105,7 @@ _COLUMNS = ["bucket", "base", "fps", "owners", "place", "doc_id", "key", "n", "s
 
 def _count(table: pa.Table) -> pa.Table:
     """Fingerprints of one bucket: how many of each owner's stand under another record too; documents pass through."""
+    give_back()  # what the bucket before held
     table = table.combine_chunks()
     packed = table.filter(pc.is_valid(table["fps"]))
     rows = table.filter(pc.is_valid(table["place"]))
@@ -148,13 +150,13 @@ def profiles(docs: DataFrame) -> DataFrame:
     buckets = int(size // BUCKET_BYTES) + 1
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), key_of().alias("key"), text_of().alias("text"))
-    packed = rows.mapInArrow(_scatter(buckets), f"bucket int, base long, fps binary, owners binary, place int, doc_id {kind}, key binary, n long, sig binary, shared long")
+    packed = rows.mapInArrow(tidy(_scatter(buckets)), f"bucket int, base long, fps binary, owners binary, place int, doc_id {kind}, key binary, n long, sig binary, shared long")
     counted = packed.groupBy("bucket").applyInArrow(_count, f"base long, owners binary, place int, doc_id {kind}, key binary, n long, sig binary, shared long, counts binary")
     return settled(counted.groupBy("base").applyInArrow(_gather, f"doc_id {kind}, key binary, n long, sig binary, shared long"), "profiles")
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1, SLICE_BYTES):
+    for batch in slices(batches, 1, SET_BYTES):
         g, _, offsets = sets(Words(batch.column(1)), SHINGLE)
         flat = pa.array(g.astype(np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["sig", "members"])
@@ -166,7 +168,7 @@ def class_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = settled(able.groupBy("sig").agg(F.min("key").alias("key"), F.max("n").alias("n")), "wanted")
     texts = docs.select(key_of().alias("key"), text_of().alias("text"))
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # 40 bytes a row
-    found = texts.join(small, "key").select("sig", "text").mapInArrow(_class_sets, "sig binary, members array<long>")
+    found = texts.join(small, "key").select("sig", "text").mapInArrow(tidy(_class_sets), "sig binary, members array<long>")
     once = found.groupBy("sig").agg(F.first("members").alias("members"))
     return settled(once.select(F.monotonically_increasing_id().alias("id"), "sig", F.size("members").cast("long").alias("n"), "members"), "sets")
 
@@ -306,7 +308,7 @@ def _link_between(sizes: DataFrame, grouped: DataFrame, classes: DataFrame, root
 def links(classes: DataFrame) -> DataFrame:
     """``id`` and ``root`` of every class: the smallest id it is connected with by links."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent(classes))
-    cut = settled(classes.select("id", "n", "members").mapInArrow(_prefixes(shared), "id long, n long, gid binary, prefix array<long>"), "prefixes")
+    cut = settled(classes.select("id", "n", "members").mapInArrow(tidy(_prefixes(shared)), "id long, n long, gid binary, prefix array<long>"), "prefixes")
     sizes = cut.groupBy("gid").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     sizes = settled(sizes.select("gid", F.monotonically_increasing_id().alias("g"), "n", "prefix"), "groups")
     grouped = settled(cut.join(sizes.select("gid", "g"), "gid").select("id", "g"), "members")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, named
-from .words import pieces, utf8
+from .words import give_back, pieces, utf8
 
 TRAIN_DOCS = 600      # bound of the sample, per language
 SLICES, SLICE_WORDS = 2, 8   # short slices of each training text, so that short texts are learnt too
@@ -131,6 +131,8 @@ def _fit_pair(rows: pd.DataFrame) -> pd.DataFrame:
     for _, _, v, _ in features(pa.array(texts)):
         x.add(v)
     w = fit(x, np.where(np.array(side), 1.0, -1.0), 7)
+    x = v = texts = None
+    give_back()
     return pd.DataFrame({"pair": [rows["pair"][0]], "weights": [w.astype(np.float64).tobytes()]})
 
 
@@ -180,6 +182,8 @@ class Model:
                 names, chance = self.predict(x)
                 pred[i:j] = np.where(letter, np.array(names, object), UNKNOWN)
                 score[i:j] = np.where(letter, chance, 0.0)
+            x = names = chance = letter = None
+            give_back()
         return pred, score
 
 

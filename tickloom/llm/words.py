@@ -7,8 +7,9 @@ in pieces of about one megabyte of text; only word-level arrays are kept longer.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,26 @@ _FNV = np.uint64(0x100000001B3)
 _SEED = np.uint64(0xCBF29CE484222325)
 
 
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def give_back() -> None:
+    """Return free memory to the system: a worker that is kept for later tasks would hold it beside theirs."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM:
+        _MALLOC_TRIM(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, and once it has ended and its arrays are gone, ``give_back``."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
