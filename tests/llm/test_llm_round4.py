@@ -1,9 +1,10 @@
-"""Components of few edges in few jobs, of many edges by joins and then in one task."""
+"""Components of few edges in few jobs, of many edges by joins and then in one task; workers that give memory back."""
 
 import random
 
+import pyarrow as pa
 import pytest
-from tickloom.llm import graph
+from tickloom.llm import decontaminate, graph, words
 
 
 def brute(edges):
@@ -54,3 +55,22 @@ def test_components_are_the_same_by_joins_and_in_one_task(spark, monkeypatch, mo
 def test_components_of_no_edges(spark):
     got = graph.components(spark.createDataFrame([(4, 4), (None, 3)], "a long, b long"))
     assert got.columns == ["node", "root"] and got.collect() == []
+
+
+def test_a_run_gives_memory_back_once_its_rows_are_out(monkeypatch):
+    seen = []
+    monkeypatch.setattr(words, "give_back", lambda: seen.append("back"))
+    run = words.tidy(lambda batches: (seen.append(b) or b * 10 for b in batches))
+    assert list(run(iter([1, 2]))) == [10, 20] and seen == [1, 2, "back"]
+
+
+def test_documents_are_matched_alike_in_slices_of_any_size(monkeypatch):
+    class Shared:
+        value = decontaminate.Block.of([1], pa.array([" ".join(f"b{i}" for i in range(12))]), 0.6)
+
+    texts = [None, "", *[f"x{i} " + " ".join(f"{'bc'[i % 3 == 0]}{j}" for j in range(12)) for i in range(30)], None]
+    got = []
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
+        got.append(decontaminate._cleaner(Shared, 0.6)(pa.array(texts)).to_pylist())
+    assert got[0] == got[1] == got[2] == [True, True, *[i % 3 == 0 for i in range(30)], True]

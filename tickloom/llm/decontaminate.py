@@ -32,7 +32,7 @@ from .words import LETTERS, Words, give_back, slices
 SEED_WORDS = 5
 SHARE = 0.6
 BLOCK_BYTES = 4 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # of text, matched at a time
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
